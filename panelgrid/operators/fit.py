@@ -31,6 +31,9 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle
     pass
 
+FTOL = 1e-8
+XTOL = 1e-8
+
 FIT_SCHEMA = (f"{C} string, {T} string, n_points bigint, x_min double, x_max double, "
               "top double, bottom double, ic50 double, slope double, sse double, fit_status string")
 
@@ -99,8 +102,14 @@ def fit_hill(x: np.ndarray, y: np.ndarray, max_evals: int = FIT_MAX_EVALS):
             lam *= 4.0
             if lam > 1e12:
                 break
-        if not step_ok or improvement < 1e-12 or np.max(np.abs(delta)) < 1e-12:
+        # stop like a trust-region solver: relative cost change or relative
+        # step below 1e-8
+        if not step_ok or improvement < FTOL or \
+                np.max(np.abs(delta) / (np.abs(p) + 1e-8)) < XTOL:
             break
+    if evals >= max_evals:
+        # effort cap reached: the solver gives up, no fit is drawn
+        return (None, None, None, None, None, "failed")
     top, bottom, lic, s = p
     return (float(top), float(bottom), float(np.exp(lic)), float(s), sse, "ok")
 

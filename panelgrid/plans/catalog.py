@@ -203,14 +203,18 @@ def q14_view_filters(spark, sf_dir):
     """experiment / target / group selection and subgroup filter."""
     p = prepared(spark, sf_dir)
     v = views.spec_view(p, SPEC_FILTERED)
-    return _view_out(v).join(v.select("Bucket_Type", C, T, "Subgroup"), ["Bucket_Type", C, T])
+    return v.select("Bucket_Type", C, T, r6("value").alias("value"),
+                    F.col("n_tested").cast("bigint").alias("n_tested"), "all_nn", "Subgroup")
+
+
+def _grid_cols(keys=()) -> list:
+    return [*keys, C, T, r6("value").alias("value"), "status", "n_tested",
+            r6("row_breadth").alias("row_breadth"), r6("row_mean").alias("row_mean"),
+            "export_rank", "row_rank", "col_rank", r6("col_breadth").alias("col_breadth"), "genotype"]
 
 
 def _grid_out(g: DataFrame, keys=()) -> DataFrame:
-    return g.select(*keys, C, T, r6("value").alias("value"), "status", "n_tested",
-                    r6("row_breadth").alias("row_breadth"), r6("row_mean").alias("row_mean"),
-                    "export_rank", "row_rank", "col_rank", r6("col_breadth").alias("col_breadth"),
-                    "genotype")
+    return g.select(*_grid_cols(keys))
 
 
 def grid_q15(spark, sf_dir) -> DataFrame:
@@ -228,7 +232,7 @@ def q16_grid_rows_ranked(spark, sf_dir):
     """One bucket, log10 gradient, mean order ascending."""
     p = prepared(spark, sf_dir)
     g = views.heatmap(p, SPEC_RANKED)
-    return _grid_out(g).join(g.select(C, T, r6("z").alias("z"), "label"), [C, T])
+    return g.select(*_grid_cols(), r6("z").alias("z"), "label")
 
 
 def q17_small_multiples(spark, sf_dir):

@@ -99,7 +99,7 @@ def measurement_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(key % 11 == 0, F.lit(""))
                .when(key % 13 == 0, F.lit(">1000"))
                .otherwise(F.format_number(F.col("o_totalprice"), 2)))
-    potency_raw = F.format_number(F.col("o_totalprice") * F.lit(1.1), 2)
+    potency_raw = F.format_number(F.col("o_totalprice") + F.lit(1000.0), 2)
     dil_text = F.when(has_lines, _array_text(F.col("doses"), as_tuple=(key % 6 == 0))).otherwise(F.lit(""))
     neut_text = F.when(has_lines, _array_text(F.col("neuts"), wrap_np=(key % 4 == 0))).otherwise(F.lit(""))
     neut_raw_text = F.when(has_lines, _array_text(F.col("neuts_raw"))).otherwise(F.lit(""))

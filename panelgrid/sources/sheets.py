@@ -21,7 +21,8 @@ from ..config import (
 )
 
 # CSV dialect that round-trips quotes and embedded newlines (labels may hold "\n").
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"'}
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def read_sheet(spark: SparkSession, path: str | Sequence[str], row_id: str = "row_id") -> DataFrame:
