@@ -1,6 +1,6 @@
 """Column expressions (scalar functions X1-X15, F11, F14)."""
 
-from .arrays import pairs_equal, pairs_shortest, parse_array, value_at_dose
+from .arrays import array_text, pairs_equal, pairs_shortest, parse_array, parse_array_text, value_at_dose
 from .hill import hill4pl, logspace_points
 from .numeric import (day_int, day_number, is_nn, log10_pos, parse_number,
                       parse_potency_variant, to_float)

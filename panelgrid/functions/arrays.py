@@ -22,24 +22,33 @@ ARRAY_TEXT_RE = "^(?:" + _LIST + "|" + _TUPLE + "|" + _BARE + ")$"
 NP_WRAP_RE = r"np\.float64\(([^)]+)\)"
 
 
+def array_text(c) -> Column:
+    """X4 step 1: stripped sheet text with ``np.float64(x)`` wrappers removed."""
+    return F.regexp_replace(ustrip(as_text(c)), NP_WRAP_RE, "$1")
+
+
+def parse_array_text(s) -> Column:
+    """X4 step 2: parse normalised text (see ``array_text``) into array<double>.
+
+    Text outside the grammar gives an empty array, never null.  Inside the
+    grammar every element is a decimal literal, so the casts cannot fail.
+    """
+    s = _c(s)
+    body = F.regexp_replace(s, r"[\[\]()]", "")
+    parts = F.filter(F.split(F.regexp_replace(body, r"\s+", ""), ","), lambda t: t != "")
+    nums = F.transform(parts, lambda t: t.cast("double"))
+    return F.when(s.rlike(ARRAY_TEXT_RE), nums).otherwise(F.array().cast("array<double>"))
+
+
 def parse_array(c) -> Column:
     """Parse list / tuple / bare comma text into array<double>.
 
     ``np.float64(x)`` wrappers are unwrapped first; any text outside the
-    grammar (names, nested lists, empty elements, ...) gives an empty array,
-    never null.
+    grammar (names, nested lists, empty elements, ...) gives an empty array.
+    For wide scans prefer ``array_text`` in one projection and
+    ``parse_array_text`` in the next, so the text is normalised once.
     """
-    s = ustrip(as_text(c))
-    s = F.regexp_replace(s, NP_WRAP_RE, "$1")
-    body = F.regexp_replace(s, r"[\[\]()]", "")
-    parts = F.filter(
-        F.transform(F.split(body, ","), lambda t: F.regexp_replace(t, r"\s+", "")),
-        lambda t: t != "",
-    )
-    nums = F.transform(parts, lambda t: t.try_cast("double"))
-    empty = F.array().cast("array<double>")
-    ok = s.rlike(ARRAY_TEXT_RE) & F.forall(nums, lambda x: x.isNotNull())
-    return F.when(ok, nums).otherwise(empty)
+    return parse_array_text(array_text(c))
 
 
 _PAIR_T = "array<struct<d:double,n:double>>"

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import UNKNOWN_BUCKET, Rules
-from ..functions.arrays import parse_array
+from ..functions.arrays import array_text, parse_array_text
 from ..functions.numeric import day_int, day_number, is_nn, log10_pos, to_float
 from ..functions.text import as_text, cohort_id, cohort_key, ustrip
 from ..session import bounded_broadcast, rows_df
@@ -61,6 +61,9 @@ def tidy_projection(df: DataFrame, cols: SheetColumns) -> DataFrame:
     empty = F.array().cast("array<double>")
     ic50 = to_float(_col(cols.ic50)) if cols.ic50 else F.lit(None).cast("double")
     rid = F.col("row_id") if "row_id" in df.columns else F.monotonically_increasing_id()
+    # array texts are normalised in their own projection (each used twice below)
+    df = df.select("*", (array_text(_col(cols.dilution)) if cols.dilution else F.lit("")).alias("_dil_txt"),
+                   (array_text(_col(cols.neut)) if cols.neut else F.lit("")).alias("_neut_txt"))
     return df.select(
         rid.alias("row_id"),
         text(cols.experiment).alias("Experiment"),
@@ -69,8 +72,8 @@ def tidy_projection(df: DataFrame, cols: SheetColumns) -> DataFrame:
         (day_number(_col(cols.day)) if cols.day else F.lit(None).cast("double")).alias("Day"),
         (cohort_id(as_text(_col(cols.psvx))) if cols.psvx else F.lit("")).alias("PSVX_num"),
         text(cols.desc).alias("Construct_Description"),
-        (parse_array(_col(cols.dilution)) if cols.dilution else empty).alias("DilutionArray"),
-        (parse_array(_col(cols.neut)) if cols.neut else empty).alias("NeutArray"),
+        (parse_array_text(F.col("_dil_txt")) if cols.dilution else empty).alias("DilutionArray"),
+        (parse_array_text(F.col("_neut_txt")) if cols.neut else empty).alias("NeutArray"),
         (is_nn(_col(cols.ic50)) if cols.ic50 else F.lit(False)).alias("Is_NN"),
         ic50.alias("IC50"),
     ).withColumn("Log10_IC50", log10_pos(F.col("IC50")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ALL_CONSTRUCTS, ViewSpec
-from ..functions.arrays import parse_array, value_at_dose
+from ..functions.arrays import array_text, parse_array_text, value_at_dose
 from ..functions.hill import hill4pl, logspace_points
 from ..functions.numeric import day_int
 from ..functions.status import view_title
@@ -122,9 +122,10 @@ def q03_tidy(spark, sf_dir):
 def q04_parse_arrays(spark, sf_dir):
     """Array text parsing on every raw row."""
     raw = measurement_sheet(spark, sf_dir)
-    return raw.select("row_id", *_arr_summary(parse_array("Dilution"), "dil"),
-                      *_arr_summary(parse_array("Avg_Neut_percent_corrected"), "neut"),
-                      *_arr_summary(parse_array("Avg_Neut_percent"), "neut_raw"))
+    src = {"dil": "Dilution", "neut": "Avg_Neut_percent_corrected", "neut_raw": "Avg_Neut_percent"}
+    texts = raw.select("row_id", *[array_text(c).alias(k) for k, c in src.items()])
+    arrays = texts.select("row_id", *[parse_array_text(k).alias(k) for k in src])
+    return arrays.select("row_id", *[x for k in src for x in _arr_summary(F.col(k), k)])
 
 
 def q05_value_at_dose(spark, sf_dir):
