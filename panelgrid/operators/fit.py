@@ -33,6 +33,8 @@ except Exception:  # pragma: no cover - older cloudpickle
 
 FTOL = 1e-8
 XTOL = 1e-8
+STALL = 1e-6
+STALL_WINDOW = 20
 
 FIT_SCHEMA = (f"{C} string, {T} string, n_points bigint, x_min double, x_max double, "
               "top double, bottom double, ic50 double, slope double, sse double, fit_status string")
@@ -82,6 +84,7 @@ def fit_hill(x: np.ndarray, y: np.ndarray, max_evals: int = FIT_MAX_EVALS // EVA
     r = f - y
     sse = float(r @ r)
     lam, evals = 1e-3, 1
+    history = [sse]
     while evals < max_evals:
         a = jac.T @ jac
         g = jac.T @ r
@@ -113,6 +116,11 @@ def fit_hill(x: np.ndarray, y: np.ndarray, max_evals: int = FIT_MAX_EVALS // EVA
         if not step_ok or improvement < FTOL or \
                 np.max(np.abs(delta) / (np.abs(p) + 1e-8)) < XTOL:
             break
+        # stalled: less than STALL relative progress over the last STALL_WINDOW steps
+        history.append(sse)
+        if len(history) > STALL_WINDOW and \
+                (history[-STALL_WINDOW - 1] - sse) <= STALL * max(history[-STALL_WINDOW - 1], 1e-300):
+            break
     if evals >= max_evals:
         # effort cap reached: the solver gives up, no fit is drawn
         return (None, None, None, None, None, "failed")
