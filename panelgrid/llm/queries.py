@@ -4,10 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelgrid.llm import quality
+from panelgrid.llm import byte_bpe, packing, quality, token_file
 from panelgrid.llm.common import read_table
+from panelgrid.llm.pretokens import library_encoder
+from panelgrid.session import scratch_path
+
+
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = byte_bpe.decode(byte_bpe.encode(docs, ranks), ranks)
+    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    path = scratch_path(spark, "token-files")
+    token_file.write_token_files(read_table(spark, sf_dir, "documents"), path,
+                                 lambda: library_encoder(vocabulary, "bytelevel"))
+    return token_file.read_token_files(spark, path).drop("ids")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"),
+                                  lambda: library_encoder(vocabulary, "words"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +44,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op5_token_files": op5_token_files,
     "op9_quality_rules": op9_quality_rules,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 
