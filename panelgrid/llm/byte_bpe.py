@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,37 +181,55 @@ def piece_encoder(path: str) -> PieceEncoder:
     return PieceEncoder(split_bytelevel, bpe(path).encode_many)
 
 
+def slices(batch: pa.RecordBatch, text_col: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about ``size`` bytes of text, so that a worker holds little at a time."""
+    column = batch.column(batch.schema.get_field_index(text_col))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + size)))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def with_columns(batch: pa.RecordBatch, **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, *more.values()], names=[*batch.schema.names, *more])
 
 
-def encode(df: DataFrame, ranks_path: str, text_col: str = "text", drop_text: bool = True) -> DataFrame:
-    """``df`` with ``n_tokens`` and ``ids``, the ids of each whole text as
-    little-endian unsigned 32-bit integers.  The rank file has to be at
-    ``ranks_path`` on every executor."""
+def encode(df: DataFrame, ranks_path: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """``df`` without its text, with ``n_tokens`` and ``ids``, the ids of each
+    whole text as little-endian unsigned 32-bit integers; with ``decoded``, what
+    :func:`decode` makes of the ids too, in the same pass.  The rank file has to
+    be at ``ranks_path`` on every executor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = piece_encoder(ranks_path)
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            ids = [x.astype("<u4").tobytes() for x in coder.encode(texts)]
-            rest = batch.select([c for c in batch.schema.names if not drop_text or c != text_col])
-            yield with_columns(rest, n_tokens=pa.array([len(x) // 4 for x in ids], pa.int64()),
-                               ids=pa.array(ids, pa.binary()))
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                ids = [x.astype("<u4").tobytes() for x in coder.encode(texts)]
+                more = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    more["decoded"] = _decoded(ids, ranks_path)
+                yield with_columns(batch.select([c for c in batch.schema.names if c != text_col]), **more)
+
+    added = {"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")} | ({"decoded": F.lit(b"")} if decoded else {})
+    return df.mapInArrow(run, df.drop(text_col).withColumns(added).schema)
+
 
-    kept = df.drop(text_col) if drop_text else df
-    schema = kept.withColumns({"n_tokens": F.lit(0).cast("long"), "ids": F.lit(b"")}).schema
-    return df.mapInArrow(run, schema)
+def _decoded(ids: list[bytes | None], ranks_path: str) -> pa.Array:
+    coder = bpe(ranks_path)
+    return pa.array([coder.decode(np.frombuffer(x or b"", "<u4")) for x in ids], pa.binary())
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with ``decoded``, the bytes that the ids of each row stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(ranks_path)
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            yield with_columns(batch, decoded=pa.array(
-                [coder.decode(np.frombuffer(x or b"", "<u4")) for x in ids], pa.binary()))
+        for whole in batches:
+            for batch in slices(whole, ids_col):
+                ids = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
+                yield with_columns(batch, decoded=_decoded(ids, ranks_path))
 
     return df.mapInArrow(run, df.withColumn("decoded", F.lit(b"")).schema)

@@ -23,8 +23,8 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
 #: Code points taken at once, and pieces remembered by a worker.
-CHUNK = 2_000_000
-REMEMBERED = 400_000
+CHUNK = 500_000
+REMEMBERED = 200_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xBF58476D1CE4E5B9)

@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelgrid.llm.byte_bpe import slices
+
 BLOCK = 128
 #: Share of a block's ids that fit its width.
 PERCENTILE = 90
@@ -135,7 +137,7 @@ def write_token_files(docs: DataFrame, path: str, encoder: Callable, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row.values(), types, strict=True)], names=list(row))
 
         coder = encoder()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             for doc_id, one in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist()), strict=True):
                 ids.append(np.append(one, np.uint32(end_id)))
                 docs_held.append(doc_id)
