@@ -209,7 +209,7 @@ def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(
                     [bool(s) for s in batch.column(2).to_pylist()])], names=["_row", "_new", "_cut"])
 
-    done = joined.mapInArrow(run, joined.select("_row").withColumns({"_new": F.lit("").cast("string"), "_cut": F.lit(True)}).schema)
+    done = joined.mapInArrow(run, joined.select("_row").withColumns({"_new": F.lit(None).cast("string"), "_cut": F.lit(True)}).schema)
     done = done.where(F.expr(r"NOT _cut OR _new RLIKE '[^\\x20\\x09-\\x0D]'"))
 
     def column(c: str):
