@@ -87,9 +87,6 @@ CONSTRUCT_HEADER_PATTERNS = {
 
 # Largest rule / dimension table we are willing to broadcast (rows).
 MAX_BROADCAST_ROWS = 200_000
-# Largest number of targets a dense grid may carry per view (guards the
-# per-construct expansion; beyond it the query fails loudly instead of blowing up).
-MAX_GRID_TARGETS = 10_000
 
 RuleTable = Union[Sequence[tuple], Any]  # python rows or a pyspark DataFrame
 

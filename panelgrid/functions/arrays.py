@@ -15,10 +15,7 @@ _E = (
     r"(?:[+-]\s*)?(?:\d+\.\d*(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?"
     r"|\d+[eE][+-]?\d+|0+|[1-9]\d*)"
 )
-_LIST = r"\[\s*(?:E(?:\s*,\s*E)*\s*,?\s*)?\]".replace("E", _E)
-_TUPLE = r"\(\s*(?:E\s*,\s*(?:E(?:\s*,\s*E)*\s*,?\s*)?)?\)".replace("E", _E)
-_BARE = r"E\s*,\s*(?:E(?:\s*,\s*E)*\s*,?)?".replace("E", _E)
-ARRAY_TEXT_RE = "^(?:" + _LIST + "|" + _TUPLE + "|" + _BARE + ")$"
+ELEMENT_RE = "^" + _E + "$"
 NP_WRAP_RE = r"np\.float64\(([^)]+)\)"
 
 
@@ -34,10 +31,24 @@ def parse_array_text(s) -> Column:
     grammar every element is a decimal literal, so the casts cannot fail.
     """
     s = _c(s)
-    body = F.regexp_replace(s, r"[\[\]()]", "")
-    parts = F.filter(F.split(F.regexp_replace(body, r"\s+", ""), ","), lambda t: t != "")
-    nums = F.transform(parts, lambda t: t.cast("double"))
-    return F.when(s.rlike(ARRAY_TEXT_RE), nums).otherwise(F.array().cast("array<double>"))
+    first, last = F.left(s, F.lit(1)), F.right(s, F.lit(1))
+    is_list, is_tuple = (first == "[") & (last == "]"), (first == "(") & (last == ")")
+    wrapped = (is_list | is_tuple) & (F.length(s) >= 2)
+    body = F.when(wrapped, F.substring(s, F.lit(2), F.length(s) - 2)).otherwise(s)
+    parts = F.transform(F.split(body, ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+    def checked(of: Column) -> Column:
+        # One comma may follow the last element; brackets aside, a lone element needs it.
+        trailing = (F.size(of) > 1) & (F.get(of, F.size(of) - 1) == "")
+        items = F.when(trailing, F.slice(of, F.lit(1), F.size(of) - 1)).otherwise(of)
+        none = wrapped & (F.size(of) == 1) & (F.get(of, F.lit(0)) == "")
+        shaped = is_list | (F.size(of) > 1)
+        fine = shaped & ~none & F.forall(items, lambda t: t.rlike(ELEMENT_RE))
+        nums = F.transform(items, lambda t: F.regexp_replace(t, r"\s+", "").cast("double"))
+        return F.when(fine, nums).otherwise(F.array().cast("array<double>"))
+
+    # A one-element transform, so that the split is made once.
+    return F.coalesce(F.transform(F.array(parts), checked)[0], F.array().cast("array<double>"))
 
 
 def parse_array(c) -> Column:

@@ -31,105 +31,29 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle
     pass
 
+#: Pairs fitted together.
+FIT_BATCH = 512
 FTOL = 1e-8
 XTOL = 1e-8
-STALL = 1e-6
-STALL_WINDOW = 20
 
 FIT_SCHEMA = (f"{C} string, {T} string, n_points bigint, x_min double, x_max double, "
               "top double, bottom double, ic50 double, slope double, sse double, fit_status string")
 
 
-def _model(p, lx):
-    top, bottom, lic, s = p
-    z = np.clip(s * (lx - lic), -700.0, 700.0)
-    u = np.exp(z)
-    den = 1.0 + u
-    f = bottom + (top - bottom) / den
-    jac = np.empty((lx.size, 4))
-    jac[:, 0] = 1.0 / den
-    jac[:, 1] = u / den
-    jac[:, 2] = (top - bottom) * s * u / den ** 2
-    jac[:, 3] = -(top - bottom) * u * (lx - lic) / den ** 2
-    return f, jac
+def fit_hill(x, y, max_evals: int = FIT_MAX_EVALS):
+    """One pair; see :func:`fit_hill_many`."""
+    return fit_hill_many([x], [y], max_evals)[0]
 
 
-# One model call here returns the values and the analytic Jacobian; a solver
-# with a finite-difference Jacobian spends 1 + 4 function evaluations for the
-# same information, so the evaluation cap is counted in those units.
-EVALS_PER_CALL = 5
-
-
-def fit_hill(x: np.ndarray, y: np.ndarray, max_evals: int = FIT_MAX_EVALS // EVALS_PER_CALL):
-    """Bounded least squares for the 4PL model.
+def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS):
+    """Bounded least squares for the 4PL model, many pairs at once.
 
     Start (max y, min y, median x, 1); bounds top / bottom / ic50 (multiples of
     min and max dose) / slope.  A start value outside the bounds is a failed
-    fit (as a bounded solver refuses it).  Parameters are (top, bottom,
-    ln ic50, slope); damped normal equations, steps clipped to the bounds,
-    accepted only when the squared error falls.
-    Returns (top, bottom, ic50, slope, sse, status).
-    """
-    x = np.asarray(x, float)
-    y = np.asarray(y, float)
-    lo = np.array([FIT_TOP_BOUNDS[0], FIT_BOTTOM_BOUNDS[0], np.log(x.min() * FIT_IC50_FACTORS[0]),
-                   FIT_SLOPE_BOUNDS[0]])
-    hi = np.array([FIT_TOP_BOUNDS[1], FIT_BOTTOM_BOUNDS[1], np.log(x.max() * FIT_IC50_FACTORS[1]),
-                   FIT_SLOPE_BOUNDS[1]])
-    p = np.array([y.max(), y.min(), np.log(np.median(x)), 1.0])
-    if np.any(p < lo) or np.any(p > hi) or not np.all(np.isfinite(p)):
-        return (None, None, None, None, None, "failed")
-    lx = np.log(x)
-    f, jac = _model(p, lx)
-    r = f - y
-    sse = float(r @ r)
-    lam, evals = 1e-3, 1
-    history = [sse]
-    while evals < max_evals:
-        a = jac.T @ jac
-        g = jac.T @ r
-        step_ok = False
-        while evals < max_evals:
-            damp = a + lam * np.diag(np.diag(a) + 1e-12)
-            try:
-                delta = -np.linalg.solve(damp, g)
-            except np.linalg.LinAlgError:
-                lam *= 10.0
-                evals += 1
-                continue
-            cand = np.clip(p + delta, lo, hi)
-            fc, jc = _model(cand, lx)
-            rc = fc - y
-            sc = float(rc @ rc)
-            evals += 1
-            if sc < sse:
-                improvement = (sse - sc) / max(sse, 1e-300)
-                p, f, jac, r, sse = cand, fc, jc, rc, sc
-                lam = max(lam / 3.0, 1e-12)
-                step_ok = True
-                break
-            lam *= 4.0
-            if lam > 1e12:
-                break
-        # stop like a trust-region solver: relative cost change or relative
-        # step below 1e-8
-        if not step_ok or improvement < FTOL or \
-                np.max(np.abs(delta) / (np.abs(p) + 1e-8)) < XTOL:
-            break
-        # stalled: less than STALL relative progress over the last STALL_WINDOW steps
-        history.append(sse)
-        if len(history) > STALL_WINDOW and \
-                (history[-STALL_WINDOW - 1] - sse) <= STALL * max(history[-STALL_WINDOW - 1], 1e-300):
-            break
-    if evals >= max_evals:
-        # effort cap reached: the solver gives up, no fit is drawn
-        return (None, None, None, None, None, "failed")
-    top, bottom, lic, s = p
-    return (float(top), float(bottom), float(np.exp(lic)), float(s), sse, "ok")
-
-
-def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS // EVALS_PER_CALL):
-    """``fit_hill`` for many pairs at once (same steps per pair, vectorised).
+    fit (as a bounded solver refuses it), and so is one that needs more than
+    ``max_evals`` model values (the Jacobian is analytic and not counted).
+    Parameters are (top, bottom, ln ic50, slope); damped normal equations, steps
+    clipped to the bounds, accepted only when the squared error falls.
 
     Points are padded to a common length with zero weight; every pair keeps
     its own damping, evaluation count and stopping state.  Returns a list of
@@ -185,50 +109,30 @@ def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS // EVALS_PE
     lam = np.full(n, 1e-3)
     evals = np.ones(n, dtype=int)
     active = np.ones(n, dtype=bool)
-    hist = [[v] for v in sse]
     while active.any():
-        a_idx = np.nonzero(active)[0]
-        ja, ra = jac[a_idx], r[a_idx]
+        at = np.nonzero(active)[0]
+        ja, ra = jac[at], r[at]
         a = np.einsum("kmi,kmj->kij", ja, ja)
         g = np.einsum("kmi,km->ki", ja, ra)
         diag = np.einsum("kii->ki", a)
-        damp = a + (lam[a_idx][:, None] * (diag + 1e-12))[:, :, None] * np.eye(4)[None]
+        damp = a + (lam[at][:, None] * (diag + 1e-12))[:, :, None] * np.eye(4)[None]
         try:
             delta = -np.linalg.solve(damp, g[:, :, None])[:, :, 0]
-            ok_solve = np.ones(len(a_idx), dtype=bool)
         except np.linalg.LinAlgError:
-            delta = np.zeros_like(g)
-            ok_solve = np.zeros(len(a_idx), dtype=bool)
-            for t, jj in enumerate(a_idx):
-                try:
-                    delta[t] = -np.linalg.solve(damp[t], g[t])
-                    ok_solve[t] = True
-                except np.linalg.LinAlgError:
-                    pass
-        cand = np.clip(p[a_idx] + delta, lo[a_idx], hi[a_idx])
-        rc, jc = model(cand, a_idx)
+            delta = -(np.linalg.pinv(damp) @ g[:, :, None])[:, :, 0]
+        solved = np.isfinite(delta).all(axis=1)
+        cand = np.clip(p[at] + np.where(solved[:, None], delta, 0.0), lo[at], hi[at])
+        rc, jc = model(cand, at)
         sc = np.einsum("ij,ij->i", rc, rc)
-        evals[a_idx] += 1
-        acc = ok_solve & (sc < sse[a_idx])
-        for t, jj in enumerate(a_idx):
-            if not ok_solve[t]:
-                lam[jj] *= 10.0
-            elif acc[t]:
-                improvement = (sse[jj] - sc[t]) / max(sse[jj], 1e-300)
-                p[jj], r[jj], jac[jj], sse[jj] = cand[t], rc[t], jc[t], sc[t]
-                lam[jj] = max(lam[jj] / 3.0, 1e-12)
-                h = hist[jj]
-                h.append(sc[t])
-                stalled = len(h) > STALL_WINDOW and \
-                    (h[-STALL_WINDOW - 1] - sc[t]) <= STALL * max(h[-STALL_WINDOW - 1], 1e-300)
-                if improvement < FTOL or np.max(np.abs(delta[t]) / (np.abs(p[jj]) + 1e-8)) < XTOL or stalled:
-                    active[jj] = False
-            else:
-                lam[jj] *= 4.0
-                if lam[jj] > 1e12:
-                    active[jj] = False
-            if evals[jj] >= max_evals:
-                active[jj] = False
+        evals[at] += 1
+        better = solved & (sc < sse[at])
+        gain = (sse[at] - sc) / np.maximum(sse[at], 1e-300)
+        small = np.max(np.abs(delta) / (np.abs(cand) + 1e-8), axis=1) < XTOL
+        take = at[better]
+        p[take], r[take], jac[take], sse[take] = cand[better], rc[better], jc[better], sc[better]
+        lam[at] = np.where(better, np.maximum(lam[at] / 3.0, 1e-12), lam[at] * np.where(solved, 4.0, 10.0))
+        done = np.where(better, (gain < FTOL) | small, lam[at] > 1e12)
+        active[at[done | (evals[at] >= max_evals)]] = False
     for j, t in enumerate(idx):
         if evals[j] >= max_evals:
             out[t[0]] = (None, None, None, None, None, "failed")
@@ -238,43 +142,43 @@ def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS // EVALS_PE
     return out
 
 
-def _fit_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All pairs of one hash bucket: group rows by pair, fit them together."""
-    pdf = pdf.sort_values([C, T, "dilution"])
-    rows, xs, ys = [], [], []
-    for (c, t), g in pdf.groupby([C, T], sort=False):
-        x = g["dilution"].to_numpy(float)
-        y = g["pct_neut"].to_numpy(float)
-        rows.append({C: c, T: t, "n_points": len(x), "x_min": float(x.min()), "x_max": float(x.max())})
-        xs.append(x)
-        ys.append(y)
+def _fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Fits for rows of one pair each: its doses ``xs`` and responses ``ys`` by dose."""
+    xs, ys = (([np.asarray(v, float) for v in pdf[c]]) for c in ("xs", "ys"))
     todo = [i for i, x in enumerate(xs) if len(x) >= FIT_MIN_POINTS and np.all(x > 0)]
     res = dict(zip(todo, fit_hill_many([xs[i] for i in todo], [ys[i] for i in todo])))
-    for i, row in enumerate(rows):
-        if i in res:
-            top, bottom, ic50, slope, sse, status = res[i]
-        else:
-            status = "too_few_points" if len(xs[i]) < FIT_MIN_POINTS else "failed"
-            top = bottom = ic50 = slope = sse = None
-        row.update(top=top, bottom=bottom, ic50=ic50, slope=slope, sse=sse, fit_status=status)
-    cols = [C, T, "n_points", "x_min", "x_max", "top", "bottom", "ic50", "slope", "sse", "fit_status"]
-    return pd.DataFrame(rows, columns=cols)
+    none = (None,) * 5
+    fits = [res.get(i) or (*none, "too_few_points" if len(x) < FIT_MIN_POINTS else "failed") for i, x in enumerate(xs)]
+    out = pdf[[C, T]].assign(n_points=[len(x) for x in xs], x_min=[x.min() for x in xs], x_max=[x.max() for x in xs])
+    for k, name in enumerate(("top", "bottom", "ic50", "slope", "sse", "fit_status")):
+        out[name] = [f[k] for f in fits]
+    return out
 
 
 def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One pair (used by tests; ``fit_curves`` fits hash buckets of pairs)."""
-    return _fit_bucket(pdf)
+    """One pair's curve rows (used by tests)."""
+    pdf = pdf.sort_values("dilution")
+    return _fit_rows(pd.DataFrame({C: pdf[C].iloc[:1], T: pdf[T].iloc[:1], "xs": [pdf["dilution"].to_numpy()],
+                                   "ys": [pdf["pct_neut"].to_numpy()]}))
 
 
 def fit_curves(curve: DataFrame, buckets: int | None = None) -> DataFrame:
     """One fit row per (construct, target) of a curve table.
 
-    Pairs are hashed into ``buckets`` groups (default 4 × shuffle partitions)
-    and each group's pairs — a few points each — are fitted together."""
-    nb = buckets or 4 * int(curve.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    key = F.pmod(F.xxhash64(C, T), F.lit(nb)).alias("_fit_bucket")
-    return (curve.select(C, T, "dilution", "pct_neut", key).groupBy("_fit_bucket")
-            .applyInPandas(lambda pdf: _fit_bucket(pdf.drop(columns=["_fit_bucket"])), FIT_SCHEMA))
+    A pair's points (one per dose) become two arrays; the pairs of an Arrow
+    batch are fitted together, so what a worker holds is bounded by the batch."""
+    point = F.struct("dilution", "pct_neut")
+    pairs = curve.groupBy(C, T).agg(F.sort_array(F.collect_list(point)).alias("_points")).select(
+        C, T, F.col("_points.dilution").alias("xs"), F.col("_points.pct_neut").alias("ys"))
+    if buckets:
+        pairs = pairs.repartition(buckets, C, T)
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), FIT_BATCH):
+                yield _fit_rows(pdf.iloc[at:at + FIT_BATCH].reset_index(drop=True))
+
+    return pairs.mapInPandas(run, FIT_SCHEMA)
 
 
 def fit_lines(fits: DataFrame, n: int = FIT_LINE_POINTS) -> DataFrame:

@@ -4,14 +4,13 @@ column order (W1, W2, J12), pivot / unpivot (A15, A16), cell encoding (F14).
 
 Plan shape (all inputs are the already aggregated view):
 
-1. cells      — groupBy(keys, construct, target): pooled mean, any-hit status
-2. row stats  — groupBy(keys, construct): breadth, mean, and a map target→cell
-                (bounded by the number of targets)
-3. col stats  — groupBy(keys, target) → one sorted array of targets per view,
-                size guarded
-4. rows are ranked with the distributed ``ordered_rank``; the dense grid is
-   each construct row × its view's target array (an ``explode`` of a bounded
-   array plus a map lookup: no cross join, no shuffle join of cells).
+1. cells        groupBy(keys, construct, target): pooled mean, any-hit status
+2. row stats    groupBy(keys, construct): breadth and mean, ranked by ``ordered_rank``
+3. column order groupBy(keys, target), ranked by ``ordered_rank``, cut into
+                blocks of BLOCK columns
+4. the dense grid is each ranked row × the blocks of its view; a block's cells
+   of one construct are a map of at most BLOCK entries.  No row ever holds more
+   than a block, however many targets a view has.
 """
 
 from __future__ import annotations
@@ -21,14 +20,16 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import HIT, MAX_GRID_TARGETS, MISS, NN, NO_GENOTYPE, NOT_TESTED
+from ..config import HIT, MISS, NN, NO_GENOTYPE, NOT_TESTED
 from ..functions.status import cell_encoding, cell_label, cell_status
-from ..session import collect_small
+from ..session import rows_df
 from .ranking import ordered_rank
 
 C, T = "Construct_Description", "PSV"
 TESTED = (HIT, MISS, NN)
 POSITIVE = (HIT, MISS)
+#: Columns of the dense grid that one row is exploded to.
+BLOCK = 512
 
 
 def cell_statuses(view: DataFrame, metric: str, mode: str, threshold: Optional[float],
@@ -64,50 +65,39 @@ def _breadth(n_pos: Column, n_tested: Column) -> Column:
 
 
 def row_stats(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A7 + A8 per construct, plus its cells as a map target → cell."""
+    """A7 + A8 per construct."""
     st = F.col("status")
     g = cells.groupBy(*keys, C).agg(
         F.count_if(st.isin(*TESTED)).alias("n_tested_targets"),
         F.count_if(st.isin(*POSITIVE)).alias("n_positive"),
-        F.avg("value").alias("_mean"),
-        F.map_from_entries(F.collect_list(F.struct(
-            F.col(T), F.struct("value", "status", "n_tested")))).alias("_cells"))
+        F.avg("value").alias("_mean"))
     return (g.withColumn("row_breadth", _breadth(F.col("n_positive"), F.col("n_tested_targets")))
             .withColumn("row_mean", F.coalesce(F.col("_mean"), F.lit(0.0))).drop("_mean"))
 
 
-def genotype_of(target: Column, genotypes: Optional[dict]) -> Column:
-    """Target → genotype label, missing → 'zzz' (a bounded map literal)."""
+def with_genotype(targets: DataFrame, genotypes: Optional[dict]) -> DataFrame:
+    """Target → genotype label, missing → 'zzz' (a join with the rule table)."""
     if not genotypes:
-        return F.lit(NO_GENOTYPE)
-    if len(genotypes) > MAX_GRID_TARGETS:
-        raise ValueError("genotype table larger than the grid target bound")
-    kv = []
-    for k, v in sorted(genotypes.items()):
-        kv += [F.lit(k), F.lit(v)]
-    return F.coalesce(F.try_element_at(F.create_map(*kv), target), F.lit(NO_GENOTYPE))
+        return targets.withColumn("genotype", F.lit(NO_GENOTYPE))
+    table = rows_df(targets.sparkSession, sorted(genotypes.items()), f"{T} string, _genotype string")
+    return targets.join(table, T, "left").withColumn(
+        "genotype", F.coalesce("_genotype", F.lit(NO_GENOTYPE))).drop("_genotype")
 
 
 def column_stats(cells: DataFrame, keys: Sequence[str] = (),
                  genotypes: Optional[dict] = None) -> DataFrame:
-    """A9 per target and the column order key (genotype, -breadth, name)."""
+    """A9 per target and its genotype."""
     st = F.col("status")
     g = cells.groupBy(*keys, T).agg(
         F.count_if(st.isin(*TESTED)).alias("_t"), F.count_if(st.isin(*POSITIVE)).alias("_p"))
-    return g.select(*keys, T, _breadth(F.col("_p"), F.col("_t")).alias("col_breadth"),
-                    genotype_of(F.col(T), genotypes).alias("genotype"))
+    breadth = g.select(*keys, T, _breadth(F.col("_p"), F.col("_t")).alias("col_breadth"))
+    return with_genotype(breadth, genotypes).select(*keys, T, "col_breadth", "genotype")
 
 
-def view_targets(colstats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per view with its targets sorted by (genotype, -breadth,
-    name); the array length is guarded by ``MAX_GRID_TARGETS``."""
-    item = F.struct(F.col("genotype").alias("g"), (F.lit(0.0) - F.col("col_breadth")).alias("nb"),
-                    F.col(T).alias("t"), F.col("col_breadth").alias("b"))
-    arr = F.sort_array(F.collect_list(item))
-    guarded = F.when(F.size(arr) > MAX_GRID_TARGETS,
-                     F.raise_error(F.lit(f"grid has more than {MAX_GRID_TARGETS} targets"))
-                     ).otherwise(arr)
-    return colstats.groupBy(*keys).agg(guarded.alias("_targets"))
+def column_order(colstats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Targets of each view by (genotype, -breadth, name), as ``col_rank``."""
+    return ordered_rank(colstats, keys, [F.col("genotype").asc(), F.col("col_breadth").desc(), F.col(T).asc()],
+                        rank_col="col_rank")
 
 
 def row_order(sort_by: str, sort_descending: bool) -> list[Column]:
@@ -136,41 +126,34 @@ def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",
     """
     keys = list(keys)
     cells = pooled_cells(view, metric, mode, threshold, ge, bucket, keys)
-    rows = row_stats(cells, keys)
-    ranked = ordered_rank(rows, keys, row_order(sort_by, sort_descending),
+    ranked = ordered_rank(row_stats(cells, keys), keys, row_order(sort_by, sort_descending),
                           rank_col="export_rank", total_col="n_rows")
     ranked = ranked.withColumn("row_rank", F.col("n_rows") - F.col("export_rank") + 1)
+    if not dense:
+        return cells.join(ranked, [*keys, C], "inner")
 
     if target_order is None:
-        targets = view_targets(column_stats(cells, keys, genotypes), keys)
-        shared = not keys
+        col_keys, columns = keys, column_order(column_stats(cells, keys, genotypes), keys)
     else:
         # fixed column set and order (J8); the same for every view unless the
         # order table carries the view keys
-        okeys = [k for k in keys if k in target_order.columns]
-        item = F.struct(F.col("col_rank").alias("r"), F.col(T).alias("t"),
-                        F.lit(None).cast("double").alias("b"),
-                        genotype_of(F.col(T), genotypes).alias("g"))
-        guarded = F.sort_array(F.collect_list(item))
-        guarded = F.when(F.size(guarded) > MAX_GRID_TARGETS,
-                         F.raise_error(F.lit(f"grid has more than {MAX_GRID_TARGETS} targets"))
-                         ).otherwise(guarded)
-        targets = target_order.groupBy(*okeys).agg(guarded.alias("_targets"))
-        shared = not okeys
-        keys_for_join = okeys
-
-    if not dense:
-        out = cells.join(ranked.drop("_cells"), [*keys, C], "inner")
-        return out
-
-    if shared:
-        withcols = ranked
-        arr = targets.select("_targets").scalar()
+        col_keys = [k for k in keys if k in target_order.columns]
+        columns = with_genotype(target_order.select(*col_keys, T, "col_rank"), genotypes).withColumn(
+            "col_breadth", F.lit(None).cast("double"))
+    columns = columns.withColumn("_block", F.floor((F.col("col_rank") - 1) / BLOCK))
+    item = F.struct(F.col("col_rank").alias("r"), F.col(T).alias("t"), F.col("col_breadth").alias("b"),
+                    F.col("genotype").alias("g"))
+    blocks = columns.groupBy(*col_keys, "_block").agg(F.sort_array(F.collect_list(item)).alias("_targets"))
+    in_block = cells.join(columns.select(*col_keys, T, "_block"), [*col_keys, T]).groupBy(*keys, C, "_block").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col(T), F.struct("value", "status", "n_tested")))).alias("_cells"))
+    last = columns.groupBy(*col_keys).agg(F.max("_block").alias("_last"))
+    if col_keys:
+        spread = ranked.join(last, col_keys).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
     else:
-        jk = keys if target_order is None else keys_for_join
-        withcols = ranked.join(F.broadcast(targets), jk, "inner")
-        arr = F.col("_targets")
-    exploded = withcols.select("*", F.posexplode(arr).alias("_pos", "_tg")).drop("_targets")
+        spread = ranked.withColumn("_last", last.select("_last").scalar()).where("_last IS NOT NULL").withColumn(
+            "_block", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
+    rows = spread.drop("_last").join(blocks, [*col_keys, "_block"]).join(in_block, [*keys, C, "_block"], "left")
+    exploded = rows.select("*", F.explode("_targets").alias("_tg")).drop("_targets")
     cell = F.try_element_at(F.col("_cells"), F.col("_tg")["t"])
     return exploded.select(
         *keys, C, F.col("_tg")["t"].alias(T),
@@ -179,7 +162,7 @@ def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",
         F.coalesce(cell["n_tested"], F.lit(0)).cast("bigint").alias("n_tested"),
         "row_breadth", "row_mean", "n_positive", "n_tested_targets",
         "export_rank", "row_rank", "n_rows",
-        (F.col("_pos") + 1).cast("bigint").alias("col_rank"),
+        F.col("_tg")["r"].cast("bigint").alias("col_rank"),
         F.col("_tg")["b"].alias("col_breadth"), F.col("_tg")["g"].alias("genotype"))
 
 
@@ -189,14 +172,16 @@ def encode_cells(grid: DataFrame, metric: str, mode: str, show_values: bool = Tr
         .withColumn("label", cell_label(F.col("value"), F.col("status"), mode, show_values))
 
 
-def pivot_wide(grid: DataFrame, value_col: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+def pivot_wide(grid: DataFrame, value_col: str = "value", keys: Sequence[str] = (),
+               targets: Optional[Sequence[str]] = None) -> DataFrame:
     """Long grid → wide matrix (one column per target, in column order).
 
-    The target list is a bounded configuration-sized domain (guarded)."""
-    tg = grid.groupBy(T).agg(F.min("col_rank").alias("r"))
-    targets = [r[T] for r in sorted(collect_small(tg, MAX_GRID_TARGETS, "pivot targets"),
-                                    key=lambda r: (r["r"], r[T]))]
-    return (grid.groupBy(*keys, C, "export_rank").pivot(T, targets)
+    Its columns are part of the plan, so their names come to the driver first;
+    ``targets`` saves that job where the caller knows them."""
+    if targets is None:
+        named = grid.groupBy(T).agg(F.min("col_rank").alias("r")).orderBy("r", T)
+        targets = [r[T] for r in named.collect()]
+    return (grid.groupBy(*keys, C, "export_rank").pivot(T, list(targets))
             .agg(F.first(value_col)))
 
 

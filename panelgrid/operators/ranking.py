@@ -4,8 +4,11 @@ A window ``row_number() over (partition by view order by ...)`` sends every row
 of a view to one task; with a single view that is the whole table.  Here the
 rows are range-partitioned on (keys, order) instead, numbered inside each
 partition in sort order, and shifted by the number of same-key rows in the
-earlier partitions.  Only a (partition, key) count table — at most
-partitions + keys - 1 rows — is aggregated and broadcast back.
+earlier partitions.
+
+The numbered rows are written to the shared folder once, and both the offsets
+and the result read that table: range bounds come from sampling, so partition
+numbers of two evaluations must never be combined.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
                  rank_col: str = "rank", total_col: Optional[str] = None,
@@ -22,16 +27,17 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     """Add a 1-based ``rank_col`` following ``order`` within each ``keys`` group.
 
     ``order`` must be a total order inside a group (end it with a unique
-    column) so that the result is deterministic.  ``keys`` must be a bounded
-    domain (views, subgroups).  ``total_col`` adds the group size.
+    column) so that the result is deterministic.  ``total_col`` adds the group
+    size.  The offsets table has at most partitions + groups rows; Spark
+    broadcasts it if its size allows.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key_cols = [F.col(k) for k in keys]
-    parted = (df.repartitionByRange(n, *key_cols, *order)
-              .sortWithinPartitions(*key_cols, *order)
-              .withColumn("_rk_pid", F.spark_partition_id())
-              .withColumn("_rk_mid", F.monotonically_increasing_id()))
+    parted = stored(df.repartitionByRange(n, *key_cols, *order)
+                    .sortWithinPartitions(*key_cols, *order)
+                    .withColumn("_rk_pid", F.spark_partition_id())
+                    .withColumn("_rk_mid", F.monotonically_increasing_id()), "ranked")
     stats = parted.groupBy("_rk_pid", *keys).agg(
         F.min("_rk_mid").alias("_rk_first"), F.count(F.lit(1)).alias("_rk_n"))
     w = Window.partitionBy(*keys).orderBy("_rk_pid")
@@ -40,6 +46,14 @@ def ordered_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
         F.coalesce(F.sum("_rk_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if total_col:
         stats = stats.withColumn(total_col, F.sum("_rk_n").over(Window.partitionBy(*keys)))
-    out = parted.join(F.broadcast(stats), ["_rk_pid", *keys], "inner")
+    stats = stats.withColumnsRenamed({k: f"_rk_{k}" for k in keys})
+    out = parted.join(stats.withColumnRenamed("_rk_pid", "_rk_of"), (F.col("_rk_pid") == F.col("_rk_of")) & _same(keys))
     out = out.withColumn(rank_col, F.col("_rk_mid") - F.col("_rk_first") + F.col("_rk_before") + 1)
-    return out.drop("_rk_pid", "_rk_mid", "_rk_first", "_rk_n", "_rk_before")
+    return out.drop("_rk_pid", "_rk_of", "_rk_mid", "_rk_first", "_rk_n", "_rk_before", *[f"_rk_{k}" for k in keys])
+
+
+def _same(keys: Sequence[str]) -> Column:
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_rk_{k}"))
+    return same

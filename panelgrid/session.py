@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from typing import Optional, Sequence
+from typing import Optional
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +46,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(cur)
         return sc.getCheckpointDir() or cur
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="panelgrid-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -57,6 +59,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back, so
+    that every plan on top of it sees the same evaluation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def rows_df(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
     """Rule table from python rows as a local (JVM-side) table.
 
@@ -76,25 +92,14 @@ def rows_df(spark: SparkSession, rows, schema: str | StructType) -> DataFrame:
     return spark.createDataFrame(pdf, schema)
 
 
-_COUNT_MEMO: dict = {}
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int, known_rows: Optional[int] = None) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows.
+    """Broadcast ``df`` only when its length is known and at most ``max_rows``.
 
-    Python rule tables pass their length; DataFrames are counted with a
-    ``limit(max_rows + 1)`` probe (memoised per plan within the process).
-    Beyond the bound the plain DataFrame is returned and Spark plans a
-    shuffle join instead.
+    Python rule tables pass their length.  Of a DataFrame nothing is known
+    while the plan is built: it is returned as it is, and Spark decides by the
+    size it meets at run time.
     """
-    n = known_rows
-    if n is None:
-        key = (df.semanticHash(), max_rows)
-        n = _COUNT_MEMO.get(key)
-        if n is None:
-            n = df.limit(max_rows + 1).count()
-            _COUNT_MEMO[key] = n
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if known_rows is not None and known_rows <= max_rows else df
 
 
 def rule_dim(spark: SparkSession, rows, schema: str, max_rows: int) -> DataFrame:
@@ -111,9 +116,3 @@ def collect_small(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; refusing to collect")
     return rows
-
-
-def seq_or_none(x) -> Optional[Sequence]:
-    if x is None:
-        return None
-    return list(x)

@@ -12,8 +12,9 @@ import re
 from dataclasses import dataclass
 from typing import Iterable, Optional, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import (
     CONSTRUCT_HEADER_PATTERNS, HEADER_PATTERNS, IC50_CORRECTED_PATTERNS, IC50_FALLBACK_PATTERNS,
@@ -21,24 +22,48 @@ from ..config import (
 )
 
 # CSV dialect that round-trips quotes and embedded newlines (labels may hold "\n").
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "quote": '"', "escape": '"',
+CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_sheet(spark: SparkSession, path: str | Sequence[str], row_id: str = "row_id") -> DataFrame:
+def read_sheet(spark: SparkSession, path: str | Sequence[str], row_id: str = "row_id",
+               multi_line: bool = False) -> DataFrame:
     """Read CSV sheet(s) from any Hadoop-FS URI as all-text columns.
 
-    Short rows are padded with ``""`` (PERMISSIVE mode + fill) and header
-    names are stripped.  ``row_id`` records input order: with ``multiLine``
-    each file is one partition, so the id grows with the row position.
+    Short rows are padded with ``""`` and header names are stripped.  A row with
+    more cells than the header fails the read (FAILFAST would also refuse short
+    rows, so longer ones are found by an extra column).  ``multi_line`` admits
+    line ends inside cells; each file is then one split.
+
+    ``row_id`` grows with the place of the file in ``path`` (files of a folder:
+    by name), the split's place in the file and the row's place in the split,
+    whatever order Spark reads them in.
     """
-    df = (spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
-          .option("inferSchema", "false").csv(path))
-    df = df.toDF(*[c.strip() for c in df.columns])
-    df = df.na.fill("")
-    if row_id and row_id not in df.columns:
-        df = df.withColumn(row_id, F.monotonically_increasing_id())
-    return df
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.options(**CSV_OPTIONS).option("inferSchema", "false").option("multiLine", multi_line)
+    names = reader.csv(paths).columns
+    schema = StructType([StructField(c, StringType()) for c in [*names, "_beyond"]])
+    df = reader.option("enforceSchema", "true").schema(schema).csv(paths)
+    meta = F.col("_metadata")
+    place = F.lit(0)
+    for k, p in enumerate(paths):
+        place = F.when(meta["file_path"].contains(p.rstrip("/").split(":", 1)[-1].lstrip("/")), F.lit(k)).otherwise(place)
+    df = df.select("*", place.alias("_nth"), meta["file_path"].alias("_file"), meta["file_block_start"].alias("_split"),
+                   F.monotonically_increasing_id().alias("_row"))
+    refused = F.when(F.col("_beyond").isNotNull(), F.raise_error(F.concat(
+        F.lit("more cells than header names in "), F.col("_file"), F.lit(": "), F.col("_beyond"))))
+    first = names[0]
+    df = df.withColumn(first, F.coalesce(refused.cast("string"), F.col(f"`{first}`")))
+    stripped = [c.strip() for c in names]
+    if row_id and row_id not in stripped:
+        files = df.select("_nth", "_file").distinct()
+        numbered = files.withColumn("_of", F.row_number().over(Window.orderBy("_nth", "_file")))
+        in_split = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))  # above these bits is the task
+        order = F.concat(*[F.lpad(c.cast("string"), width, "0") for c, width in (
+            (F.col("_of"), 7), (F.col("_split"), 15), (in_split, 10))])
+        df = df.join(F.broadcast(numbered.drop("_nth")), "_file").withColumn(row_id, order.cast("decimal(38,0)"))
+        return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(s) for c, s in zip(names, stripped)], row_id)
+    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(s) for c, s in zip(names, stripped)])
 
 
 def write_sheet(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -29,8 +29,8 @@ def con():
 
 
 def _names():
-    import __spark_entry__ as e
-    return sorted(e.queries())
+    from panelgrid.plans.catalog import QUERIES
+    return sorted(QUERIES)
 
 
 @pytest.mark.parametrize("name", _names())
