@@ -77,6 +77,15 @@ IC50_FALLBACK_PATTERNS = (r"ic50",)
 NEUT_CORRECTED_PATTERNS = (r"^avg_neut_percent_corrected$", r"avg.?neut.?percent.?corrected")
 NEUT_RAW_PATTERNS = (r"^avg_neut_percent$",)
 NEUT_FALLBACK_PATTERNS = (r"avg.?neut.?percent", r"neutrali")
+
+
+def sheet_roles(corrected: bool) -> dict[str, tuple[str, ...]]:
+    """Ordered header patterns of every role of a measurement sheet."""
+    ic50, neut = ((IC50_CORRECTED_PATTERNS, NEUT_CORRECTED_PATTERNS) if corrected
+                  else (IC50_RAW_PATTERNS, NEUT_RAW_PATTERNS))
+    return HEADER_PATTERNS | {"ic50": ic50 + IC50_FALLBACK_PATTERNS, "neut": neut + NEUT_FALLBACK_PATTERNS}
+
+
 # Constructs sheet headers.
 CONSTRUCT_HEADER_PATTERNS = {
     "program": (r"^program$",),

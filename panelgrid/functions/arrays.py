@@ -77,8 +77,13 @@ def value_at_dose(dil, neut, dose, tol: float = DOSE_TOLERANCE) -> Column:
     """Response at the first dose within ``tol`` (strict); arrays must be
     non-empty and of equal length, else null."""
     d, n = _c(dil), _c(neut)
-    target = dose if isinstance(dose, Column) else F.lit(float(dose))
-    hit = F.get(F.filter(_zip(d, n), lambda p: F.abs(p["d"] - target) < tol), 0)
+    pairs = _zip(d, n)
+
+    def nearest(target: Column) -> Column:
+        return F.get(F.filter(pairs, lambda p: F.abs(p["d"] - target) < tol), 0)
+
+    # A column may be a subquery, which a lambda cannot hold: bind its value first.
+    hit = F.transform(F.array(dose), nearest)[0] if isinstance(dose, Column) else nearest(F.lit(float(dose)))
     return F.when((F.size(d) > 0) & (F.size(d) == F.size(n)), hit["n"])
 
 

@@ -72,11 +72,9 @@ def classified_constructs(tidy: DataFrame, rules: Rules,
 
 
 def with_subgroup(tidy: DataFrame, rules: Rules, text_col: str = "Construct_Description") -> DataFrame:
-    """Row-level ``Subgroup``: classify the distinct constructs once, join back
-    on the construct (shuffle join; AQE turns it into a broadcast when the
-    construct table is small at run time)."""
-    dim = classified_constructs(tidy, rules, text_col).select(text_col, "Subgroup")
-    return tidy.join(dim, text_col, "left")
+    """Row-level ``Subgroup``: the rule expression on the row itself.  Nothing is
+    joined on the construct, of which one may hold a third of all rows."""
+    return classify(tidy, rules, text_col)
 
 
 def subgroup_order_dim(spark, rules: Rules) -> DataFrame:

@@ -28,7 +28,7 @@ def match_panel(targets: DataFrame, panel: Sequence[str], target_col: str = T) -
     target name (the dashboard's order there is hash-set order).  Duplicates
     keep their first position.  Returns (PSV, col_rank) with ranks 1..n.
 
-    The panel is a configuration list: one aggregate row tells, per entry,
+    The panel is a configuration list: a scalar subquery tells, per entry,
     whether an exact hit exists; each distinct target then gets the first
     panel position it matches (a generated expression, no join).
     """
@@ -36,12 +36,10 @@ def match_panel(targets: DataFrame, panel: Sequence[str], target_col: str = T) -
     tg = targets.select(F.col(target_col).alias(T)).distinct()
     if not names:
         return tg.limit(0).select(T, F.lit(1).cast("bigint").alias("col_rank"))
-    has = tg.agg(*[F.max(F.col(T) == F.lit(nm)).alias(f"h{i}") for i, nm in enumerate(names)]).collect()[0]
-    first = None
-    for i, nm in enumerate(names):
-        hit = (F.col(T) == F.lit(nm)) if has[f"h{i}"] else F.lower(F.col(T)).contains(nm.lower())
-        pos = F.when(hit, F.lit(i))
-        first = pos if first is None else F.least(first, pos)
+    exact = tg.agg(F.array(*[F.coalesce(F.max(F.col(T) == F.lit(nm)), F.lit(False)) for nm in names]).alias("exact")).scalar()
+    hits = F.array(*[F.when(exact[i], F.col(T) == F.lit(nm)).otherwise(F.lower(F.col(T)).contains(nm.lower()))
+                     for i, nm in enumerate(names)])
+    first = F.nullif(F.array_position(hits, F.lit(True)), F.lit(0))
     matched = tg.withColumn("_ord", first).filter(F.col("_ord").isNotNull())
     ranked = ordered_rank(matched, [], [F.col("_ord").asc(), F.col(T).asc()], rank_col="col_rank")
     return ranked.select(T, F.col("col_rank").cast("bigint"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Optional, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT_DOSES, FALLBACK_DOSE, ViewSpec
@@ -27,7 +27,7 @@ def compute_view(tidy: DataFrame, metric: str, dilution=None,
     d = tidy.filter(F.col("Bucket_Type").isin(*buckets))  # F7
     if metric == "pct_neut":
         if dilution is None:
-            raise ValueError("dilution is required for metric='pct_neut'")
+            raise ValueError("a percent view needs a dose: pass a number, a column or 'all'")
         if isinstance(dilution, str) and dilution == "all":
             pairs = d.select(*keys, F.explode(pairs_shortest("DilutionArray", "NeutArray")).alias("p"))
             cells = pairs.select(*keys, F.col("p")["n"].alias("cell_value"))
@@ -36,7 +36,7 @@ def compute_view(tidy: DataFrame, metric: str, dilution=None,
             # aggregation (count skips nulls, empty groups are removed): a row
             # filter here would be pushed below the projection and evaluate the
             # array parse twice.
-            cells = d.select(*keys, value_at_dose("DilutionArray", "NeutArray", float(dilution))
+            cells = d.select(*keys, value_at_dose("DilutionArray", "NeutArray", dilution if isinstance(dilution, Column) else float(dilution))
                              .alias("cell_value"))
             return (cells.groupBy(*keys)
                     .agg(F.avg("cell_value").alias("value"), F.count("cell_value").alias("n_tested"))
@@ -56,31 +56,24 @@ def compute_view(tidy: DataFrame, metric: str, dilution=None,
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def dose_domain(tidy: DataFrame) -> DataFrame:
-    """All distinct doses present in the tidy arrays (long form)."""
-    return tidy.select(F.explode("DilutionArray").alias("dilution")).distinct()
+def default_dose(tidy: DataFrame) -> Column:
+    """90 if present, else 30, else the smallest dose, else 30, as a scalar
+    subquery over one aggregate row; the arrays are not exploded."""
+    doses = F.col("DilutionArray")
+    found = [F.when(F.max(F.exists(doses, lambda d: d == x)), F.lit(float(x))) for x in DEFAULT_DOSES]
+    return tidy.agg(F.coalesce(*found, F.min(F.array_min(doses)), F.lit(float(FALLBACK_DOSE))).alias("dose")).scalar()
 
 
 def default_dilution(tidy: DataFrame) -> float:
-    """90 if present, else 30, else the smallest dose, else 30.
-
-    One aggregate row comes back to the driver (a scalar parameter)."""
-    d = F.col("dilution")
-    row = (tidy.select(F.explode("DilutionArray").alias("dilution"))
-           .agg(*[F.max(F.when(d == x, F.lit(1)).otherwise(F.lit(0))).alias(f"has{i}")
-                  for i, x in enumerate(DEFAULT_DOSES)], F.min(d).alias("lo"))
-           .collect()[0])
-    for i, x in enumerate(DEFAULT_DOSES):
-        if row[f"has{i}"] == 1:
-            return float(x)
-    return float(row["lo"]) if row["lo"] is not None else FALLBACK_DOSE
+    """The value of :func:`default_dose`, for titles."""
+    return tidy.sparkSession.range(1).select(default_dose(tidy)).first()[0]
 
 
 def resolve_dilution(tidy: DataFrame, spec: ViewSpec):
     if spec.metric != "pct_neut":
         return spec.dilution
     if spec.dilution is None:
-        return default_dilution(tidy)
+        return default_dose(tidy)
     return spec.dilution
 
 

@@ -28,7 +28,7 @@ from ..operators.grid import build_grid, cell_statuses, pivot_wide, unpivot_long
 from ..operators.prepare import (Prepared, build_lookup, cohort_filters, prepare,
                                  resolve_descriptions, tidy_projection)
 from ..operators.topn import match_panel, top_constructs
-from ..operators.view import compute_view, default_dilution
+from ..operators.view import compute_view, default_dilution, default_dose
 from ..session import scratch_path
 from ..sources.assay import DEMO_PANEL, constructs_sheet, demo_rules, measurement_sheet
 from ..sources.sheets import read_sheet, resolve_columns, select_resolved, write_sheet
@@ -96,7 +96,7 @@ def q01_scan_resolve(spark, sf_dir):
     loose = raw.select(F.col("row_id").cast("string").alias("row_id"),
                        *[F.col(k).alias(v) for k, v in SHEET_HEADERS.items()])
     path = scratch_path(spark, "sheet-csv")
-    write_sheet(loose, path)
+    write_sheet(loose.repartition(3), path)  # more than one file
     back = read_sheet(spark, path)
     out = select_resolved(back, corrected=True)
     return out.withColumn("row_id", F.col("row_id").cast("bigint"))
@@ -177,7 +177,7 @@ def _view_out(v: DataFrame) -> DataFrame:
 def q10_view_single_dose(spark, sf_dir):
     """% response at the default dose."""
     p = prepared(spark, sf_dir)
-    return _view_out(compute_view(p.tidy, "pct_neut", default_dilution(p.tidy), p.rules.buckets))
+    return _view_out(compute_view(p.tidy, "pct_neut", default_dose(p.tidy), p.rules.buckets))
 
 
 def q11_view_all_doses(spark, sf_dir):

@@ -10,18 +10,15 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from typing import Iterable, Optional, Sequence
+from typing import Iterable, Mapping, Optional, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..config import (
-    CONSTRUCT_HEADER_PATTERNS, HEADER_PATTERNS, IC50_CORRECTED_PATTERNS, IC50_FALLBACK_PATTERNS,
-    IC50_RAW_PATTERNS, NEUT_CORRECTED_PATTERNS, NEUT_FALLBACK_PATTERNS, NEUT_RAW_PATTERNS,
-)
+from ..config import CONSTRUCT_HEADER_PATTERNS, sheet_roles
 
-# CSV dialect that round-trips quotes and embedded newlines (labels may hold "\n").
+# CSV dialect that round-trips quotes.
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"',
                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -71,16 +68,16 @@ def write_sheet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
-def find_col(columns: Iterable[str], *patterns: str) -> Optional[str]:
-    """First column matching any pattern — pattern priority first, then
-    column order; case-insensitive search."""
-    cols = list(columns)
-    for p in patterns:
-        rx = re.compile(p, re.IGNORECASE)
-        for c in cols:
-            if rx.search(str(c)):
-                return c
-    return None
+def match_headers(headers: Sequence[str], roles: Mapping[str, Sequence[str]]) -> dict[str, Optional[str]]:
+    """The header of each role.  Every (pattern, header) hit of a role is a
+    candidate; the best is that of the earliest pattern, then the leftmost."""
+    best = {}
+    for role, patterns in roles.items():
+        hits = ((rank, place) for rank, p in enumerate(patterns) for place, h in enumerate(headers)
+                if re.search(p, h, re.IGNORECASE))
+        _, place = min(hits, default=(None, None))
+        best[role] = None if place is None else headers[place]
+    return best
 
 
 @dataclass(frozen=True)
@@ -104,26 +101,17 @@ class SheetColumns:
                     dilution=self.dilution, neut=self.neut, ic50=self.ic50)
 
 
+def _headers(columns: Iterable[str]) -> list[str]:
+    return [str(c).strip() for c in columns if c != "row_id"]
+
+
 def resolve_columns(columns: Iterable[str], corrected: bool = True) -> SheetColumns:
-    """S5 + S6: find every role; corrected vs raw measurement with fallbacks."""
-    cols = [str(c).strip() for c in columns if c != "row_id"]
-    found = {k: find_col(cols, *pats) for k, pats in HEADER_PATTERNS.items()}
-    if corrected:
-        ic50 = find_col(cols, *IC50_CORRECTED_PATTERNS)
-        neut = find_col(cols, *NEUT_CORRECTED_PATTERNS)
-    else:
-        ic50 = find_col(cols, *IC50_RAW_PATTERNS)
-        neut = find_col(cols, *NEUT_RAW_PATTERNS)
-    if ic50 is None:
-        ic50 = find_col(cols, *IC50_FALLBACK_PATTERNS)
-    if neut is None:
-        neut = find_col(cols, *NEUT_FALLBACK_PATTERNS)
-    return SheetColumns(ic50=ic50, neut=neut, **found)
+    """S5 + S6: the header of every role, measurements corrected or raw."""
+    return SheetColumns(**match_headers(_headers(columns), sheet_roles(corrected)))
 
 
 def resolve_construct_columns(columns: Iterable[str]) -> dict:
-    cols = [str(c).strip() for c in columns if c != "row_id"]
-    return {k: find_col(cols, *pats) for k, pats in CONSTRUCT_HEADER_PATTERNS.items()}
+    return match_headers(_headers(columns), CONSTRUCT_HEADER_PATTERNS)
 
 
 def select_resolved(raw: DataFrame, corrected: bool = True) -> DataFrame:

@@ -47,21 +47,27 @@ def cell_aggregates(raw: DataFrame, rules: Rules, dilution: float,
 
 def start_live_cells(raw_stream: DataFrame, rules: Rules, dilution: float, table_path: str,
                      checkpoint: str, constructs: Optional[DataFrame] = None, available_now: bool = True):
-    """Run the stateful aggregation; every micro-batch rewrites the complete
-    cell table at ``table_path`` (parquet).  Returns the StreamingQuery."""
+    """Run the stateful aggregation; every micro-batch adds the cells that it
+    changed to the table at ``table_path``, in a folder of its own, so readers
+    never meet a half-written table and a repeated batch replaces itself.
+    Returns the StreamingQuery."""
     cells = cell_aggregates(raw_stream, rules, dilution, constructs)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(table_path)
+        batch.write.mode("overwrite").parquet(f"{table_path}/batch={epoch}")
 
-    w = (cells.writeStream.outputMode("complete").foreachBatch(write)
+    w = (cells.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
 def view_from_cells(cells: DataFrame, metric: str) -> DataFrame:
-    """The view (A1 / A3 semantics) from the cell aggregates."""
+    """The view (A1 / A3 semantics) from the cell aggregates; of a live table,
+    each cell's latest batch."""
+    if "batch" in cells.columns:
+        sums = [c for c in cells.columns if c not in (*VIEW_KEYS, "batch")]
+        cells = cells.groupBy(*VIEW_KEYS).agg(F.max_by(F.struct(*sums), "batch").alias("_last")).select(*VIEW_KEYS, "_last.*")
     if metric == "pct_neut":
         return cells.filter(F.col("pct_n") > 0).select(
             *VIEW_KEYS, (F.col("pct_sum") / F.col("pct_n")).alias("value"),
