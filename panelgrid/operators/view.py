@@ -56,24 +56,22 @@ def compute_view(tidy: DataFrame, metric: str, dilution=None,
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def default_dose(tidy: DataFrame) -> Column:
-    """90 if present, else 30, else the smallest dose, else 30, as a scalar
-    subquery over one aggregate row; the arrays are not exploded."""
+def default_dilution(tidy: DataFrame) -> float:
+    """90 if present, else 30, else the smallest dose, else 30.
+
+    One aggregate row, without exploding the arrays.  It comes back to the
+    driver because the dose is compared inside a lambda, where Spark takes no
+    subquery."""
     doses = F.col("DilutionArray")
     found = [F.when(F.max(F.exists(doses, lambda d: d == x)), F.lit(float(x))) for x in DEFAULT_DOSES]
-    return tidy.agg(F.coalesce(*found, F.min(F.array_min(doses)), F.lit(float(FALLBACK_DOSE))).alias("dose")).scalar()
-
-
-def default_dilution(tidy: DataFrame) -> float:
-    """The value of :func:`default_dose`, for titles."""
-    return tidy.sparkSession.range(1).select(default_dose(tidy)).first()[0]
+    return tidy.agg(F.coalesce(*found, F.min(F.array_min(doses)), F.lit(float(FALLBACK_DOSE)))).first()[0]
 
 
 def resolve_dilution(tidy: DataFrame, spec: ViewSpec):
     if spec.metric != "pct_neut":
         return spec.dilution
     if spec.dilution is None:
-        return default_dose(tidy)
+        return default_dilution(tidy)
     return spec.dilution
 
 
