@@ -11,22 +11,23 @@ from __future__ import annotations
 from typing import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import ALL_CONSTRUCTS, ViewSpec
 from ..functions.arrays import array_text, parse_array_text, value_at_dose
 from ..functions.hill import hill4pl, logspace_points
-from ..functions.numeric import day_int
+from ..functions.numeric import day_int, parse_potency_variant
 from ..functions.status import view_title
 from ..operators.classify import classified_constructs, with_subgroup
 from ..operators.curve import curves
 from ..operators.diagnostics import counters, domains, grid_sizes
-from ..operators.export import export_long
+from ..operators.export import export_long, write_export
 from ..operators.fit import fit_curves, fit_lines
 from ..operators.grid import build_grid, cell_statuses, pivot_wide, unpivot_long
 from ..operators.prepare import (Prepared, build_lookup, cohort_filters, prepare,
                                  resolve_descriptions, tidy_projection)
+from ..operators.ranking import ordered_rank
 from ..operators.topn import match_panel, top_constructs
 from ..operators.view import compute_view, default_dilution
 from ..session import scratch_path
@@ -46,6 +47,7 @@ SPEC_FILTERED = ViewSpec(metric="pct_neut", dilution=30.0, experiments=("1-URGEN
 SPEC_MULTI = ViewSpec(metric="pct_neut", dilution=30.0, mode="threshold", threshold=50.0,
                       use_genotype=True)
 SPEC_TOP = ViewSpec(metric="pct_neut", dilution=90.0, mode="threshold", threshold=50.0)
+SPEC_CURVE = ViewSpec(metric="pct_neut", threshold=75.0, bucket="Boost1")
 
 _PREPARED: dict = {}
 
@@ -128,6 +130,13 @@ def q04_parse_arrays(spark, sf_dir):
     return arrays.select("row_id", *[x for k in src for x in _arr_summary(F.col(k), k)])
 
 
+def q04b_potency_variant(spark, sf_dir):
+    """The other reading of potency texts, on every raw row."""
+    raw = measurement_sheet(spark, sf_dir)
+    got = raw.select("row_id", parse_potency_variant("IC50").alias("p"))
+    return got.select("row_id", r6("p.log10").alias("log10"), F.col("p.is_nn").alias("is_nn"))
+
+
 def q05_value_at_dose(spark, sf_dir):
     """First response within the dose tolerance."""
     t = prepared(spark, sf_dir).tidy
@@ -274,6 +283,17 @@ def q21_curve(spark, sf_dir):
                     F.col("n_obs").cast("bigint"))
 
 
+def q21b_curve_request(spark, sf_dir):
+    """The curves of one target and bucket, their dose order and
+    the threshold line."""
+    p = prepared(spark, sf_dir)
+    c = views.curve_table(p, SPEC_CURVE, target="NATION_3")
+    by_dose = Window.partitionBy(C, T).orderBy("dilution")
+    return c.select(C, T, r6("dilution").alias("dilution"), r6("pct_neut").alias("pct_neut"),
+                    F.row_number().over(by_dose).cast("bigint").alias("dose_rank"),
+                    F.lit(SPEC_CURVE.curve_threshold()).alias("threshold"))
+
+
 def q22_diagnostics(spark, sf_dir):
     """Counters and the single-view title."""
     p = prepared(spark, sf_dir)
@@ -300,6 +320,16 @@ def q24_export_long(spark, sf_dir):
     return e.select(C, T, r6("value").alias("value"), "status", "export_seq")
 
 
+def q24b_export_file(spark, sf_dir):
+    """The export written as CSV and read back, with each row's place in the files."""
+    path = scratch_path(spark, "export-csv")
+    write_export(export_long(grid_q15(spark, sf_dir)), path)
+    back = read_sheet(spark, path, multi_line=True)  # labels may hold line ends
+    placed = ordered_rank(back, [], [F.col("row_id").asc()], rank_col="file_place")
+    return placed.select(C, T, r6(F.nullif(F.col("value"), F.lit("")).cast("double")).alias("value"), "status",
+                         F.col("export_seq").cast("bigint").alias("export_seq"), F.col("file_place").cast("bigint").alias("file_place"))
+
+
 def q25_pivot_wide(spark, sf_dir):
     """Value matrix, one column per target."""
     g = grid_q15(spark, sf_dir).withColumn("value", r6("value"))

@@ -9,7 +9,7 @@ configuration the Spark side uses.
 
 from __future__ import annotations
 
-from ..config import NN_TOKENS
+from ..config import NN_TOKENS, NN_TOKENS_VARIANT
 from ..functions.arrays import NP_WRAP_RE
 from ..functions.numeric import NUMBER_RE
 from ..sources.assay import (DEMO_EXACT, DEMO_GENOTYPES, DEMO_OVERRIDES, DEMO_PANEL, DEMO_PATTERNS,
@@ -384,6 +384,10 @@ FROM tidy t LEFT JOIN constructs c ON t.Construct_Description = c.Construct_Desc
     out["q04_parse_arrays"] = W() + f"""
 SELECT row_id, {arr_summary(parse_array('Dilution'), 'dil')}, {arr_summary(parse_array('Neut_corr'), 'neut')},
        {arr_summary(parse_array('Neut_raw'), 'neut_raw')} FROM raw"""
+    potency, number = f"upper({strip(txt('IC50_raw'))})", to_float("IC50_raw")
+    variant_nn = f"({potency} IN ({', '.join(q(t) for t in NN_TOKENS_VARIANT)}) OR {number} IS NULL OR {number} <= 0)"
+    out["q04b_potency_variant"] = W() + f"""
+SELECT row_id, round(CASE WHEN {variant_nn} THEN 0.0 ELSE log10({number}) END, 6) AS log10, {variant_nn} AS is_nn FROM raw"""
     vals = ", ".join(f"round({value_at('DilutionArray', 'NeutArray', d)}, 6) AS {nm}" for nm, d in
                      (("v30", "30.0"), ("v30_009", "30.009"), ("v30_02", "30.02"), ("v90", "90.0"),
                       ("v7290", "7290.0")))
@@ -441,6 +445,13 @@ SELECT Construct_Description, PSV, round(pv[1], 6) AS dilution, round(avg(pv[2])
 FROM (SELECT Construct_Description, PSV, unnest(list_zip(DilutionArray, NeutArray)) AS pv FROM tidy
       WHERE len(DilutionArray) > 0 AND len(DilutionArray) = len(NeutArray))
 GROUP BY Construct_Description, PSV, pv[1]"""
+    out["q21b_curve_request"] = W() + """
+SELECT Construct_Description, PSV, round(d, 6) AS dilution, round(m, 6) AS pct_neut,
+       row_number() OVER (PARTITION BY Construct_Description, PSV ORDER BY d) AS dose_rank, 75.0::DOUBLE AS threshold
+FROM (SELECT Construct_Description, PSV, pv[1] AS d, avg(pv[2]) AS m
+      FROM (SELECT Construct_Description, PSV, unnest(list_zip(DilutionArray, NeutArray)) AS pv FROM tidy
+            WHERE len(DilutionArray) > 0 AND len(DilutionArray) = len(NeutArray) AND PSV = 'NATION_3' AND Bucket_Type = 'Boost1')
+      GROUP BY Construct_Description, PSV, pv[1])"""
     out["q22_diagnostics"] = W() + f"""
 SELECT (SELECT count(*) FROM raw) AS n_raw, (SELECT count(*) FROM filt) AS n_after_filter,
        (SELECT count_if(Bucket_Type = 'Unknown') FROM tidy) AS n_unknown_bucket,
@@ -470,6 +481,10 @@ SELECT domain, CAST(row_number() OVER (PARTITION BY domain ORDER BY k, value) AS
     out["q24_export_long"] = W(*g15) + """
 SELECT Construct_Description, PSV, round(value, 6) AS value, status,
        CAST((col_rank - 1) * n_rows + export_rank AS BIGINT) AS export_seq FROM g_grid"""
+    out["q24b_export_file"] = W(*g15) + """
+SELECT Construct_Description, PSV, round(value, 6) AS value, status,
+       CAST((col_rank - 1) * n_rows + export_rank AS BIGINT) AS export_seq,
+       row_number() OVER (ORDER BY (col_rank - 1) * n_rows + export_rank) AS file_place FROM g_grid"""
     out["q25_pivot_wide"] = W(*g15, "gw AS (SELECT Construct_Description, CAST(export_rank AS BIGINT) AS export_rank, PSV, "
                               "round(value, 6) AS value FROM g_grid)") + """
 SELECT Construct_Description, export_rank, """ + ", ".join(
