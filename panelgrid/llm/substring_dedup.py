@@ -6,9 +6,9 @@ sentence ends and before a capital after a small letter, so that a passage is
 cut alike wherever it was pasted in; a paragraph of fewer than ``LEAST_WORDS``
 words stays with the one before it on its line, and is not compared alone.
 Equal paragraphs are found by a 128-bit fingerprint of their words.  Paragraphs
-of ``NEAR_SHINGLES`` five-word shingles or more are banded by MinHash too, one
-sample to a band, which misses a pair at the threshold with a chance of
-(1 - similarity) ^ BANDS; colliding ones are verified by exact Jaccard, and the
+of ``NEAR_SHINGLES`` five-word shingles or more are banded by MinHash too, with
+as many bands of ``ROWS`` samples as it takes to miss a pair at the threshold
+with at most the chance ``MISS``; colliding ones are verified by exact Jaccard, and the
 components of these links are one class (:mod:`panelgrid.llm.linking`).
 
 A paragraph whose class occurs in a document with a smaller id is a repeat.
@@ -42,7 +42,10 @@ from panelgrid.llm.pretokens import mix64, powers
 WIDTH = 5
 LEAST_WORDS = 8
 NEAR_SHINGLES = 16
-BANDS = 4
+#: Two samples to a band: with one, any shared shingle would make a candidate,
+#: and candidates chain.  The bands miss a pair at the threshold with at most MISS.
+ROWS = 2
+MISS = 0.003
 LEAST_RUN = 30
 
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -98,7 +101,7 @@ def _fingerprints(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(mix64(np.add.reduceat(mix64(words ^ np.uint64(salt)) * scale, starts)).view(np.int64) for salt in (0, 0x5DEECE66D))
 
 
-def paragraph_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def paragraph_rows(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, idx, words, start, end, h1, h2, keys (null for short paragraphs)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +113,9 @@ def paragraph_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 h1, h2 = _fingerprints(words, size)
                 h, of = shingles.shingle_hashes(words, size, WIDTH)
                 near = np.bincount(of, minlength=len(size)) >= NEAR_SHINGLES
-                samples = shingles.minhash(h[near[of]], (np.cumsum(near) - 1)[of[near[of]]], int(near.sum()), BANDS)
-                keys = shingles.band_keys(samples, BANDS, 1)
-                offsets = np.concatenate([[0], np.cumsum(near * BANDS)]).astype(np.int32)
+                samples = shingles.minhash(h[near[of]], (np.cumsum(near) - 1)[of[near[of]]], int(near.sum()), bands * ROWS)
+                keys = shingles.band_keys(samples, bands, ROWS)
+                offsets = np.concatenate([[0], np.cumsum(near * bands)]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
                 rows = batch.select(["doc_id", "text_hash"]).take(pa.array(found["owner"]))
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +149,8 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     """One row for each text with repeats: doc_id, text_hash, spans (array of
     start and end byte, words, and first_doc, the document that keeps the
     class of the span's first paragraph), in order of place."""
-    rows = stored(paragraph_rows(docs, id_col, text_col), "paragraphs")
+    bands = shingles.bands_for(percent / 100, ROWS, MISS)
+    rows = stored(paragraph_rows(docs, bands, id_col, text_col), "paragraphs")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
                         F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     large = rows.where("size(keys) > 0")
