@@ -56,10 +56,15 @@ def heatmap(p: Prepared, spec: ViewSpec, show_values: bool = True) -> DataFrame:
 
 def small_multiples(p: Prepared, spec: ViewSpec, show_values: bool = True) -> DataFrame:
     """One grid per present subgroup, in a single plan keyed by subgroup;
-    empty subgroups simply produce no rows."""
+    empty subgroups simply produce no rows.  If no construct of the data is in a
+    listed subgroup, there is one grid of all constructs."""
     v = spec_view(p, spec, with_subgroup=True)
     listed = list(p.rules.subgroup_order)
-    v = v.filter(F.col("Subgroup").isin(*listed))
+    in_list = F.col("Subgroup").isin(*listed) if listed else F.lit(False)
+    any_listed = classify(p.tidy.select(C).distinct(), p.rules).agg(
+        F.coalesce(F.max(in_list), F.lit(False)).alias("any_listed")).scalar()
+    v = v.filter(in_list | ~any_listed).withColumn(
+        "Subgroup", F.when(any_listed, F.col("Subgroup")).otherwise(F.lit(ALL_CONSTRUCTS)))
     grid = _grid(v, p, spec, keys=["Subgroup"])
     return encode_cells(grid, spec.metric, spec.mode, show_values)
 

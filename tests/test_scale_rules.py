@@ -99,3 +99,17 @@ def test_fits_use_the_whole_effort():
             assert f[4] <= s[4] * (1 + 1e-9)
     alone = [fit_hill(x, y) for y in ys]
     assert [f[-1] for f in alone] == [f[-1] for f in full]
+
+
+def test_small_multiples_without_listed_subgroups(spark):
+    from dataclasses import replace
+
+    from panelgrid.plans import catalog, views
+    from tests.conftest import SF_SMALL
+
+    p = catalog.prepared(spark, SF_SMALL)
+    for order in ((), ("no construct is here",)):
+        got = views.small_multiples(replace(p, rules=replace(p.rules, subgroup_order=order)), catalog.SPEC_MULTI)
+        one = views.heatmap(p, catalog.SPEC_MULTI)
+        assert {r[0] for r in got.select("Subgroup").distinct().collect()} == {"All constructs"}
+        assert got.count() == one.count() > 0
