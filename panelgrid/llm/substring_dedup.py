@@ -1,5 +1,5 @@
 """Removal of passages that repeat across documents, by MinHash banding of
-paragraphs.
+paragraphs and by windows of words that content alone chooses.
 
 A text falls into paragraphs where its own words say so: at line ends, behind
 sentence ends and before a capital after a small letter, so that a passage is
@@ -11,13 +11,22 @@ as many bands of ``ROWS`` samples as it takes to miss a pair at the threshold
 with at most the chance ``MISS``; colliding ones are verified by exact Jaccard, and the
 components of these links are one class (:mod:`panelgrid.llm.linking`).
 
-A paragraph whose class occurs in a document with a smaller id is a repeat.
-Neighbouring repeats that come to ``LEAST_RUN`` words are removed; what is
-shorter stays.  So of each passage the document with the smallest id keeps it.
+What is shared word for word is found without regard to lines, stops and
+capitals: of the windows of ``WINDOW`` words of a text, those are anchors whose
+hash is the least of ``AMONG`` neighbouring ones (winnowing), so that every run
+of ``WINDOW + AMONG - 1`` = 50 words has the same anchor wherever it lies.
+Neighbouring anchors overlap or touch; from the outermost repeated ones every
+window is compared, a word further each time, up to the run's true ends.
 
-Plan: one pass makes paragraph rows (ids, places, fingerprints, no text); they
-are aggregated by fingerprint before anything is joined, so a passage that a
-third of all documents share is one row from each task.
+A paragraph whose class, or a window that, occurs in a document with a smaller
+id is a repeat.  Repeats that touch or overlap and come to ``LEAST_RUN`` words
+are removed; what is shorter stays.  So of each passage the document with the
+smallest id keeps it.
+
+Plan: one pass makes rows of paragraphs and anchors (ids, places, fingerprints,
+no text); they are aggregated by fingerprint before anything is joined, so a
+passage that a third of all documents share is one row from each task.  Windows
+beside anchors are made only where a repeat may end.
 
 Defined results: null and empty texts and texts of short paragraphs have no
 repeats; rows with a null id are never cut and cut nothing; rows that repeat an
@@ -47,6 +56,10 @@ NEAR_SHINGLES = 16
 ROWS = 2
 MISS = 0.003
 LEAST_RUN = 30
+#: Words of a window, and neighbouring windows of which the least hash is an
+#: anchor.  AMONG is less than WINDOW, so that neighbouring anchors leave no word out.
+WINDOW = 26
+AMONG = 25
 
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _UPPER = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
@@ -54,16 +67,36 @@ _UPPER = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
 
 def paragraphs(raw: list[bytes]) -> dict[str, np.ndarray]:
     """The paragraphs of at least LEAST_WORDS words of some texts: owner, number
-    within its text, words, start and end byte in its text; word hashes and
-    each paragraph's first word among them."""
-    joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    ends = np.cumsum([len(r) + 1 for r in raw])
-    starts, lengths, words = shingles.word_hashes(joined)
+    within its text, first word in its text, words, start and end byte in its
+    text; word hashes and each paragraph's first word among them."""
+    return _paragraphs(_words(raw))
+
+
+class _words:
+    """The words of some texts: hashes, start and end byte in its text, and of
+    each text the first of its words."""
+
+    def __init__(self, raw: list[bytes]):
+        self.joined = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+        ends = np.cumsum([len(r) + 1 for r in raw])
+        self.starts, self.lengths, self.hashes = shingles.word_hashes(self.joined)
+        self.owner = np.searchsorted(ends, self.starts, "right")
+        self.base = ends - np.array([len(r) + 1 for r in raw])
+        self.first = np.searchsorted(self.owner, np.arange(len(raw) + 1))
+
+    def spans(self, at: np.ndarray, size: np.ndarray) -> dict[str, np.ndarray]:
+        """Places of the spans of ``size`` words from the words ``at``, in ascending order."""
+        own, last = self.owner[at], at + size - 1
+        return {"owner": own, "idx": np.arange(len(at)) - np.searchsorted(own, own, "left"), "at": at - self.first[own], "words": size,
+                "start": self.starts[at] - self.base[own], "end": self.starts[last] + self.lengths[last] - self.base[own]}
+
+
+def _paragraphs(text: _words) -> dict[str, np.ndarray]:
+    joined, starts, lengths, words = text.joined, text.starts, text.lengths, text.hashes
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return dict.fromkeys(("owner", "idx", "words", "start", "end", "first"), none) | {"hashes": words}
-    owner = np.searchsorted(ends, starts, "right")
+        return dict.fromkeys(("owner", "idx", "at", "words", "start", "end", "first"), none) | {"hashes": words}
     lines = np.cumsum(joined == 10)
     hard = np.ones(n, bool)
     hard[1:] = lines[starts[1:]] != lines[starts[:-1]]
@@ -78,12 +111,54 @@ def paragraphs(raw: list[bytes]) -> dict[str, np.ndarray]:
     size = np.diff(at, append=n)
     keep = size >= LEAST_WORDS
     at, size = at[keep], size[keep]
-    base = ends - np.array([len(r) + 1 for r in raw])
-    own = owner[at]
-    nth = np.arange(len(at)) - np.searchsorted(own, own, "left")
-    last = at + size - 1
-    return {"owner": own, "idx": nth, "words": size, "start": starts[at] - base[own],
-            "end": starts[last] + lengths[last] - base[own], "first": at, "hashes": words}
+    return text.spans(at, size) | {"first": at, "hashes": words}
+
+
+def _window_hashes(text: _words) -> np.ndarray:
+    """A hash of the WINDOW words from each word on; where fewer are left in its text, it is of no use."""
+    n = len(text.hashes)
+    scale = powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(text.hashes) * scale[:n], dtype=np.uint64)])
+    upto = np.minimum(np.arange(n) + WINDOW, n)
+    # Scaled down to the window's own first place, so that equal windows have equal sums.
+    return mix64((total[upto] - total[:n]) * _inverse_powers(n))
+
+
+_INVERSE = np.ones(1, np.uint64)
+
+
+def _inverse_powers(n: int) -> np.ndarray:
+    """The inverses of the first ``n`` ``powers``, modulo 2^64."""
+    global _INVERSE
+    if len(_INVERSE) < n:
+        steps = np.full(max(n, 256), pow(int(powers(2)[1]), -1, 1 << 64), np.uint64)
+        steps[0] = 1
+        _INVERSE = np.cumprod(steps, dtype=np.uint64)
+    return _INVERSE[:n]
+
+
+def _extreme(x: np.ndarray, width: int, of: np.ufunc) -> np.ndarray:
+    """The least or largest of each ``width`` neighbours in ``x``, from the first of them on."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x = of(x[:len(x) - step], x[step:])
+        done += step
+    return x
+
+
+def anchors(text: _words) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of the anchors, and their hashes."""
+    n, run = len(text.hashes), WINDOW + AMONG - 1
+    if n < run:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = _window_hashes(text)
+    least = _extreme(hashes[:n - WINDOW + 1], AMONG, np.minimum)
+    left = text.first[text.owner + 1] - np.arange(n)  # words up to the text's end
+    least[left[:len(least)] < run] = 0
+    around = np.concatenate([np.zeros(AMONG - 1, np.uint64), least, np.zeros(AMONG - 1, np.uint64)])
+    at = np.flatnonzero((_extreme(around, AMONG, np.maximum) == hashes[:n - WINDOW + 1]) & (left[:n - WINDOW + 1] >= WINDOW))
+    return at, hashes[at].view(np.int64)
 
 
 def _spans(found: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,14 +176,25 @@ def _fingerprints(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple(mix64(np.add.reduceat(mix64(words ^ np.uint64(salt)) * scale, starts)).view(np.int64) for salt in (0, 0x5DEECE66D))
 
 
+PLACES = "doc_id long, text_hash long, idx int, at int, words int, start int, end int"
+
+
+def _placed(batch: pa.RecordBatch, found: dict[str, np.ndarray], more: list[pa.Array]) -> pa.RecordBatch:
+    rows = batch.select(["doc_id", "text_hash"]).take(pa.array(found["owner"]))
+    places = [pa.array(found[c].astype(np.int32)) for c in ("idx", "at", "words", "start", "end")]
+    return pa.RecordBatch.from_arrays([*rows.columns, *places, *more], names=[
+        *(c.split()[0] for c in PLACES.split(", ")), *("h1", "h2", "keys")[:len(more)]])
+
+
 def paragraph_rows(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, idx, words, start, end, h1, h2, keys (null for short paragraphs)."""
+    """doc_id, text_hash, idx, at, words, start, end, h1, h2, keys (empty for short paragraphs); anchors have no h2 and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-                found = paragraphs(raw)
+                text = _words(raw)
+                found = _paragraphs(text)
                 words, size = _spans(found)
                 h1, h2 = _fingerprints(words, size)
                 h, of = shingles.shingle_hashes(words, size, WIDTH)
@@ -117,15 +203,33 @@ def paragraph_rows(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col
                 keys = shingles.band_keys(samples, bands, ROWS)
                 offsets = np.concatenate([[0], np.cumsum(near * bands)]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-                rows = batch.select(["doc_id", "text_hash"]).take(pa.array(found["owner"]))
-                yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, *[pa.array(found[c].astype(np.int32)) for c in ("idx", "words", "start", "end")],
-                     pa.array(h1), pa.array(h2), keys],
-                    names=["doc_id", "text_hash", "idx", "words", "start", "end", "h1", "h2", "keys"])
+                yield _placed(batch, found, [pa.array(h1), pa.array(h2), keys])
+                at, h = anchors(text)
+                yield _placed(batch, text.spans(at, np.full(len(at), WINDOW)), [
+                    pa.array(h), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int64()))])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
                        F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, "doc_id long, text_hash long, idx int, words int, start int, end int, h1 long, h2 long, keys array<long>")
+    return rows.mapInArrow(run, f"{PLACES}, h1 long, h2 long, keys array<long>")
+
+
+def _windows_beside(rows: DataFrame) -> DataFrame:
+    """The windows up to AMONG - 1 words before the words ``lefts`` and behind
+    the words ``rights`` of ``text``: their places and h1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                text = _words([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()])
+                wanted = np.zeros(len(text.hashes) + 1, bool)
+                for column, steps in ((3, np.arange(1 - AMONG, 0)), (4, np.arange(1, AMONG))):
+                    for k, places in enumerate(batch.column(column).to_pylist()):
+                        at = (text.first[k] + np.array(places, np.int64)[:, None] + steps).ravel()
+                        wanted[at[(at >= text.first[k]) & (at + WINDOW <= text.first[k + 1])]] = True
+                at = np.flatnonzero(wanted)
+                yield _placed(batch, text.spans(at, np.full(len(at), WINDOW)), [pa.array(_window_hashes(text)[at].view(np.int64))])
+
+    return rows.select("doc_id", "text_hash", "text", "lefts", "rights").mapInArrow(run, f"{PLACES}, h1 long")
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -145,12 +249,40 @@ def _members(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.select(*kept).withColumn("members", F.lit(b"")).schema)
 
 
+def _repeated(windows: DataFrame) -> DataFrame:
+    """Those of ``windows`` that a document with a smaller id has too, with its id as first_doc."""
+    first = windows.groupBy("h1").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
+    return windows.join(first.drop("last_doc"), "h1").where("doc_id > first_doc")
+
+
+def verbatim_repeats(marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The repeated windows that cover each run of words that a document shares
+    with one of a smaller id: anchors, and the windows between the outermost
+    ones and the run's ends."""
+    inner = stored(_repeated(marks), "anchors")
+    one_text = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
+
+    def apart(other) -> F.Column:
+        """Whether the next anchor on that side is none of the same document's."""
+        return ~F.coalesce((F.abs(other("idx") - F.col("idx")) == 1) & (other("first_doc") == F.col("first_doc")), F.lit(False))
+
+    ends = inner.select("h1", apart(lambda c: F.lag(c).over(one_text)).alias("left"), apart(lambda c: F.lead(c).over(one_text)).alias("right"))
+    ends = ends.where("left OR right").groupBy("h1").agg(F.max("left").alias("left"), F.max("right").alias("right"))
+    # The document that keeps the run shows its windows there too.
+    beside = marks.join(ends, "h1").groupBy("doc_id", "text_hash").agg(
+        F.collect_set(F.when(F.col("left"), F.col("at"))).alias("lefts"), F.collect_set(F.when(F.col("right"), F.col("at"))).alias("rights"))
+    located = beside.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
+    outer = _repeated(stored(_windows_beside(located), "windows"))
+    return inner.drop("h1").unionByName(outer.drop("h1"))
+
+
 def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each text with repeats: doc_id, text_hash, spans (array of
     start and end byte, words, and first_doc, the document that keeps the
-    class of the span's first paragraph), in order of place."""
+    class of the span's first paragraph or window), in order of place."""
     bands = shingles.bands_for(percent / 100, ROWS, MISS)
-    rows = stored(paragraph_rows(docs, bands, id_col, text_col), "paragraphs")
+    everything = stored(paragraph_rows(docs, bands, id_col, text_col), "paragraphs")
+    rows, marks = everything.where("h2 IS NOT NULL"), everything.where("h2 IS NULL").drop("h2", "keys")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
                         F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
     large = rows.where("size(keys) > 0")
@@ -174,11 +306,14 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         "h1", "h2", F.coalesce("near_first", "first").alias("first_doc"), F.coalesce("near_last", "last").alias("last_doc")
     ).where("first_doc < last_doc").drop("last_doc")
     found = rows.drop("keys").join(repeated, ["h1", "h2"]).where("doc_id > first_doc").select(
-        "doc_id", "text_hash", "idx", "words", "start", "end", "first_doc").dropDuplicates(["doc_id", "text_hash", "idx"])
-    one_text = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
-    runs = found.withColumn("run", F.col("idx") - F.row_number().over(one_text)).groupBy("doc_id", "text_hash", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"),
-        F.min_by("first_doc", "idx").alias("first_doc")).where(F.col("words") >= LEAST_RUN)
+        "doc_id", "text_hash", "at", "words", "start", "end", "first_doc")
+    found = found.unionByName(verbatim_repeats(marks, texts).select(*found.columns)).withColumn("upto", F.col("at") + F.col("words"))
+    one_text = Window.partitionBy("doc_id", "text_hash").orderBy("at", "upto", "first_doc")
+    before = F.max("upto").over(one_text.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("new", F.coalesce(F.col("at") > before, F.lit(True)).cast("int")).withColumn(
+        "run", F.sum("new").over(one_text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "text_hash", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("at")).cast("int").alias("words"),
+        F.min_by("first_doc", F.struct("at", "upto", "first_doc")).alias("first_doc")).where(F.col("words") >= LEAST_RUN)
     return runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc"))).alias("spans"))
 
 

@@ -218,3 +218,26 @@ def test_pipeline_on_odd_tables(spark):
             docs = stored(stage(spark, docs, SF_SMALL), "stage")
         got = [r.doc_id for r in docs.collect()]
         assert sorted(got, key=str) == ([1, None] if some else [])
+
+
+def test_passages_without_stops_inside_a_line(spark):
+    kinds = [lambda d, k: f"{d}wort{k * 7 % 61}", lambda d, k: f"{d.upper()}WORT{k}",
+             lambda d, k: f"Haus{d}{k}" if k % 3 == 0 else f"und{d}{k}", lambda d, k: f"शब्द{d}{k}"]
+    rows, want = [], {}
+    for at, (make, n) in enumerate((m, n) for m in kinds for n in (51, 75, 200)):
+        part = lambda d, n, make=make, at=at: " ".join(make(f"{d}{at}x", k) for k in range(n))
+        passage = part("p", n)
+        rows += [(2 * at, f"{part('a', 33)} {passage} {part('b', 47)}"), (2 * at + 1, f"{part('c', 58)} {passage} {part('d', 21)}")]
+        want |= {2 * at: rows[-2][1], 2 * at + 1: f"{part('c', 58)} {part('d', 21)}"}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in substring_dedup.remove_repeats(frame).collect()} == want
+
+
+def test_anchors_depend_on_content_alone():
+    rng = random.Random(3)
+    run = [f"w{rng.randrange(500)}" for _ in range(50)]
+    for _ in range(40):
+        texts = [" ".join([f"{d}{rng.random()}" for _ in range(rng.randrange(60))] + run + [f"{d}{rng.random()}" for _ in range(9)]) for d in "ab"]
+        words = substring_dedup._words([t.encode() for t in texts])
+        at, h = substring_dedup.anchors(words)
+        assert set(h[words.owner[at] == 0]) & set(h[words.owner[at] == 1])
