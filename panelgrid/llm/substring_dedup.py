@@ -4,7 +4,10 @@ paragraphs and by windows of words that content alone chooses.
 A text falls into paragraphs where its own words say so: at line ends, behind
 sentence ends and before a capital after a small letter, so that a passage is
 cut alike wherever it was pasted in; a paragraph of fewer than ``LEAST_WORDS``
-words stays with the one before it on its line, and is not compared alone.
+words stays with the one before it on its line.  Neighbouring lines that are
+shorter than that are one paragraph, up to a line whose own words say that it
+starts another (one in ``SHORT_LINES``); what stays short is compared as it is,
+so that each word of a text lies in one paragraph.
 Equal paragraphs are found by a 128-bit fingerprint of their words.  Paragraphs
 of ``NEAR_SHINGLES`` five-word shingles or more are banded by MinHash too, with
 as many bands of ``ROWS`` samples as it takes to miss a pair at the threshold
@@ -28,8 +31,7 @@ no text); they are aggregated by fingerprint before anything is joined, so a
 passage that a third of all documents share is one row from each task.  Windows
 beside anchors are made only where a repeat may end.
 
-Defined results: null and empty texts and texts of short paragraphs have no
-repeats; rows with a null id are never cut and cut nothing; rows that repeat an
+Defined results: null and empty texts have no repeats; rows with a null id are never cut and cut nothing; rows that repeat an
 id are one document, each cut by its own text; repeats inside one document stay.
 """
 
@@ -50,6 +52,7 @@ from panelgrid.llm.pretokens import mix64, powers
 
 WIDTH = 5
 LEAST_WORDS = 8
+SHORT_LINES = 4
 NEAR_SHINGLES = 16
 #: Two samples to a band: with one, any shared shingle would make a candidate,
 #: and candidates chain.  The bands miss a pair at the threshold with at most MISS.
@@ -66,7 +69,7 @@ _UPPER = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
 
 
 def paragraphs(raw: list[bytes]) -> dict[str, np.ndarray]:
-    """The paragraphs of at least LEAST_WORDS words of some texts: owner, number
+    """The paragraphs of some texts, which hold each of their words: owner, number
     within its text, first word in its text, words, start and end byte in its
     text; word hashes and each paragraph's first word among them."""
     return _paragraphs(_words(raw))
@@ -108,9 +111,13 @@ def _paragraphs(text: _words) -> dict[str, np.ndarray]:
     at = np.flatnonzero(cut)
     long_enough = np.diff(at, append=n) >= LEAST_WORDS
     at = at[hard[at] | long_enough]
+    short = np.diff(at, append=n) < LEAST_WORDS
+    opens = mix64(np.add.reduceat(mix64(words), at)) % np.uint64(SHORT_LINES) == 0
+    joins = short & ~opens
+    joins[0] = False
+    joins[1:] &= short[:-1] & (text.owner[at[1:]] == text.owner[at[:-1]])
+    at = at[~joins]
     size = np.diff(at, append=n)
-    keep = size >= LEAST_WORDS
-    at, size = at[keep], size[keep]
     return text.spans(at, size) | {"first": at, "hashes": words}
 
 

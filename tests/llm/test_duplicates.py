@@ -241,3 +241,19 @@ def test_anchors_depend_on_content_alone():
         words = substring_dedup._words([t.encode() for t in texts])
         at, h = substring_dedup.anchors(words)
         assert set(h[words.owner[at] == 0]) & set(h[words.owner[at] == 1])
+
+
+def test_every_word_lies_in_a_paragraph():
+    text = "Title\nA line. Then a long enough line of some more words here\n" + "\n".join(f"one two three {k}" for k in range(30)) + "\nend"
+    found = substring_dedup.paragraphs([text.encode(), b"", b"two words"])
+    covered = [(o, a + k) for o, a, n in zip(found["owner"], found["at"], found["words"], strict=True) for k in range(n)]
+    assert covered == [(0, k) for k in range(len(text.split()))] + [(2, 0), (2, 1)]
+    assert sum(found["words"] >= substring_dedup.LEAST_WORDS) > 5
+
+
+def test_passage_of_short_lines(spark):
+    lines = [" ".join(f"v{k}x{j}" for j in range(6)) for k in range(100)]
+    other = [line if k % 8 else line + " changed" for k, line in enumerate(lines)]  # no 50 words alike
+    rows = [(1, "\n".join(lines)), (2, "Another text begins here.\n" + "\n".join(other))]
+    found = {r.doc_id: r for r in substring_dedup.repeats_by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1].kept and found[2].n_words_removed > 250
