@@ -9,7 +9,8 @@ shorter than that are one paragraph, up to a line whose own words say that it
 starts another (one in ``SHORT_LINES``); what stays short is compared as it is,
 so that each word of a text lies in one paragraph.
 Equal paragraphs are found by a 128-bit fingerprint of their words.  Paragraphs
-of ``NEAR_SHINGLES`` five-word shingles or more are banded by MinHash too, with
+of as many five-word shingles as one of two different sets at the threshold has
+at least (four at 0.8) are banded by MinHash too, with
 as many bands of ``ROWS`` samples as it takes to miss a pair at the threshold
 with at most the chance ``MISS``; colliding ones are verified by exact Jaccard, and the
 components of these links are one class (:mod:`panelgrid.llm.linking`).
@@ -53,7 +54,6 @@ from panelgrid.llm.pretokens import mix64, powers
 WIDTH = 5
 LEAST_WORDS = 8
 SHORT_LINES = 4
-NEAR_SHINGLES = 16
 #: Two samples to a band: with one, any shared shingle would make a candidate,
 #: and candidates chain.  The bands miss a pair at the threshold with at most MISS.
 ROWS = 2
@@ -193,7 +193,13 @@ def _placed(batch: pa.RecordBatch, found: dict[str, np.ndarray], more: list[pa.A
         *(c.split()[0] for c in PLACES.split(", ")), *("h1", "h2", "keys")[:len(more)]])
 
 
-def paragraph_rows(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def least_near(percent: int) -> int:
+    """Shingles that the smaller of two different sets at ``percent`` has at least: all of them lie in the
+    other, which has one more."""
+    return -(-percent // (100 - percent))
+
+
+def paragraph_rows(docs: DataFrame, bands: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, idx, at, words, start, end, h1, h2, keys (empty for short paragraphs); anchors have no h2 and no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +211,7 @@ def paragraph_rows(docs: DataFrame, bands: int, id_col: str = "doc_id", text_col
                 words, size = _spans(found)
                 h1, h2 = _fingerprints(words, size)
                 h, of = shingles.shingle_hashes(words, size, WIDTH)
-                near = np.bincount(of, minlength=len(size)) >= NEAR_SHINGLES
+                near = np.bincount(of, minlength=len(size)) >= least
                 samples = shingles.minhash(h[near[of]], (np.cumsum(near) - 1)[of[near[of]]], int(near.sum()), bands * ROWS)
                 keys = shingles.band_keys(samples, bands, ROWS)
                 offsets = np.concatenate([[0], np.cumsum(near * bands)]).astype(np.int32)
@@ -288,7 +294,7 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     start and end byte, words, and first_doc, the document that keeps the
     class of the span's first paragraph or window), in order of place."""
     bands = shingles.bands_for(percent / 100, ROWS, MISS)
-    everything = stored(paragraph_rows(docs, bands, id_col, text_col), "paragraphs")
+    everything = stored(paragraph_rows(docs, bands, least_near(percent), id_col, text_col), "paragraphs")
     rows, marks = everything.where("h2 IS NOT NULL"), everything.where("h2 IS NULL").drop("h2", "keys")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
                         F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")

@@ -257,3 +257,13 @@ def test_passage_of_short_lines(spark):
     rows = [(1, "\n".join(lines)), (2, "Another text begins here.\n" + "\n".join(other))]
     found = {r.doc_id: r for r in substring_dedup.repeats_by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found[1].kept and found[2].n_words_removed > 250
+
+
+def test_short_near_paragraphs(spark):
+    rows = []
+    for n in (15, 9):
+        lines = [" ".join(f"s{n}x{k}y{j}" for j in range(n)) for k in range(6)]
+        changed = [line.rsplit(" ", 1)[0] + (" changed" if n > 12 else "") for line in lines]  # Jaccard 10/12, 4/5
+        rows += [(n, "\n".join(lines)), (n + 100, "\n".join([f"before{n}", *changed, f"behind{n}"]))]
+    left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == {15: rows[0][1], 115: "before15\nbehind15", 9: rows[2][1], 109: "before9\nbehind9"}
