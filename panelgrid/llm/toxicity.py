@@ -10,8 +10,8 @@ and minimised in numpy; where the second term falls below zero, its gradient is
 reversed, so that the scorer cannot memorise its positives.
 
 Features are words and beginnings of words, lower-cased, each on some levels:
-whether it occurs at all, often, or as a share of the text.  Counts of both
-sides are gathered over the cluster, and the ``FEATURES`` that raise the share
+whether it occurs at all, often, or as a share of the text.  Their counts in all
+positives and in all documents are gathered over the cluster, and the ``FEATURES`` that raise the share
 among positives most are kept.  The fit takes at most
 MAX_POSITIVE and MAX_UNLABELLED documents, chosen by a hash of their ids, and
 sees only which features each one has.  Scoring is one pass over whole texts.
@@ -50,6 +50,8 @@ MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 16_000
 #: A feature has to be in so many positives.
 LEAST_POSITIVE = 5
+#: Hash buckets of the positives' ids.
+BUCKETS = 1 << 18
 STEPS = 400
 RATE = 0.05
 DECAY = 1e-4
@@ -173,21 +175,25 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                side = batch.column(2).to_numpy()
                 got = [(s * len(LEVELS) + level, o) for level, s, o in _levels(*gram_slots(_raw(batch.column(1).to_pylist())))]
-                feature, owner = (np.concatenate(x) for x in zip(*got, strict=True))
+                feature = np.concatenate([f for f, _ in got])
                 some, at = np.unique(feature, return_inverse=True)
-                n_p = np.bincount(at, weights=side[owner], minlength=len(some)).astype(np.int64)
-                n_all = np.bincount(at, minlength=len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n_p), pa.array(n_all - n_p)], names=["feature", "p", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(at, minlength=len(some)))], names=["feature", "n"])
 
-    n_p, n_u = (sample.where(F.col("_side") == s).count() for s in (1, 0))
+    def counted(texts: DataFrame, name: str) -> DataFrame:
+        return texts.select("_id", "_text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias(name))
+
+    every = seen.where("_label = 1").select("_id").distinct()
+    # At most BUCKETS numbers: they leave out most texts that are no positives before any text moves.
+    bucket = F.pmod(F.xxhash64("_id"), F.lit(BUCKETS)).alias("_bucket")
+    near = rows.withColumn("_bucket", bucket).join(F.broadcast(every.select(bucket).distinct()), "_bucket", "left_semi").drop("_bucket")
+    positives = near.join(every, "_id", "left_semi")
+    n_p, n_u = positives.count(), rows.count()
     if not n_p or not n_u:
         return Model((), (), -np.inf, 0.0)
     p, u = F.col("p") / n_p, F.col("u") / n_u
     sure = (F.col("p") - 2 * F.sqrt("p")) / n_p  # what is left of the share after two standard deviations
-    chosen = (sample.select("_id", "_text", "_side").mapInArrow(count, "feature long, p long, u long").groupBy("feature").agg(
-        F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST_POSITIVE)
+    chosen = (counted(positives, "p").where(F.col("p") >= LEAST_POSITIVE).join(counted(rows, "u"), "feature")
         .where(prior * sure >= LEAST_PURITY * u).withColumn("gain", p * F.log((p + 1e-4) / (u + 1e-4)))
         .orderBy(F.desc("gain"), "feature").limit(FEATURES).collect())
     slots = tuple(int(r["feature"]) for r in chosen)

@@ -154,3 +154,13 @@ def test_licences(spark):
         for x in r.licenses:
             assert texts[r.doc_id].encode()[x.start:x.end]
     assert license_scan.scan(docs.limit(0)).count() == 0
+
+
+def test_features_are_counted_beyond_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_POSITIVE", 20)
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 100)
+    docs = [(k, f"plain words here{k % 7} " + (f"vile{'abcdefghijklmnopqrst'[k % 20]}" if k < 200 else "fine")) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learn(frame, spark.createDataFrame([(k, int(k < 200)) for k in range(400)], "doc_id long, toxic int"))
+    wanted = {int(s) for c in "abcdefghijklmnopqrst" for s in toxicity.gram_slots([f"vile{c}".encode()])[0][:1]}
+    assert wanted <= {f // len(toxicity.LEVELS) for f in model.features}  # each in 10 of 200 positives, in about one of the sample's 20
