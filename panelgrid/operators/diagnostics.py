@@ -60,7 +60,7 @@ def domains(p: Prepared) -> DataFrame:
            .select(F.lit("buckets_present").alias("domain"), F.col("ordinal").cast("double").alias("_k"),
                    "value"))
     allv = dil.unionByName(exps).unionByName(grps).unionByName(psvs).unionByName(sgs).unionByName(bks)
-    ranked = ordered_rank(allv, ["domain"], [F.col("_k").asc(), F.col("value").asc()], rank_col="ordinal")
+    ranked = ordered_rank(allv, ["domain"], [F.col("_k"), F.col("value")], rank_col="ordinal")
     return ranked.select("domain", F.col("ordinal").cast("bigint"), "value")
 
 

@@ -96,8 +96,7 @@ def column_stats(cells: DataFrame, keys: Sequence[str] = (),
 
 def column_order(colstats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Targets of each view by (genotype, -breadth, name), as ``col_rank``."""
-    return ordered_rank(colstats, keys, [F.col("genotype").asc(), F.col("col_breadth").desc(), F.col(T).asc()],
-                        rank_col="col_rank")
+    return ordered_rank(colstats, keys, [F.col("genotype"), -F.col("col_breadth"), F.col(T)], rank_col="col_rank")
 
 
 def row_order(sort_by: str, sort_descending: bool) -> list[Column]:
@@ -106,7 +105,7 @@ def row_order(sort_by: str, sort_descending: bool) -> list[Column]:
     The mean key is rounded to 1e-9 so that floating-point summation order
     cannot flip exact ties."""
     key = F.col("row_breadth") if sort_by == "breadth" else F.round(F.col("row_mean"), 9)
-    return [key.asc() if sort_descending else key.desc(), F.col(C).asc()]
+    return [key if sort_descending else -key, F.col(C)]
 
 
 def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",

@@ -41,7 +41,7 @@ def match_panel(targets: DataFrame, panel: Sequence[str], target_col: str = T) -
                      for i, nm in enumerate(names)])
     first = F.nullif(F.array_position(hits, F.lit(True)), F.lit(0))
     matched = tg.withColumn("_ord", first).filter(F.col("_ord").isNotNull())
-    ranked = ordered_rank(matched, [], [F.col("_ord").asc(), F.col(T).asc()], rank_col="col_rank")
+    ranked = ordered_rank(matched, [], [F.col("_ord"), F.col(T)], rank_col="col_rank")
     return ranked.select(T, F.col("col_rank").cast("bigint"))
 
 

@@ -325,7 +325,7 @@ def q24b_export_file(spark, sf_dir):
     path = scratch_path(spark, "export-csv")
     write_export(export_long(grid_q15(spark, sf_dir)), path)
     back = read_sheet(spark, path, multi_line=True)  # labels may hold line ends
-    placed = ordered_rank(back, [], [F.col("row_id").asc()], rank_col="file_place")
+    placed = ordered_rank(back, [], [F.col("row_id")], rank_col="file_place")
     return placed.select(C, T, r6(F.nullif(F.col("value"), F.lit("")).cast("double")).alias("value"), "status",
                          F.col("export_seq").cast("bigint").alias("export_seq"), F.col("file_place").cast("bigint").alias("file_place"))
 

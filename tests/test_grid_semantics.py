@@ -91,6 +91,6 @@ def test_panel_match(spark):
 def test_ordered_rank_matches_window(spark):
     from pyspark.sql import Window
     df = spark.range(0, 2000).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 1009).alias("v"), "id")
-    a = ordered_rank(df, ["k"], [F.col("v").desc(), F.col("id").asc()], "r", num_partitions=7)
-    b = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("id"))))
+    a = ordered_rank(df, ["k"], [-F.col("v"), F.col("id")], "r", num_partitions=7)
+    b = df.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(-F.col("v"), F.col("id"))))
     assert sorted(map(tuple, a.select("id", "r").collect())) == sorted(map(tuple, b.select("id", "r").collect()))

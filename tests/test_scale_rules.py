@@ -43,7 +43,7 @@ def test_ranks_at_size(spark, sort_by, partitions):
 def test_ranks_by_key_with_nulls(spark):
     df = spark.range(20_000).select("id", F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("k"), F.pmod(F.xxhash64("id"), F.lit(50)).alias("v"),
                                     F.lit("kept").alias("more"))
-    got = ordered_rank(df, ["k"], [F.col("v").desc(), F.col("id").asc()], "r", "n", num_partitions=16)
+    got = ordered_rank(df, ["k"], [-F.col("v"), F.col("id")], "r", "n", num_partitions=16)
     w = Window.partitionBy("k").orderBy(F.col("v").desc(), F.col("id").asc())
     assert got.withColumn("want", F.row_number().over(w)).where("want <> r OR n <> 5000 OR more <> 'kept'").count() == 0
     assert got.count() == 20_000
