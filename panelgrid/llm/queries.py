@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelgrid.llm import byte_bpe, embedding_dedup, langid, license_scan, minhash, packing, quality, substring_dedup, token_file, toxicity
+from panelgrid.llm import (byte_bpe, embedding_dedup, fingerprint, hard_negatives, langid, license_scan, minhash, packing, quality, substring_dedup,
+                           token_file, toxicity, whitening)
 from panelgrid.llm.common import held_out, read_table
 from panelgrid.llm.pretokens import library_encoder
 from panelgrid.session import scratch_path
@@ -77,6 +78,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_stop_words", *[c for c in scored.columns if c.startswith("rule_")])
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read_table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op13_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.neighbours(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_toxicity": op2_toxicity,
@@ -88,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_prefix_fingerprints": op13_prefix_fingerprints,
 }
 
 
@@ -166,8 +184,29 @@ FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) ON a
 JOIN (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id) c ON c.vec_id = e.vec_id"""
 
 
+_OP12_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding::DOUBLE[], lambda c: floor(256 * c)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_dot_product(a.x, b.x)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)),
+positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id)::INTEGER AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 5"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op7_embedding_near_dedup": _OP7_SQL,
     "op8_minhash_near_dedup": _OP8_SQL,
     "op9_quality_rules": _op9_sql(),
+    "op12_hard_negatives": _OP12_SQL,
 }
