@@ -54,11 +54,16 @@ def _py_number(x: float) -> str:
     return repr(float(x))
 
 
-def view_title(subgroup, bucket, metric: str, dilution, mode: str, threshold) -> str:
-    """Single-view title (driver-side string for a scalar spec)."""
-    dose = TITLE_DOSE_PCT.format(dose=int(float(dilution))) if metric == "pct_neut" else TITLE_DOSE_LOG
+def view_title(subgroup, bucket, metric: str, dilution, mode: str, threshold):
+    """Single-view title; a column where the dose is one, else a string."""
+    asked = "\0" if isinstance(dilution, Column) else int(float(dilution)) if metric == "pct_neut" else None
+    dose = TITLE_DOSE_PCT.format(dose=asked) if metric == "pct_neut" else TITLE_DOSE_LOG
     thr = TITLE_THRESHOLD.format(thr=_py_number(threshold)) if mode == "threshold" else ""
-    return f"{subgroup}{TITLE_SEP}{bucket or TITLE_POOLED}{TITLE_SEP}{dose}{thr}"
+    title = f"{subgroup}{TITLE_SEP}{bucket or TITLE_POOLED}{TITLE_SEP}{dose}{thr}"
+    if metric != "pct_neut" or not isinstance(dilution, Column):
+        return title
+    before, after = title.split("\0")
+    return F.concat(F.lit(before), dilution.cast("bigint").cast("string"), F.lit(after))
 
 
 def multiple_title(sg, n_constructs, n_targets) -> Column:

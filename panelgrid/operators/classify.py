@@ -63,11 +63,11 @@ def classify(df: DataFrame, rules: Rules, text_col: str = "Construct_Description
         .drop("name_norm", "exact_subgroup")
 
 
-def classified_constructs(tidy: DataFrame, rules: Rules,
+def classified_constructs(cube: DataFrame, rules: Rules,
                           text_col: str = "Construct_Description") -> DataFrame:
-    """Distinct constructs with their row counts and subgroup (aggregate first,
-    classify the small result)."""
-    per = tidy.groupBy(text_col).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Distinct constructs of the cube with their row counts and subgroup
+    (aggregate first, classify the small result)."""
+    per = cube.where("dose IS NULL").groupBy(text_col).agg(F.sum("n_rows").alias("n_rows"))
     return classify(per, rules, text_col)
 
 

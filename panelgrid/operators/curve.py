@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import pairs_equal
+from ..functions.exact import mean, sum_parts
 
 C, T = "Construct_Description", "PSV"
 
@@ -31,9 +32,4 @@ def curves(tidy: DataFrame, construct: Optional[str] = None, target: Optional[st
         d = d.filter(F.col("Bucket_Type").isin(*buckets))
     pairs = d.select(C, T, F.explode(pairs_equal("DilutionArray", "NeutArray")).alias("p"))
     return (pairs.groupBy(C, T, F.col("p")["d"].alias("dilution"))
-            .agg(F.avg(F.col("p")["n"]).alias("pct_neut"), F.count(F.lit(1)).alias("n_obs")))
-
-
-def sorted_curve(curve: DataFrame) -> DataFrame:
-    """Curve rows ordered by dose (per pair)."""
-    return curve.orderBy(C, T, "dilution")
+            .agg(*sum_parts(F.col("p")["n"], "v")).select(C, T, "dilution", mean("v").alias("pct_neut"), F.col("v_n").alias("n_obs")))

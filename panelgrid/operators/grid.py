@@ -5,12 +5,15 @@ column order (W1, W2, J12), pivot / unpivot (A15, A16), cell encoding (F14).
 Plan shape (all inputs are the already aggregated view):
 
 1. cells        groupBy(keys, construct, target): pooled mean, any-hit status
-2. row stats    groupBy(keys, construct): breadth and mean, ranked by ``ordered_rank``
-3. column order groupBy(keys, target), ranked by ``ordered_rank``, cut into
-                blocks of BLOCK columns
-4. the dense grid is each ranked row × the blocks of its view; a block's cells
-   of one construct are a map of at most BLOCK entries.  No row ever holds more
-   than a block, however many targets a view has.
+2. labels       breadth and mean of rows, breadth and genotype of columns, both
+                ranked in one keyed ``ordered_rank``
+3. columns are cut into blocks of about BLOCK by a hash of their name; the dense
+   grid is each ranked row × the blocks of its view, where a block's cells of one
+   construct are a map.  No row holds more than a block, however many targets a
+   view has.
+
+Cells and labels are read by several branches of the plan and are kept
+(``session.kept``) while it runs; nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -21,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import HIT, MISS, NN, NO_GENOTYPE, NOT_TESTED
+from ..functions.exact import mean, sum_parts
 from ..functions.status import cell_encoding, cell_label, cell_status
-from ..session import rows_df
+from ..session import kept, rows_df
 from .ranking import ordered_rank
 
 C, T = "Construct_Description", "PSV"
@@ -53,10 +57,10 @@ def pooled_cells(view: DataFrame, metric: str, mode: str, threshold: Optional[fl
         v = v.filter(F.col("Bucket_Type") == bucket)
     v = cell_statuses(v, metric, mode, threshold, ge)
     return v.groupBy(*keys, C, T).agg(
-        F.avg("value").alias("value"),
+        *sum_parts("value", "v"),
         F.when(F.max(F.col("status") == HIT), F.lit(HIT))
         .otherwise(F.min_by("status", "Bucket_Type")).alias("status"),
-        F.sum("n_tested").alias("n_tested"))
+        F.sum("n_tested").alias("n_tested")).select(*keys, C, T, mean("v").alias("value"), "status", "n_tested")
 
 
 def _breadth(n_pos: Column, n_tested: Column) -> Column:
@@ -64,17 +68,6 @@ def _breadth(n_pos: Column, n_tested: Column) -> Column:
         .otherwise(F.lit(0.0))
 
 
-def row_stats(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """A7 + A8 per construct."""
-    st = F.col("status")
-    g = cells.groupBy(*keys, C).agg(
-        F.count_if(st.isin(*TESTED)).alias("n_tested_targets"),
-        F.count_if(st.isin(*POSITIVE)).alias("n_positive"),
-        F.avg("value").alias("_mean"))
-    return (g.withColumn("row_breadth", _breadth(F.col("n_positive"), F.col("n_tested_targets")))
-            .withColumn("row_mean", F.coalesce(F.col("_mean"), F.lit(0.0))).drop("_mean"))
-
-
 def with_genotype(targets: DataFrame, genotypes: Optional[dict]) -> DataFrame:
     """Target → genotype label, missing → 'zzz' (a join with the rule table)."""
     if not genotypes:
@@ -84,28 +77,32 @@ def with_genotype(targets: DataFrame, genotypes: Optional[dict]) -> DataFrame:
         "genotype", F.coalesce("_genotype", F.lit(NO_GENOTYPE))).drop("_genotype")
 
 
-def column_stats(cells: DataFrame, keys: Sequence[str] = (),
-                 genotypes: Optional[dict] = None) -> DataFrame:
-    """A9 per target and its genotype."""
-    st = F.col("status")
-    g = cells.groupBy(*keys, T).agg(
-        F.count_if(st.isin(*TESTED)).alias("_t"), F.count_if(st.isin(*POSITIVE)).alias("_p"))
-    breadth = g.select(*keys, T, _breadth(F.col("_p"), F.col("_t")).alias("col_breadth"))
-    return with_genotype(breadth, genotypes).select(*keys, T, "col_breadth", "genotype")
-
-
-def column_order(colstats: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Targets of each view by (genotype, -breadth, name), as ``col_rank``."""
-    return ordered_rank(colstats, keys, [F.col("genotype"), -F.col("col_breadth"), F.col(T)], rank_col="col_rank")
-
+def ranked_labels(cells: DataFrame, keys: Sequence[str], sort_by: str, sort_descending: bool,
+                  genotypes: Optional[dict] = None, columns: bool = True) -> DataFrame:
+    """W1 and W2 in one keyed step, each cell counted for its row and its column.
 
-def row_order(sort_by: str, sort_descending: bool) -> list[Column]:
-    """Reference order is ascending by key when ``sort_descending`` (the
-    screen shows it reversed), descending otherwise; ties by name ascending.
-    The mean key is rounded to 1e-9 so that floating-point summation order
-    cannot flip exact ties."""
-    key = F.col("row_breadth") if sort_by == "breadth" else F.round(F.col("row_mean"), 9)
-    return [key if sort_descending else -key, F.col(C)]
+    Rows (kind 'row'): reference order is ascending by breadth or mean when
+    ``sort_descending`` (the screen shows it reversed), descending otherwise; ties
+    by name ascending.  Means are exact sums over a count, so equal ones tie in
+    every evaluation.  Columns (kind 'column'): genotype, falling breadth, name."""
+    st = F.col("status")
+    labels = [F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in (("row", C), ("column", T))[:2 if columns else 1]]
+    marks = cells.select(*keys, "value", st.isin(*TESTED).alias("_t"), st.isin(*POSITIVE).alias("_p"), F.inline(F.array(*labels)))
+    g = marks.groupBy("kind", *keys, "name").agg(
+        F.count_if("_t").alias("n_tested_targets"), F.count_if("_p").alias("n_positive"), *sum_parts("value", "v"))
+    g = g.select("kind", *keys, "name", "n_tested_targets", "n_positive",
+                 _breadth(F.col("n_positive"), F.col("n_tested_targets")).alias("breadth"), F.coalesce(mean("v"), F.lit(0.0)).alias("mean"))
+    is_row = F.col("kind") == "row"
+    table = rows_df(cells.sparkSession, [("column", *x) for x in sorted((genotypes or {}).items())], "kind string, name string, _genotype string")
+    if columns and genotypes:
+        g = g.join(table, ["kind", "name"], "left")
+    else:
+        g = g.withColumn("_genotype", F.lit(None).cast("string"))
+    key = F.col("breadth") if sort_by == "breadth" else F.col("mean")
+    g = g.select("kind", *keys, "name", "n_tested_targets", "n_positive", "breadth", "mean",
+                 F.when(~is_row, F.coalesce("_genotype", F.lit(NO_GENOTYPE))).alias("genotype"),
+                 F.when(is_row, key if sort_descending else -key).otherwise(-F.col("breadth")).alias("_key"))
+    return ordered_rank(g, ["kind", *keys], [F.col("genotype"), F.col("_key"), F.col("name")], "rank", "size").drop("_key")
 
 
 def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",
@@ -124,34 +121,37 @@ def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",
     order and the column set (used to densify to a fixed panel, J8).
     """
     keys = list(keys)
-    cells = pooled_cells(view, metric, mode, threshold, ge, bucket, keys)
-    ranked = ordered_rank(row_stats(cells, keys), keys, row_order(sort_by, sort_descending),
-                          rank_col="export_rank", total_col="n_rows")
-    ranked = ranked.withColumn("row_rank", F.col("n_rows") - F.col("export_rank") + 1)
+    cells = kept(pooled_cells(view, metric, mode, threshold, ge, bucket, keys))
+    labels = kept(ranked_labels(cells, keys, sort_by, sort_descending, genotypes, columns=dense and target_order is None))
+    ranked = labels.where("kind = 'row'").select(
+        *keys, F.col("name").alias(C), F.col("breadth").alias("row_breadth"), F.col("mean").alias("row_mean"), "n_positive", "n_tested_targets",
+        F.col("rank").alias("export_rank"), F.col("size").alias("n_rows"), (F.col("size") - F.col("rank") + 1).alias("row_rank"))
     if not dense:
         return cells.join(ranked, [*keys, C], "inner")
 
     if target_order is None:
-        col_keys, columns = keys, column_order(column_stats(cells, keys, genotypes), keys)
+        col_keys = keys
+        columns = labels.where("kind = 'column'").select(
+            *keys, F.col("name").alias(T), F.col("rank").alias("col_rank"), F.col("breadth").alias("col_breadth"), "genotype")
     else:
         # fixed column set and order (J8); the same for every view unless the
         # order table carries the view keys
         col_keys = [k for k in keys if k in target_order.columns]
         columns = with_genotype(target_order.select(*col_keys, T, "col_rank"), genotypes).withColumn(
             "col_breadth", F.lit(None).cast("double"))
-    columns = columns.withColumn("_block", F.floor((F.col("col_rank") - 1) / BLOCK))
+    # A column's block follows from its name, so cells find theirs without a join.
+    widest = columns.select(*col_keys, T) if target_order is not None else cells.select(*keys, T).distinct()
+    widest = widest.groupBy(*col_keys).count().agg(F.max("count")).scalar()
+    n_blocks = F.greatest(F.ceil(widest / F.lit(BLOCK)), F.lit(1)).cast("int")
+    block = F.pmod(F.xxhash64(T), F.col("_blocks")).cast("int").alias("_block")
     item = F.struct(F.col("col_rank").alias("r"), F.col(T).alias("t"), F.col("col_breadth").alias("b"),
                     F.col("genotype").alias("g"))
-    blocks = columns.groupBy(*col_keys, "_block").agg(F.sort_array(F.collect_list(item)).alias("_targets"))
-    in_block = cells.join(columns.select(*col_keys, T, "_block"), [*col_keys, T]).groupBy(*keys, C, "_block").agg(
+    blocks = columns.withColumn("_blocks", n_blocks).withColumn("_block", block).groupBy(*col_keys, "_block").agg(
+        F.collect_list(item).alias("_targets"))
+    in_block = cells.withColumn("_blocks", n_blocks).withColumn("_block", block).groupBy(*keys, C, "_block").agg(
         F.map_from_entries(F.collect_list(F.struct(F.col(T), F.struct("value", "status", "n_tested")))).alias("_cells"))
-    last = columns.groupBy(*col_keys).agg(F.max("_block").alias("_last"))
-    if col_keys:
-        spread = ranked.join(last, col_keys).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
-    else:
-        spread = ranked.withColumn("_last", last.select("_last").scalar()).where("_last IS NOT NULL").withColumn(
-            "_block", F.explode(F.sequence(F.lit(0).cast("long"), "_last")))
-    rows = spread.drop("_last").join(blocks, [*col_keys, "_block"]).join(in_block, [*keys, C, "_block"], "left")
+    spread = ranked.withColumn("_blocks", n_blocks).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    rows = spread.join(blocks, [*col_keys, "_block"]).join(in_block, [*keys, C, "_block"], "left")
     exploded = rows.select("*", F.explode("_targets").alias("_tg")).drop("_targets")
     cell = F.try_element_at(F.col("_cells"), F.col("_tg")["t"])
     return exploded.select(

@@ -20,6 +20,7 @@ from ..functions.arrays import array_text, parse_array_text
 from ..functions.numeric import day_int, day_number, is_nn, log10_pos, to_float
 from ..functions.text import as_text, cohort_id, cohort_key, ustrip
 from ..session import bounded_broadcast, rows_df
+from .cube import build_cube
 from ..sources.sheets import SheetColumns, resolve_columns, resolve_construct_columns
 
 TIDY_COLUMNS = ["row_id", "Experiment", "Group", "PSV", "Day", "PSVX_num", "Construct_Description",
@@ -33,6 +34,11 @@ class Prepared:
     filtered_raw: DataFrame
     columns: SheetColumns
     rules: Rules
+    cube: Optional[DataFrame] = None
+
+    def __post_init__(self):
+        if self.cube is None:
+            self.cube = build_cube(self.tidy)
 
 
 def _col(name: Optional[str]):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import TOP_N, Rules
+from ..functions.exact import sum_parts, total
 from .classify import classify
 from .ranking import ordered_rank
 
@@ -48,8 +49,8 @@ def match_panel(targets: DataFrame, panel: Sequence[str], target_col: str = T) -
 def construct_scores(view: DataFrame) -> DataFrame:
     """A10: per construct, (count of view rows with value > 0, their sum)."""
     pos = F.col("value") > 0
-    return view.groupBy(C).agg(F.count_if(pos).alias("n_positive"),
-                               F.coalesce(F.sum(F.when(pos, F.col("value"))), F.lit(0.0)).alias("total"))
+    summed = view.groupBy(C).agg(*sum_parts(F.when(pos, F.col("value")), "v"))
+    return summed.select(C, F.col("v_n").alias("n_positive"), F.coalesce(total("v"), F.lit(0.0)).alias("total"))
 
 
 def top_constructs(tidy: DataFrame, view: DataFrame, rules: Rules, n: int = TOP_N) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Per (bucket, construct, target) cell table.
+"""Per (bucket, construct, target) cell table (A1-A3, F5, F7, F9) and its selections.
 
 All three metrics are a projection followed by one hash aggregation with a
 partial (map-side) step, so a hot construct or target only ever shuffles its
@@ -12,8 +12,10 @@ from typing import Optional, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT_DOSES, FALLBACK_DOSE, ViewSpec
+from ..config import ViewSpec
 from ..functions.arrays import pairs_shortest, value_at_dose
+from ..functions.exact import mean, sum_parts
+from .cube import default_dose
 
 VIEW_KEYS = ["Bucket_Type", "Construct_Description", "PSV"]
 VIEW_COLUMNS = VIEW_KEYS + ["value", "n_tested", "all_nn"]
@@ -22,7 +24,10 @@ VIEW_COLUMNS = VIEW_KEYS + ["value", "n_tested", "all_nn"]
 def compute_view(tidy: DataFrame, metric: str, dilution=None,
                  buckets: Sequence[str] = ("Prime", "Boost1", "Boost2"),
                  extra_keys: Sequence[str] = ()) -> DataFrame:
-    """A1 (one dose), A2 (all doses), A3 (log10 potency)."""
+    """A1 (one dose), A2 (all doses), A3 (log10 potency) straight from tidy rows.
+
+    ``cube.cube_view`` gives the same rows, bit for bit, from the pre-aggregated
+    cube; use it where more than one view is taken."""
     keys = list(extra_keys) + VIEW_KEYS
     d = tidy.filter(F.col("Bucket_Type").isin(*buckets))  # F7
     if metric == "pct_neut":
@@ -33,50 +38,32 @@ def compute_view(tidy: DataFrame, metric: str, dilution=None,
             cells = pairs.select(*keys, F.col("p")["n"].alias("cell_value"))
         else:
             # F9 "rows without a value are dropped" is applied after the partial
-            # aggregation (count skips nulls, empty groups are removed): a row
+            # aggregation (parts skip nulls, empty groups are removed): a row
             # filter here would be pushed below the projection and evaluate the
             # array parse twice.
-            cells = d.select(*keys, value_at_dose("DilutionArray", "NeutArray", dilution if isinstance(dilution, Column) else float(dilution))
-                             .alias("cell_value"))
-            return (cells.groupBy(*keys)
-                    .agg(F.avg("cell_value").alias("value"), F.count("cell_value").alias("n_tested"))
-                    .filter(F.col("n_tested") > 0)
-                    .withColumn("all_nn", F.lit(False)))
-        return (cells.groupBy(*keys)
-                .agg(F.avg("cell_value").alias("value"), F.count(F.lit(1)).alias("n_tested"))
-                .withColumn("all_nn", F.lit(False)))
+            asked = dilution if isinstance(dilution, Column) else F.lit(float(dilution))
+            cells = d.withColumn("_asked", asked).select(
+                *keys, value_at_dose("DilutionArray", "NeutArray", F.col("_asked")).alias("cell_value"))
+        return (cells.groupBy(*keys).agg(*sum_parts("cell_value", "v")).filter(F.col("v_n") > 0)
+                .select(*keys, mean("v").alias("value"), F.col("v_n").alias("n_tested"), F.lit(False).alias("all_nn")))
     if metric == "log10_ic50":
         g = d.groupBy(*keys).agg(
-            F.count(F.lit(1)).alias("n_tested"),
-            F.sum(F.col("Is_NN").cast("long")).alias("n_nn"),
-            F.avg("Log10_IC50").alias("value"))
+            F.count(F.lit(1)).alias("n_tested"), F.sum(F.col("Is_NN").cast("long")).alias("n_nn"), *sum_parts("Log10_IC50", "v"))
         all_nn = F.col("n_nn") == F.col("n_tested")
-        return g.select(*keys, F.when(~all_nn, F.col("value")).alias("value"), "n_tested",
-                        all_nn.alias("all_nn"))
+        return g.select(*keys, F.when(~all_nn, mean("v")).alias("value"), "n_tested", all_nn.alias("all_nn"))
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def default_dilution(tidy: DataFrame) -> float:
-    """90 if present, else 30, else the smallest dose, else 30.
-
-    One aggregate row, without exploding the arrays.  It comes back to the
-    driver because the dose is compared inside a lambda, where Spark takes no
-    subquery."""
-    doses = F.col("DilutionArray")
-    found = [F.when(F.max(F.exists(doses, lambda d: d == x)), F.lit(float(x))) for x in DEFAULT_DOSES]
-    return tidy.agg(F.coalesce(*found, F.min(F.array_min(doses)), F.lit(float(FALLBACK_DOSE)))).first()[0]
-
-
-def resolve_dilution(tidy: DataFrame, spec: ViewSpec):
-    if spec.metric != "pct_neut":
-        return spec.dilution
-    if spec.dilution is None:
-        return default_dilution(tidy)
+def resolve_dilution(cube: DataFrame, spec: ViewSpec):
+    """The dose of a request: its own, or the default one (F13) as a scalar subquery."""
+    if spec.metric == "pct_neut" and spec.dilution is None:
+        return default_dose(cube)
     return spec.dilution
 
 
 def view_filter(tidy: DataFrame, spec: ViewSpec) -> DataFrame:
-    """experiment / target / group selections (empty = all known).
+    """experiment / target / group selections (empty = all known) of tidy rows
+    or of the cube.
 
     With ``default_group_filter`` an empty group selection keeps the non-blank
     groups only, unless every group is blank (scalar subquery, no driver loop).

@@ -8,9 +8,9 @@ that results compare exactly with the SQL twins in ``oracle``.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from ..functions.hill import hill4pl, logspace_points
 from ..functions.numeric import day_int, parse_potency_variant
 from ..functions.status import view_title
 from ..operators.classify import classified_constructs, with_subgroup
-from ..operators.curve import curves
+from ..operators.cube import build_cube, cube_curves, cube_view, default_dose
 from ..operators.diagnostics import counters, domains, grid_sizes
 from ..operators.export import export_long, write_export
 from ..operators.fit import fit_curves, fit_lines
@@ -29,9 +29,9 @@ from ..operators.prepare import (Prepared, build_lookup, cohort_filters, prepare
                                  resolve_descriptions, tidy_projection)
 from ..operators.ranking import ordered_rank
 from ..operators.topn import match_panel, top_constructs
-from ..operators.view import compute_view, default_dilution
-from ..session import scratch_path
-from ..sources.assay import DEMO_PANEL, constructs_sheet, demo_rules, measurement_sheet
+from ..session import release_kept, passing_path
+from ..sources.assay import ASSAY_TABLES, DEMO_PANEL, constructs_sheet, demo_rules, measurement_sheet
+from ..sources.store import TableStore, listing_hash, rules_hash
 from ..sources.sheets import read_sheet, resolve_columns, select_resolved, write_sheet
 from . import views
 
@@ -57,23 +57,27 @@ def r6(c) -> Column:
 
 
 def prepared(spark: SparkSession, sf_dir: str, corrected: bool = True) -> Prepared:
-    """The prepared tidy frame, persisted once per session (the dashboard keeps
-    loaded data per session; here the tidy rows are reused by every view)."""
+    """The prepared sheet (S8): tidy rows and their cube are made once for each
+    state of the input files and rules, and stored; every view reads the cube."""
+    rules = demo_rules()
+    manifest = {"inputs": listing_hash(spark, [f"{sf_dir}/{t}.parquet" for t in ASSAY_TABLES]), "rules": rules_hash(rules),
+                "measurement": "corrected" if corrected else "raw"}
     key = (spark.sparkContext.applicationId, sf_dir, corrected)
-    p = _PREPARED.get(key)
-    if p is None:
-        raw = measurement_sheet(spark, sf_dir)
-        p = prepare(raw, demo_rules(), constructs_sheet(spark, sf_dir), corrected)
-        p.tidy = p.tidy.persist(StorageLevel.MEMORY_AND_DISK)
-        _PREPARED[key] = p
-    return p
+    known = _PREPARED.get(key)
+    if known is None or known[0] != manifest:
+        p = prepare(measurement_sheet(spark, sf_dir), rules, constructs_sheet(spark, sf_dir), corrected)
+        tables = TableStore(spark).fetch("assay", manifest, {"tidy": lambda made: p.tidy, "cube": lambda made: build_cube(made["tidy"])})
+        _PREPARED[key] = known = (manifest, replace(p, **tables))
+    return known[1]
 
 
-def release(spark: SparkSession | None = None) -> None:
-    """Unpersist cached tidy frames (S8 "clear")."""
+def release(spark: SparkSession) -> None:
+    """Let go of the stored tables and kept intermediates of this session (S8 "clear")."""
     for k in list(_PREPARED):
-        if spark is None or k[0] == spark.sparkContext.applicationId:
-            _PREPARED.pop(k).tidy.unpersist()
+        if k[0] == spark.sparkContext.applicationId:
+            del _PREPARED[k]
+    TableStore(spark).clear("assay")
+    release_kept(spark)
 
 
 def _arr_summary(arr: Column, name: str) -> list[Column]:
@@ -97,7 +101,7 @@ def q01_scan_resolve(spark, sf_dir):
     raw = measurement_sheet(spark, sf_dir)
     loose = raw.select(F.col("row_id").cast("string").alias("row_id"),
                        *[F.col(k).alias(v) for k, v in SHEET_HEADERS.items()])
-    path = scratch_path(spark, "sheet-csv")
+    path = passing_path(spark, "sheet-csv")
     write_sheet(loose.repartition(3), path)  # more than one file
     back = read_sheet(spark, path)
     out = select_resolved(back, corrected=True)
@@ -175,7 +179,7 @@ def q08_bucket_override(spark, sf_dir):
 def q09_classify(spark, sf_dir):
     """Subgroup of every distinct construct."""
     p = prepared(spark, sf_dir)
-    return classified_constructs(p.tidy, p.rules).select(C, "Subgroup", F.col("n_rows").cast("bigint"))
+    return classified_constructs(p.cube, p.rules).select(C, "Subgroup", F.col("n_rows").cast("bigint"))
 
 
 def _view_out(v: DataFrame) -> DataFrame:
@@ -186,25 +190,25 @@ def _view_out(v: DataFrame) -> DataFrame:
 def q10_view_single_dose(spark, sf_dir):
     """% response at the default dose."""
     p = prepared(spark, sf_dir)
-    return _view_out(compute_view(p.tidy, "pct_neut", default_dilution(p.tidy), p.rules.buckets))
+    return _view_out(cube_view(p.cube, "pct_neut", default_dose(p.cube), p.rules.buckets))
 
 
 def q11_view_all_doses(spark, sf_dir):
     """A2, X11: % response over all dose pairs."""
     p = prepared(spark, sf_dir)
-    return _view_out(compute_view(p.tidy, "pct_neut", "all", p.rules.buckets))
+    return _view_out(cube_view(p.cube, "pct_neut", "all", p.rules.buckets))
 
 
 def q12_view_log10(spark, sf_dir):
     """A3: log10 potency mean, counts, all-NN flag."""
     p = prepared(spark, sf_dir)
-    return _view_out(compute_view(p.tidy, "log10_ic50", None, p.rules.buckets))
+    return _view_out(cube_view(p.cube, "log10_ic50", None, p.rules.buckets))
 
 
 def q13_cell_status(spark, sf_dir):
     """statuses per view row (threshold 75, strict >)."""
     p = prepared(spark, sf_dir)
-    v = compute_view(p.tidy, "pct_neut", 30.0, p.rules.buckets)
+    v = cube_view(p.cube, "pct_neut", 30.0, p.rules.buckets)
     s = cell_statuses(v, "pct_neut", "threshold", 75.0, False)
     return s.select("Bucket_Type", C, T, r6("value").alias("value"), "status")
 
@@ -229,7 +233,7 @@ def _grid_out(g: DataFrame, keys=()) -> DataFrame:
 
 def grid_q15(spark, sf_dir) -> DataFrame:
     p = prepared(spark, sf_dir)
-    v = compute_view(p.tidy, "pct_neut", 90.0, p.rules.buckets)
+    v = cube_view(p.cube, "pct_neut", 90.0, p.rules.buckets)
     return build_grid(v, "pct_neut", "threshold", 50.0, True)
 
 
@@ -253,15 +257,14 @@ def q17_small_multiples(spark, sf_dir):
 
 def q18_panel_match(spark, sf_dir):
     """Panel targets matched exactly or by substring."""
-    return match_panel(prepared(spark, sf_dir).tidy, DEMO_PANEL)
+    return match_panel(prepared(spark, sf_dir).cube, DEMO_PANEL)
 
 
 def q19_top_n(spark, sf_dir):
     """Top 4 constructs per subgroup on the panel targets."""
     p = prepared(spark, sf_dir)
-    matched = match_panel(p.tidy, DEMO_PANEL)
-    f = views.filtered(p, SPEC_TOP).join(F.broadcast(matched.select(T)), T, "left_semi")
-    v = compute_view(f, "pct_neut", 90.0, p.rules.buckets)
+    f = views.filtered(p, SPEC_TOP).join(match_panel(p.cube, DEMO_PANEL).select(T), T, "left_semi")
+    v = cube_view(f, "pct_neut", 90.0, p.rules.buckets)
     top = top_constructs(f, v, p.rules, 4)
     return top.select("Subgroup", C, F.col("n_positive").cast("bigint"), r6("total").alias("total"),
                       F.col("top_rank").cast("bigint"))
@@ -278,7 +281,7 @@ def q20_top_summary(spark, sf_dir):
 def q21_curve(spark, sf_dir):
     """Mean response per dose for every pair."""
     p = prepared(spark, sf_dir)
-    c = curves(p.tidy)
+    c = cube_curves(p.cube)
     return c.select(C, T, r6("dilution").alias("dilution"), r6("pct_neut").alias("pct_neut"),
                     F.col("n_obs").cast("bigint"))
 
@@ -297,8 +300,8 @@ def q21b_curve_request(spark, sf_dir):
 def q22_diagnostics(spark, sf_dir):
     """Counters and the single-view title."""
     p = prepared(spark, sf_dir)
-    title = view_title(ALL_CONSTRUCTS, None, "pct_neut", default_dilution(p.tidy), "threshold", 50.0)
-    return counters(p).withColumn("title", F.lit(title))
+    title = view_title(ALL_CONSTRUCTS, None, "pct_neut", default_dose(p.cube), "threshold", 50.0)
+    return counters(p).withColumn("title", title)
 
 
 def q22b_grid_sizes(spark, sf_dir):
@@ -322,7 +325,7 @@ def q24_export_long(spark, sf_dir):
 
 def q24b_export_file(spark, sf_dir):
     """The export written as CSV and read back, with each row's place in the files."""
-    path = scratch_path(spark, "export-csv")
+    path = passing_path(spark, "export-csv")
     write_export(export_long(grid_q15(spark, sf_dir)), path)
     back = read_sheet(spark, path, multi_line=True)  # labels may hold line ends
     placed = ordered_rank(back, [], [F.col("row_id")], rank_col="file_place")
@@ -345,20 +348,20 @@ def q26_unpivot(spark, sf_dir):
 def q27_fit_4pl(spark, sf_dir):
     """4PL fit per pair (grouped map over the aggregated curves)."""
     p = prepared(spark, sf_dir)
-    return fit_curves(curves(p.tidy))
+    return fit_curves(cube_curves(p.cube))
 
 
 def q28_fit_line(spark, sf_dir):
     """Fitted lines and IC50 markers."""
     p = prepared(spark, sf_dir)
-    return fit_lines(fit_curves(curves(p.tidy)))
+    return fit_lines(fit_curves(cube_curves(p.cube)))
 
 
 def q29_hill_fixed(spark, sf_dir):
     """X12, X13 with fixed parameters (top 100, bottom 0, ic50 300, slope 1)
     on each pair's dose span."""
     p = prepared(spark, sf_dir)
-    c = curves(p.tidy).groupBy(C, T).agg(F.min("dilution").alias("lo"), F.max("dilution").alias("hi"))
+    c = cube_curves(p.cube).groupBy(C, T).agg(F.min("dilution").alias("lo"), F.max("dilution").alias("hi"))
     pts = c.select(C, T, F.posexplode(logspace_points(F.col("lo") * 0.5, F.col("hi") * 2.0, 300))
                    .alias("point", "x"))
     return pts.select(C, T, F.col("point").cast("bigint"), F.round("x", 4).alias("x"),

@@ -83,6 +83,17 @@ def value_at(d: str, n: str, dose: str) -> str:
             f"list_filter(list_zip({d}, {n}), lambda p: abs(p[1] - {dose}) < 0.01)[1][2] END)")
 
 
+def xsum(x: str) -> str:
+    """The exact sum of ``functions.exact``: whole limbs are added, then joined by one formula."""
+    f = f"(({x}) - floor({x})) * 1073741824::DOUBLE"
+    limb = lambda v: f"sum(CAST(floor({v}) AS BIGINT))::DOUBLE"
+    return f"({limb(x)} + ({limb(f)} + {limb(f'({f} - floor({f})) * 1073741824::DOUBLE')} / 1073741824::DOUBLE) / 1073741824::DOUBLE)"
+
+
+def xavg(x: str) -> str:
+    return f"({xsum(x)} / count({x}))"
+
+
 def arr_text(a: str, np_wrap: str | None = None, as_tuple: str | None = None) -> str:
     elems = f"list_transform({a}, lambda x: CAST(x AS VARCHAR))"
     if np_wrap:
@@ -232,7 +243,7 @@ def bucket_list() -> str:
 
 def view_pct(src: str, dose: str, name: str) -> str:
     return f"""{name} AS (
-  SELECT Bucket_Type, Construct_Description, PSV, avg(cv) AS value, count(cv) AS n_tested, false AS all_nn
+  SELECT Bucket_Type, Construct_Description, PSV, {xavg('cv')} AS value, count(cv) AS n_tested, false AS all_nn
   FROM (SELECT s.*, {value_at('s.DilutionArray', 's.NeutArray', dose)} AS cv FROM {src} s
         WHERE s.Bucket_Type IN ({bucket_list()}))
   GROUP BY Bucket_Type, Construct_Description, PSV HAVING count(cv) > 0)"""
@@ -240,7 +251,7 @@ def view_pct(src: str, dose: str, name: str) -> str:
 
 def view_all(src: str, name: str) -> str:
     return f"""{name} AS (
-  SELECT Bucket_Type, Construct_Description, PSV, avg(pv[2]) AS value, count(*) AS n_tested, false AS all_nn
+  SELECT Bucket_Type, Construct_Description, PSV, {xavg('pv[2]')} AS value, count(*) AS n_tested, false AS all_nn
   FROM (SELECT Bucket_Type, Construct_Description, PSV,
                unnest(list_slice(list_zip(DilutionArray, NeutArray), 1, least(len(DilutionArray), len(NeutArray)))) AS pv
         FROM {src} WHERE Bucket_Type IN ({bucket_list()}))
@@ -250,7 +261,7 @@ def view_all(src: str, name: str) -> str:
 def view_log(src: str, name: str) -> str:
     return f"""{name} AS (
   SELECT Bucket_Type, Construct_Description, PSV,
-         CASE WHEN sum(CAST(Is_NN AS BIGINT)) = count(*) THEN NULL ELSE avg(Log10_IC50) END AS value,
+         CASE WHEN sum(CAST(Is_NN AS BIGINT)) = count(*) THEN NULL ELSE {xavg('Log10_IC50')} END AS value,
          count(*) AS n_tested, sum(CAST(Is_NN AS BIGINT)) = count(*) AS all_nn
   FROM {src} WHERE Bucket_Type IN ({bucket_list()}) GROUP BY 1, 2, 3)"""
 
@@ -279,7 +290,7 @@ def grid_ctes(view: str, metric: str, mode: str, thr: float, ge: bool, bucket=No
     Kc = (K + ", ") if keys else ""
     pk = f"PARTITION BY {K}" if keys else ""
     bfilter = f"WHERE Bucket_Type = {q(bucket)}" if bucket and bucket != "All" else ""
-    key = "row_breadth" if sort_by == "breadth" else "round(row_mean, 9)"
+    key = "row_breadth" if sort_by == "breadth" else "row_mean"
     direction = "ASC" if desc else "DESC"
     kj = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys) or "TRUE"
     if target_order is None:
@@ -295,7 +306,7 @@ def grid_ctes(view: str, metric: str, mode: str, thr: float, ge: bool, bucket=No
         colj = "TRUE"
     return f"""{prefix}_st AS (SELECT *, {status_expr(metric, mode, thr, ge)} AS status FROM {view} {bfilter}),
 {prefix}_cells AS (
-  SELECT {Kc}Construct_Description, PSV, avg(value) AS value,
+  SELECT {Kc}Construct_Description, PSV, {xavg('value')} AS value,
          CASE WHEN bool_or(status = 'hit') THEN 'hit' ELSE arg_min(status, Bucket_Type) END AS status,
          sum(n_tested) AS n_tested
   FROM {prefix}_st GROUP BY {Kc}Construct_Description, PSV),
@@ -303,7 +314,7 @@ def grid_ctes(view: str, metric: str, mode: str, thr: float, ge: bool, bucket=No
   SELECT {Kc}Construct_Description,
          CASE WHEN nt > 0 THEN np::DOUBLE / nt ELSE 0.0 END AS row_breadth, coalesce(m, 0.0) AS row_mean
   FROM (SELECT {Kc}Construct_Description, count_if(status IN ('hit', 'miss', 'nn')) AS nt,
-               count_if(status IN ('hit', 'miss')) AS np, avg(value) AS m
+               count_if(status IN ('hit', 'miss')) AS np, {xavg('value')} AS m
         FROM {prefix}_cells GROUP BY {Kc}Construct_Description)),
 {prefix}_ranked AS (
   SELECT *, row_number() OVER ({pk} ORDER BY {key} {direction}, Construct_Description) AS export_rank,
@@ -355,7 +366,7 @@ def top_ctes() -> str:
 fpanel AS (SELECT * FROM ftidy WHERE PSV IN (SELECT PSV FROM matched)),
 {view_pct('fpanel', '90.0', 'vpanel')},
 scores AS (SELECT Construct_Description, count_if(value > 0) AS n_positive,
-                  coalesce(sum(CASE WHEN value > 0 THEN value END), 0.0) AS total FROM vpanel GROUP BY 1),
+                  coalesce({xsum('CASE WHEN value > 0 THEN value END')}, 0.0) AS total FROM vpanel GROUP BY 1),
 cands AS ({classify_join("(SELECT DISTINCT Construct_Description FROM fpanel)", "Construct_Description")}),
 scored AS (SELECT c.Subgroup, c.Construct_Description, coalesce(s.n_positive, 0) AS n_positive,
                   coalesce(s.total, 0.0) AS total
@@ -440,15 +451,15 @@ SELECT Subgroup, Construct_Description, CAST(n_positive AS BIGINT) AS n_positive
         grid_ctes("vtop", "pct_neut", "threshold", 50.0, True, keys=("Subgroup",), target_order="matched")) + """
 SELECT Subgroup, Construct_Description, PSV, round(value, 6) AS value, status, CAST(export_rank AS BIGINT) AS export_rank,
        CAST(row_rank AS BIGINT) AS row_rank, CAST(col_rank AS BIGINT) AS col_rank FROM g_grid"""
-    out["q21_curve"] = W() + """
-SELECT Construct_Description, PSV, round(pv[1], 6) AS dilution, round(avg(pv[2]), 6) AS pct_neut, count(*) AS n_obs
+    out["q21_curve"] = W() + f"""
+SELECT Construct_Description, PSV, round(pv[1], 6) AS dilution, round({xavg('pv[2]')}, 6) AS pct_neut, count(*) AS n_obs
 FROM (SELECT Construct_Description, PSV, unnest(list_zip(DilutionArray, NeutArray)) AS pv FROM tidy
       WHERE len(DilutionArray) > 0 AND len(DilutionArray) = len(NeutArray))
 GROUP BY Construct_Description, PSV, pv[1]"""
-    out["q21b_curve_request"] = W() + """
+    out["q21b_curve_request"] = W() + f"""
 SELECT Construct_Description, PSV, round(d, 6) AS dilution, round(m, 6) AS pct_neut,
        row_number() OVER (PARTITION BY Construct_Description, PSV ORDER BY d) AS dose_rank, 75.0::DOUBLE AS threshold
-FROM (SELECT Construct_Description, PSV, pv[1] AS d, avg(pv[2]) AS m
+FROM (SELECT Construct_Description, PSV, pv[1] AS d, {xavg('pv[2]')} AS m
       FROM (SELECT Construct_Description, PSV, unnest(list_zip(DilutionArray, NeutArray)) AS pv FROM tidy
             WHERE len(DilutionArray) > 0 AND len(DilutionArray) = len(NeutArray) AND PSV = 'NATION_3' AND Bucket_Type = 'Boost1')
       GROUP BY Construct_Description, PSV, pv[1])"""

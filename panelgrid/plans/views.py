@@ -1,6 +1,7 @@
 """Composite plans: single view (C1), small multiples (C2), top-N summary
 (C5), dose-response curves with fits — each one lazy DataFrame plan.
 
+All of them read the cube (``operators.cube``), not the tidy rows.
 Subgroups are attached to the aggregated view rows (a subgroup is a function
 of the construct), so the subgroup filter (F6) and the per-subgroup split run
 after the partial aggregation instead of on raw rows.
@@ -15,27 +16,27 @@ from pyspark.sql import functions as F
 
 from ..config import ALL_CONSTRUCTS, TOP_N, ViewSpec
 from ..operators.classify import classify
-from ..operators.curve import curves
+from ..operators.cube import cube_curves, cube_view
 from ..operators.grid import build_grid, encode_cells
 from ..operators.prepare import Prepared
 from ..operators.topn import match_panel, top_constructs
-from ..operators.view import compute_view, resolve_dilution, subgroup_filter, view_filter
+from ..operators.view import resolve_dilution, subgroup_filter, view_filter
+from ..session import kept
 
 C, T = "Construct_Description", "PSV"
 
 
 def filtered(p: Prepared, spec: ViewSpec) -> DataFrame:
-    """the request's experiment / target / group selection."""
-    return view_filter(p.tidy, spec)
+    """the cube's rows in the request's experiment / target / group selection."""
+    return view_filter(p.cube, spec)
 
 
-def spec_view(p: Prepared, spec: ViewSpec, tidy: Optional[DataFrame] = None,
+def spec_view(p: Prepared, spec: ViewSpec, cube: Optional[DataFrame] = None,
               with_subgroup: bool = False) -> DataFrame:
-    """compute_view on the filtered rows, with the dose resolved (F13) and,
-    when needed, the subgroup attached and filtered (F6)."""
-    f = filtered(p, spec) if tidy is None else tidy
-    dil = resolve_dilution(p.tidy, spec)
-    v = compute_view(f, spec.metric, dil, p.rules.buckets)
+    """The view of the selected cube rows, with the dose resolved (F13) and, when
+    needed, the subgroup attached and filtered (F6)."""
+    f = filtered(p, spec) if cube is None else cube
+    v = cube_view(f, spec.metric, resolve_dilution(p.cube, spec), p.rules.buckets)
     if with_subgroup or spec.subgroup != ALL_CONSTRUCTS:
         v = subgroup_filter(classify(v, p.rules), spec.subgroup)
     return v
@@ -61,7 +62,7 @@ def small_multiples(p: Prepared, spec: ViewSpec, show_values: bool = True) -> Da
     v = spec_view(p, spec, with_subgroup=True)
     listed = list(p.rules.subgroup_order)
     in_list = F.col("Subgroup").isin(*listed) if listed else F.lit(False)
-    any_listed = classify(p.tidy.select(C).distinct(), p.rules).agg(
+    any_listed = classify(p.cube.select(C).distinct(), p.rules).agg(
         F.coalesce(F.max(in_list), F.lit(False)).alias("any_listed")).scalar()
     v = v.filter(in_list | ~any_listed).withColumn(
         "Subgroup", F.when(any_listed, F.col("Subgroup")).otherwise(F.lit(ALL_CONSTRUCTS)))
@@ -74,10 +75,9 @@ def top_summary(p: Prepared, spec: ViewSpec, panel: Sequence[str], n: int = TOP_
     """Panel targets matched on the unfiltered targets (G33), top ``n``
     constructs per subgroup scored over all buckets (G27, G28), then one grid
     per subgroup densified to the panel in panel order (J8)."""
-    matched = match_panel(p.tidy, panel)
-    f = filtered(p, spec)
-    f_panel = f.join(F.broadcast(matched.select(T)), T, "left_semi")
-    v_panel = compute_view(f_panel, spec.metric, resolve_dilution(p.tidy, spec), p.rules.buckets)
+    matched = kept(match_panel(p.cube, panel))
+    f_panel = filtered(p, spec).join(matched.select(T), T, "left_semi")
+    v_panel = kept(cube_view(f_panel, spec.metric, resolve_dilution(p.cube, spec), p.rules.buckets))
     top = top_constructs(f_panel, v_panel, p.rules, n)
     top = subgroup_filter(top, spec.subgroup)
     listed = list(p.rules.subgroup_order)
@@ -92,4 +92,8 @@ def curve_table(p: Prepared, spec: ViewSpec, construct: Optional[str] = None,
     """Curves after the request filters (no subgroup filter, as for the curve
     endpoint); with a bucket only that bucket's rows."""
     f = filtered(p, spec)
-    return curves(f, construct, target, [spec.bucket] if spec.bucket else None)
+    if construct is not None:
+        f = f.where(F.col(C) == construct)
+    if target is not None:
+        f = f.where(F.col(T) == target)
+    return cube_curves(f.where(F.col("Bucket_Type") == spec.bucket) if spec.bucket else f)

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from typing import Optional
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -26,6 +27,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # a stack trace for every column expression makes large plans slow to build
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", os.environ.get("PANELGRID_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
@@ -59,12 +62,48 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back, so
-    that every plan on top of it sees the same evaluation."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_SCRATCH: list[tuple[str, str]] = []
+
+
+def passing_path(spark: SparkSession, name: str) -> str:
+    """A scratch path that ``release_kept`` deletes: for files that a result reads lazily."""
+    path = scratch_path(spark, name)
+    _SCRATCH.append((spark.sparkContext.applicationId, path))
+    return path
+
+
+_KEPT: list[tuple[str, DataFrame]] = []
+#: Frames kept at a time; an older one that is let go is computed anew where it is still read.
+MOST_KEPT = 8
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df``, kept by Spark (memory, then disk) once something reads it.
+
+    For intermediates that several branches of one plan read: nothing runs now,
+    and a lost executor's part is computed again from its lineage.  The oldest
+    frame goes when there are more than MOST_KEPT, all go with ``release_kept``.
+    """
+    _KEPT.append((df.sparkSession.sparkContext.applicationId, df.persist(StorageLevel.MEMORY_AND_DISK)))
+    while len(_KEPT) > MOST_KEPT:
+        _let_go(_KEPT.pop(0), df.sparkSession)
+    return df
+
+
+def _let_go(entry: tuple[str, DataFrame], spark: SparkSession) -> None:
+    app, df = entry
+    if app == spark.sparkContext.applicationId:  # that of a stopped session is gone already
+        df.unpersist()
+
+
+def release_kept(spark: SparkSession) -> None:
+    """Let go of all kept frames and delete the session's passing files."""
+    while _KEPT:
+        _let_go(_KEPT.pop(), spark)
+    while _SCRATCH:
+        app, path = _SCRATCH.pop()
+        if app == spark.sparkContext.applicationId:
+            delete_path(spark, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

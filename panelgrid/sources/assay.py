@@ -31,6 +31,10 @@ from ..session import bounded_broadcast
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
+#: The tables that the sheets are derived from.
+ASSAY_TABLES = ("orders", "lineitem", "customer", "nation", "part", "supplier")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
