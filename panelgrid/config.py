@@ -7,7 +7,7 @@ engine through :class:`Rules`; nothing about a particular study is baked in.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from typing import Any, Optional, Sequence, Union
 
 # ---------------------------------------------------------------------------
@@ -32,8 +32,7 @@ DOSE_TOLERANCE = 0.01
 # Preferred default doses, in order, then the smallest present, then 30.
 DEFAULT_DOSES = (90.0, 30.0)
 FALLBACK_DOSE = 30.0
-# Threshold defaults and presets per metric.
-THRESHOLD_DEFAULT = {"pct_neut": 50.0, "log10_ic50": 3.0}
+# Threshold presets per metric; the first is the default.
 THRESHOLD_PRESETS = {"pct_neut": (50.0, 75.0), "log10_ic50": (3.0, 3.5)}
 # Curve threshold line: the threshold for % metric, else 50.
 CURVE_THRESHOLD_OTHER = 50.0
@@ -118,7 +117,8 @@ class Rules:
     bucket_map: RuleTable = ()
     # (name, subgroup) — later rows win when names collide after normalisation
     exact_map: RuleTable = ()
-    # (pattern, subgroup) — ordered, first match wins, case-insensitive search
+    # (pattern, subgroup) — ordered, first match wins, case-insensitive search;
+    # a DataFrame has (ordinal, pattern, subgroup) with unique ordinals
     pattern_rules: RuleTable = ()
     # (experiment, group, bucket, label)
     label_overrides: RuleTable = ()
@@ -151,19 +151,14 @@ class ViewSpec:
     # non-blank groups", which drops blank-group rows when any group exists.
     default_group_filter: bool = True
 
-    def with_(self, **kw) -> "ViewSpec":
-        return replace(self, **kw)
+    # The other front end's reading of lists: an empty experiment or target
+    # selection keeps no rows, an empty group selection filters nothing.
+    empty_is_none: bool = False
 
-    @property
-    def pooled(self) -> bool:
-        return self.bucket is None or self.bucket == "All"
-
-    def resolved_threshold(self) -> float:
-        """build-grid rule: a missing threshold means 0.0."""
-        return 0.0 if self.threshold is None else float(self.threshold)
-
-    def resolved_ge(self) -> bool:
-        return True if self.ge is None else bool(self.ge)
+    @classmethod
+    def for_metric(cls, metric: str, preset: int = 0, **more) -> "ViewSpec":
+        """A spec with the metric's preset threshold (the first one is the default)."""
+        return cls(metric=metric, threshold=THRESHOLD_PRESETS[metric][preset], **more)
 
     def curve_threshold(self) -> float:
         if self.metric == "pct_neut":

@@ -12,41 +12,47 @@ from ..config import (
 from .text import _c
 
 
-def cell_status(value, tested, all_nn, metric: str, mode: str,
-                threshold: float, ge: bool = True) -> Column:
-    """not_tested / nn / miss / hit for one cell (rule order matters)."""
+def _is(x, name: str) -> Column:
+    """Whether ``x``, a python value or a column of them, is ``name``."""
+    return x == name if isinstance(x, Column) else F.lit(x == name)
+
+
+def _value(x) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def cell_status(value, tested, all_nn, metric, mode, threshold, ge=True) -> Column:
+    """not_tested / nn / miss / hit for one cell (rule order matters).
+    Metric, mode, threshold and ge are python values or columns."""
     v, t, a = _c(value), _c(tested), _c(all_nn)
-    log = metric == "log10_ic50"
-    if mode == "threshold":
-        passed = (v >= F.lit(threshold)) if ge else (v > F.lit(threshold))
-        last = F.when(passed, F.lit(HIT)).otherwise(F.lit(MISS))
-    else:
-        last = F.lit(HIT)
-    expr = F.when(~F.coalesce(t, F.lit(False)), F.lit(NOT_TESTED))
-    if log:
-        expr = expr.when(F.coalesce(a, F.lit(False)), F.lit(NN))
-    expr = expr.when(v.isNull(), F.lit(NN if log else NOT_TESTED))
-    if not log:
-        expr = expr.when(v <= 0, F.lit(NN))
-    return expr.otherwise(last)
-
-
-def cell_encoding(value, status, metric: str, mode: str) -> Column:
+    log = _is(metric, "log10_ic50")
+    passed = F.when(_value(ge), v >= _value(threshold)).otherwise(v > _value(threshold))
+    return (F.when(~F.coalesce(t, F.lit(False)), F.lit(NOT_TESTED))
+            .when(log & F.coalesce(a, F.lit(False)), F.lit(NN))
+            .when(v.isNull(), F.when(log, F.lit(NN)).otherwise(F.lit(NOT_TESTED)))
+            .when(~log & (v <= 0), F.lit(NN))
+            .when(_is(mode, "threshold") & ~passed, F.lit(MISS)).otherwise(F.lit(HIT)))
+
+
+def cell_encoding(value, status, metric, mode) -> Column:
     """number drawn in the cell (threshold: 1 for hit; gradient: value for
     hit, 0.0 for nn; otherwise null)."""
     v, s = _c(value), _c(status)
-    if mode == "threshold":
-        return F.when(s == HIT, F.lit(1.0))
-    return F.when(s == HIT, v).when(s == NN, F.lit(0.0))
+    return F.when(_is(mode, "threshold"), F.when(s == HIT, F.lit(1.0))).otherwise(F.when(s == HIT, v).when(s == NN, F.lit(0.0)))
 
 
-def cell_label(value, status, mode: str, show_values: bool = True) -> Column:
-    """text drawn in the cell: ``0.00`` for nn, one decimal for a hit."""
+def cell_label(value, status, mode, show_values: bool = True) -> Column:
+    """text drawn in the cell: ``0.00`` for nn, one decimal for a hit, rounded
+    from the number's exact binary value (45.55 lies below the tie: ``45.5``)."""
     v, s = _c(value), _c(status)
-    lab = F.when(s == NN, F.lit("0.00"))
-    if show_values and mode != "threshold":
-        lab = lab.when((s == HIT) & v.isNotNull(), F.format_string("%.1f", v))
-    return lab
+    shown = F.lit(show_values) & ~_is(mode, "threshold")
+    return F.when(s == NN, F.lit("0.00")).when(shown & (s == HIT) & v.isNotNull(), F.call_function("format_number", v, F.lit("0.0")))
+
+
+def breadth_label(n_positive, n_tested) -> Column:
+    """A7 as drawn beside a row: ``n/m``, nothing where no target was tested."""
+    n, m = _c(n_positive), _c(n_tested)
+    return F.when(m > 0, F.concat_ws("/", n.cast("string"), m.cast("string")))
 
 
 def _py_number(x: float) -> str:

@@ -1,9 +1,10 @@
 """Subgroup classification (J4 exact-name join, J5 ordered regex rules, X2, X15).
 
-Classification is a pure function of the construct text, so it is applied to
-*aggregated* rows (distinct constructs, view cells), never to raw rows: the
-exact map is a size-checked broadcast join on the normalised name, the ordered
-rules become one generated ``CASE WHEN rlike`` (first match wins).
+Classification is a pure function of the construct text.  The exact map is a join
+on the normalised name.  A short list of ordered rules is one generated ``CASE
+WHEN rlike`` (first match wins) on the row itself, so nothing is joined on the
+construct, of which one may hold a third of all rows; a long list, or a rule table
+given as a DataFrame, goes through ``rule_index`` on the distinct constructs.
 """
 
 from __future__ import annotations
@@ -13,27 +14,39 @@ from pyspark.sql import functions as F
 
 from ..config import Rules
 from ..functions.text import norm_name, rsearch, ustrip
-from ..session import collect_small, rows_df, rule_dim
+from ..session import rows_df, rule_dim
+from .rule_index import first_rule
 
-
-def _pattern_rows(rules: Rules) -> list[tuple[str, str]]:
-    pr = rules.pattern_rules
-    if isinstance(pr, DataFrame):
-        rows = collect_small(pr.orderBy("ordinal"), rules.max_broadcast_rows, "pattern_rules")
-        return [(r["pattern"], r["subgroup"]) for r in rows]
-    return [(p, s) for p, s in pr]
+#: Rules that are spelt out in the plan.
+INLINE_RULES = 500
 
 
 def rule_subgroup(text: Column, rules: Rules) -> Column:
-    """First matching ordered rule, else the uncategorized label."""
+    """First matching ordered rule of a short list, else the uncategorized label."""
     s = ustrip(text)
     expr = None
-    for pattern, subgroup in _pattern_rows(rules):
+    for pattern, subgroup in rules.pattern_rules:
         cond = rsearch(s, pattern)
         expr = F.when(cond, F.lit(subgroup)) if expr is None else expr.when(cond, F.lit(subgroup))
     return F.lit(rules.uncategorized) if expr is None else expr.otherwise(F.lit(rules.uncategorized))
 
 
+def _indexed(rules: Rules) -> bool:
+    return isinstance(rules.pattern_rules, DataFrame) or len(rules.pattern_rules) > INLINE_RULES
+
+
+def with_rule_subgroup(df: DataFrame, rules: Rules, text_col: str, out_col: str) -> DataFrame:
+    """J5 for every row of ``df``, by the way that suits the number of rules."""
+    if not _indexed(rules):
+        return df.withColumn(out_col, rule_subgroup(F.col(text_col), rules))
+    table = rules.pattern_rules
+    if not isinstance(table, DataFrame):
+        table = rows_df(df.sparkSession, [(i, p, s) for i, (p, s) in enumerate(table)], "ordinal bigint, pattern string, subgroup string")
+    found = first_rule(df.select(F.col(text_col).alias("text")), table).select(F.col("text").alias("_text"), F.col("subgroup").alias("_found"))
+    joined = df.join(found, F.col(text_col) == F.col("_text"), "left")
+    return joined.withColumn(out_col, F.coalesce("_found", F.lit(rules.uncategorized))).drop("_text", "_found")
+
+
 def exact_dim(spark, rules: Rules) -> DataFrame:
     """J4 dimension: (name_norm, exact_subgroup); later rows win on collisions."""
     em = rules.exact_map
@@ -59,8 +72,8 @@ def classify(df: DataFrame, rules: Rules, text_col: str = "Construct_Description
     dim = exact_dim(spark, rules)
     joined = df.join(dim, norm_name(F.col(text_col)) == dim["name_norm"], "left")
     exact = F.when(F.col("exact_subgroup") != "", F.col("exact_subgroup"))
-    return joined.withColumn(out_col, F.coalesce(exact, rule_subgroup(F.col(text_col), rules))) \
-        .drop("name_norm", "exact_subgroup")
+    return with_rule_subgroup(joined, rules, text_col, "_by_rule").withColumn(out_col, F.coalesce(exact, F.col("_by_rule"))) \
+        .drop("name_norm", "exact_subgroup", "_by_rule")
 
 
 def classified_constructs(cube: DataFrame, rules: Rules,
@@ -72,8 +85,7 @@ def classified_constructs(cube: DataFrame, rules: Rules,
 
 
 def with_subgroup(tidy: DataFrame, rules: Rules, text_col: str = "Construct_Description") -> DataFrame:
-    """Row-level ``Subgroup``: the rule expression on the row itself.  Nothing is
-    joined on the construct, of which one may hold a third of all rows."""
+    """Row-level ``Subgroup`` (see the module for hot constructs)."""
     return classify(tidy, rules, text_col)
 
 

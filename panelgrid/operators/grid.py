@@ -36,24 +36,24 @@ POSITIVE = (HIT, MISS)
 BLOCK = 512
 
 
-def cell_statuses(view: DataFrame, metric: str, mode: str, threshold: Optional[float],
-                  ge: Optional[bool]) -> DataFrame:
+def cell_statuses(view: DataFrame, metric, mode, threshold, ge) -> DataFrame:
     """F11 on every view row (threshold None → 0.0, ge None → True)."""
-    thr = 0.0 if threshold is None else float(threshold)
-    g = True if ge is None else bool(ge)
+    thr = 0.0 if threshold is None else threshold
+    g = True if ge is None else ge
     return view.withColumn("status", cell_status(F.col("value"), F.col("n_tested") > 0,
                                                  F.col("all_nn"), metric, mode, thr, g))
 
 
-def pooled_cells(view: DataFrame, metric: str, mode: str, threshold: Optional[float],
-                 ge: Optional[bool], bucket: Optional[str] = None,
+def pooled_cells(view: DataFrame, metric, mode, threshold, ge, bucket=None,
                  keys: Sequence[str] = ()) -> DataFrame:
     """F8 + A4-A6: one row per (keys, construct, target).
 
     value = mean of the bucket means; status = hit if any bucket is a hit,
     else the status of the alphabetically first bucket; n_tested = sum."""
     v = view
-    if bucket is not None and bucket != "All":
+    if isinstance(bucket, Column):
+        v = v.filter((bucket == "All") | (F.col("Bucket_Type") == bucket))
+    elif bucket is not None and bucket != "All":
         v = v.filter(F.col("Bucket_Type") == bucket)
     v = cell_statuses(v, metric, mode, threshold, ge)
     return v.groupBy(*keys, C, T).agg(
@@ -77,8 +77,8 @@ def with_genotype(targets: DataFrame, genotypes: Optional[dict]) -> DataFrame:
         "genotype", F.coalesce("_genotype", F.lit(NO_GENOTYPE))).drop("_genotype")
 
 
-def ranked_labels(cells: DataFrame, keys: Sequence[str], sort_by: str, sort_descending: bool,
-                  genotypes: Optional[dict] = None, columns: bool = True) -> DataFrame:
+def ranked_labels(cells: DataFrame, keys: Sequence[str], sort_by, sort_descending,
+                  genotypes: Optional[dict] = None, columns: bool = True, use_genotype=True) -> DataFrame:
     """W1 and W2 in one keyed step, each cell counted for its row and its column.
 
     Rows (kind 'row'): reference order is ascending by breadth or mean when
@@ -98,31 +98,34 @@ def ranked_labels(cells: DataFrame, keys: Sequence[str], sort_by: str, sort_desc
         g = g.join(table, ["kind", "name"], "left")
     else:
         g = g.withColumn("_genotype", F.lit(None).cast("string"))
-    key = F.col("breadth") if sort_by == "breadth" else F.col("mean")
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    key = F.when(as_col(sort_by) == "breadth", F.col("breadth")).otherwise(F.col("mean"))
+    key = F.when(as_col(sort_descending), key).otherwise(-key)
+    genotype = F.coalesce(F.when(as_col(use_genotype), F.col("_genotype")), F.lit(NO_GENOTYPE))
     g = g.select("kind", *keys, "name", "n_tested_targets", "n_positive", "breadth", "mean",
-                 F.when(~is_row, F.coalesce("_genotype", F.lit(NO_GENOTYPE))).alias("genotype"),
-                 F.when(is_row, key if sort_descending else -key).otherwise(-F.col("breadth")).alias("_key"))
+                 F.when(~is_row, genotype).alias("genotype"), F.when(is_row, key).otherwise(-F.col("breadth")).alias("_key"))
     return ordered_rank(g, ["kind", *keys], [F.col("genotype"), F.col("_key"), F.col("name")], "rank", "size").drop("_key")
 
 
-def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",
-               threshold: Optional[float] = None, ge: Optional[bool] = None,
-               bucket: Optional[str] = None, sort_by: str = "breadth",
-               sort_descending: bool = True, genotypes: Optional[dict] = None,
+def build_grid(view: DataFrame, metric="log10_ic50", mode="none", threshold=None, ge=None,
+               bucket=None, sort_by="breadth", sort_descending=True, genotypes: Optional[dict] = None,
                keys: Sequence[str] = (), dense: bool = True,
-               target_order: Optional[DataFrame] = None) -> DataFrame:
+               target_order: Optional[DataFrame] = None, use_genotype=True) -> DataFrame:
     """Long grid, one row per (keys, construct, target).
 
     Columns: keys, Construct_Description, PSV, value, status, n_tested,
     row_breadth, row_mean, n_positive, n_tested_targets, export_rank (reference
     order), row_rank (1 = top of screen), n_rows, col_rank, col_breadth, genotype.
 
+    Metric to sort_descending and use_genotype may be columns that follow from
+    the keys, so that one plan holds grids of different requests.
+
     ``target_order`` (keys..., PSV, col_rank) replaces the computed column
     order and the column set (used to densify to a fixed panel, J8).
     """
     keys = list(keys)
     cells = kept(pooled_cells(view, metric, mode, threshold, ge, bucket, keys))
-    labels = kept(ranked_labels(cells, keys, sort_by, sort_descending, genotypes, columns=dense and target_order is None))
+    labels = kept(ranked_labels(cells, keys, sort_by, sort_descending, genotypes, dense and target_order is None, use_genotype))
     ranked = labels.where("kind = 'row'").select(
         *keys, F.col("name").alias(C), F.col("breadth").alias("row_breadth"), F.col("mean").alias("row_mean"), "n_positive", "n_tested_targets",
         F.col("rank").alias("export_rank"), F.col("size").alias("n_rows"), (F.col("size") - F.col("rank") + 1).alias("row_rank"))
@@ -165,7 +168,7 @@ def build_grid(view: DataFrame, metric: str = "log10_ic50", mode: str = "none",
         F.col("_tg")["b"].alias("col_breadth"), F.col("_tg")["g"].alias("genotype"))
 
 
-def encode_cells(grid: DataFrame, metric: str, mode: str, show_values: bool = True) -> DataFrame:
+def encode_cells(grid: DataFrame, metric, mode, show_values: bool = True) -> DataFrame:
     """the number and the text drawn in each cell."""
     return grid.withColumn("z", cell_encoding(F.col("value"), F.col("status"), metric, mode)) \
         .withColumn("label", cell_label(F.col("value"), F.col("status"), mode, show_values))

@@ -67,20 +67,25 @@ def view_filter(tidy: DataFrame, spec: ViewSpec) -> DataFrame:
 
     With ``default_group_filter`` an empty group selection keeps the non-blank
     groups only, unless every group is blank (scalar subquery, no driver loop).
+    With ``empty_is_none`` (G25) an empty, not absent, list of experiments or
+    targets keeps nothing, and an empty list of groups filters nothing.
     """
     f = tidy
-    if spec.experiments:
-        f = f.filter(F.col("Experiment").isin(*spec.experiments))
-    if spec.targets:
-        f = f.filter(F.col("PSV").isin(*spec.targets))
+    for chosen, column in ((spec.experiments, "Experiment"), (spec.targets, "PSV")):
+        if chosen or (spec.empty_is_none and chosen is not None):
+            f = f.filter(F.col(column).isin(*chosen))
     if spec.groups:
         f = f.filter(F.col("Group").isin(*spec.groups))
-    elif spec.default_group_filter:
-        any_group = tidy.select(F.coalesce(F.max(F.col("Group") != ""), F.lit(False))).scalar()
-        f = f.filter((F.col("Group") != "") | ~any_group)
+    elif spec.default_group_filter and not (spec.empty_is_none and spec.groups is not None):
+        f = f.filter((F.col("Group") != "") | ~any_group(tidy))
     return f
 
 
+def any_group(tidy: DataFrame) -> Column:
+    """Whether some row has a group, as a scalar subquery."""
+    return tidy.select(F.coalesce(F.max(F.col("Group") != ""), F.lit(False))).scalar()
+
+
 def subgroup_filter(df: DataFrame, subgroup: Optional[str], col: str = "Subgroup") -> DataFrame:
     """equality filter; the wildcard keeps everything."""
     from ..config import ALL_CONSTRUCTS

@@ -30,10 +30,11 @@ from ..operators.prepare import (Prepared, build_lookup, cohort_filters, prepare
 from ..operators.ranking import ordered_rank
 from ..operators.topn import match_panel, top_constructs
 from ..session import release_kept, passing_path
-from ..sources.assay import ASSAY_TABLES, DEMO_PANEL, constructs_sheet, demo_rules, measurement_sheet
+from ..sources.assay import ASSAY_TABLES, DEMO_PANEL, constructs_sheet, demo_rules, measurement_sheet, part_rules
 from ..sources.store import TableStore, listing_hash, rules_hash
 from ..sources.sheets import read_sheet, resolve_columns, select_resolved, write_sheet
 from . import views
+from .requests import many_heatmaps, request_table
 
 C, T = "Construct_Description", "PSV"
 
@@ -49,6 +50,22 @@ SPEC_MULTI = ViewSpec(metric="pct_neut", dilution=30.0, mode="threshold", thresh
 SPEC_TOP = ViewSpec(metric="pct_neut", dilution=90.0, mode="threshold", threshold=50.0)
 SPEC_CURVE = ViewSpec(metric="pct_neut", threshold=75.0, bucket="Boost1")
 
+#: Requests of one plan: presets of both metrics, every kind of dose, selection and order.
+REQUESTS = {
+    "01 default": ViewSpec.for_metric("pct_neut", mode="threshold"),
+    "02 second preset": ViewSpec.for_metric("pct_neut", preset=1, mode="threshold", ge=False, bucket="Prime", dilution=30.0),
+    "03 potency": ViewSpec.for_metric("log10_ic50", sort_by="mean_value", sort_descending=False, use_genotype=True),
+    "04 potency preset": ViewSpec.for_metric("log10_ic50", preset=1, mode="threshold", bucket="Boost2"),
+    "05 all doses": ViewSpec(dilution="all", sort_by="mean_value"),
+    "06 lists": ViewSpec(dilution=90.0, experiments=("1-URGENT", "2-HIGH", "2-HIGH"), groups=("F",), targets=("NATION_3", "NATION_4", "NATION_8", "nobody")),
+    "07 subgroup": ViewSpec(dilution=10.0, subgroup="2. Widgets", use_genotype=True, sort_descending=False),
+    "08 none chosen": ViewSpec(dilution=30.0, experiments=(), empty_is_none=True),
+    "09 groups unfiltered": ViewSpec(dilution=30.0, groups=(), empty_is_none=True, bucket="Boost1"),
+    "10 blank groups too": ViewSpec(metric="log10_ic50", default_group_filter=False, mode="threshold", threshold=None, ge=None),
+    "11 absent dose": ViewSpec(dilution=7.0),
+    "12 one experiment": ViewSpec(dilution=270.0, experiments=("3-MEDIUM",), bucket="All"),
+}
+
 _PREPARED: dict = {}
 
 
@@ -182,6 +199,13 @@ def q09_classify(spark, sf_dir):
     return classified_constructs(p.cube, p.rules).select(C, "Subgroup", F.col("n_rows").cast("bigint"))
 
 
+def q09b_classify_rule_table(spark, sf_dir):
+    """J5 with a rule table that grows with the data (one rule a part)."""
+    p = prepared(spark, sf_dir)
+    rules = replace(p.rules, pattern_rules=part_rules(spark, sf_dir))
+    return classified_constructs(p.cube, rules).select(C, "Subgroup", F.col("n_rows").cast("bigint"))
+
+
 def _view_out(v: DataFrame) -> DataFrame:
     return v.select("Bucket_Type", C, T, r6("value").alias("value"),
                     F.col("n_tested").cast("bigint").alias("n_tested"), "all_nn")
@@ -221,6 +245,13 @@ def q14_view_filters(spark, sf_dir):
                     F.col("n_tested").cast("bigint").alias("n_tested"), "all_nn", "Subgroup")
 
 
+def q14b_many_requests(spark, sf_dir):
+    """Twelve requests as one plan."""
+    p = prepared(spark, sf_dir)
+    g = many_heatmaps(p, request_table(spark, REQUESTS))
+    return g.select(*_grid_cols(["spec_id"]), r6("z").alias("z"), "label", "breadth_label")
+
+
 def _grid_cols(keys=()) -> list:
     return [*keys, C, T, r6("value").alias("value"), "status", "n_tested",
             r6("row_breadth").alias("row_breadth"), r6("row_mean").alias("row_mean"),

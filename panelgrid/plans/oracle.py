@@ -12,7 +12,7 @@ from __future__ import annotations
 from ..config import NN_TOKENS, NN_TOKENS_VARIANT
 from ..functions.arrays import NP_WRAP_RE
 from ..functions.numeric import NUMBER_RE
-from ..sources.assay import (DEMO_EXACT, DEMO_GENOTYPES, DEMO_OVERRIDES, DEMO_PANEL, DEMO_PATTERNS,
+from ..sources.assay import (DEMO_EXACT, DEMO_GENOTYPES, DEMO_OVERRIDES, DEMO_PANEL, DEMO_PATTERNS, PART_PATTERN,
                              PRIORITIES, demo_bucket_map, demo_rules)
 
 RULES = demo_rules()
@@ -312,7 +312,7 @@ def grid_ctes(view: str, metric: str, mode: str, thr: float, ge: bool, bucket=No
   FROM {prefix}_st GROUP BY {Kc}Construct_Description, PSV),
 {prefix}_rows AS (
   SELECT {Kc}Construct_Description,
-         CASE WHEN nt > 0 THEN np::DOUBLE / nt ELSE 0.0 END AS row_breadth, coalesce(m, 0.0) AS row_mean
+         CASE WHEN nt > 0 THEN np::DOUBLE / nt ELSE 0.0 END AS row_breadth, coalesce(m, 0.0) AS row_mean, np, nt
   FROM (SELECT {Kc}Construct_Description, count_if(status IN ('hit', 'miss', 'nn')) AS nt,
                count_if(status IN ('hit', 'miss')) AS np, {xavg('value')} AS m
         FROM {prefix}_cells GROUP BY {Kc}Construct_Description)),
@@ -323,7 +323,7 @@ def grid_ctes(view: str, metric: str, mode: str, thr: float, ge: bool, bucket=No
 {prefix}_grid AS (
   SELECT {', '.join('r.' + k for k in keys) + ', ' if keys else ''}r.Construct_Description, c.PSV, ce.value,
          coalesce(ce.status, 'not_tested') AS status, coalesce(ce.n_tested, 0) AS n_tested,
-         r.row_breadth, r.row_mean, r.export_rank, r.n_rows - r.export_rank + 1 AS row_rank,
+         r.row_breadth, r.row_mean, r.np, r.nt, r.export_rank, r.n_rows - r.export_rank + 1 AS row_rank,
          r.n_rows, c.col_rank, c.col_breadth, c.genotype
   FROM {prefix}_ranked r JOIN {prefix}_cols c ON {colj}
   LEFT JOIN {prefix}_cells ce ON {kj('ce', 'r')} AND ce.Construct_Description = r.Construct_Description AND ce.PSV = c.PSV)"""
@@ -351,6 +351,38 @@ def W(*ctes: str) -> str:
     return "WITH " + ",\n".join([base_ctes()] + [c for c in ctes if c])
 
 
+def many_requests() -> str:
+    """One view and grid for each request, side by side."""
+    from .catalog import REQUESTS
+    ctes, selects = [f"wtidy AS ({classify_join('tidy', 'Construct_Description')})"], []
+    for k, (name, s) in enumerate(REQUESTS.items()):
+        where = []
+        for chosen, column in ((s.experiments, "Experiment"), (s.targets, "PSV")):
+            if chosen or (s.empty_is_none and chosen is not None):
+                where.append(f"{column} IN ({', '.join(map(q, chosen)) or 'NULL'})")
+        if s.groups:
+            where.append(f"grp IN ({', '.join(map(q, s.groups))})")
+        elif s.default_group_filter and not (s.empty_is_none and s.groups is not None):
+            where.append("(grp <> '' OR NOT (SELECT has FROM anygrp))")
+        if s.subgroup != "All constructs":
+            where.append(f"Subgroup = {q(s.subgroup)}")
+        ctes.append(f"f{k} AS (SELECT wtidy.*, dd.dose FROM wtidy, dd WHERE {' AND '.join(where) or 'TRUE'})")
+        if s.metric == "log10_ic50":
+            ctes.append(view_log(f"f{k}", f"v{k}"))
+        elif s.dilution == "all":
+            ctes.append(view_all(f"f{k}", f"v{k}"))
+        else:
+            ctes.append(view_pct(f"f{k}", repr(s.dilution) if s.dilution is not None else "s.dose", f"v{k}"))
+        ctes.append(grid_ctes(f"v{k}", s.metric, s.mode, s.threshold or 0.0, s.ge is not False, s.bucket, s.sort_by, s.sort_descending,
+                              s.use_genotype, prefix=f"g{k}"))
+        z = "CASE WHEN status = 'hit' THEN 1.0::DOUBLE END" if s.mode == "threshold" else "CASE WHEN status = 'hit' THEN value WHEN status = 'nn' THEN 0.0 END"
+        shown = "" if s.mode == "threshold" else "WHEN status = 'hit' AND value IS NOT NULL THEN format('{:.1f}', value)"
+        selects.append(grid_select(f"g{k}_grid").replace("SELECT ", f"SELECT {q(name)} AS spec_id, ", 1).replace(
+            f" FROM g{k}_grid", f", round({z}, 6) AS z, CASE WHEN status = 'nn' THEN '0.00' {shown} END AS label, "
+            f"CASE WHEN nt > 0 THEN np || '/' || nt END AS breadth_label FROM g{k}_grid"))
+    return W(*ctes) + "\n" + "\nUNION ALL ".join(selects)
+
+
 def panel_ctes() -> str:
     pn = values(list(enumerate(DEMO_PANEL)), ["ord", "name"])
     return f"""pn AS (SELECT * FROM {pn}),
@@ -413,6 +445,14 @@ SELECT row_id, Experiment, round(Day, 6) AS Day, TRY_CAST(trunc(Day) AS BIGINT)
        Construct_Description FROM tidy"""
     out["q09_classify"] = W() + """
 SELECT Construct_Description, Subgroup, CAST(n_rows AS BIGINT) AS n_rows FROM constructs"""
+    part_pattern = PART_PATTERN.replace("STRING", "VARCHAR")
+    out["q09b_classify_rule_table"] = W() + f"""
+SELECT c.Construct_Description, coalesce(nullif(any_value(ex.exact_subgroup), ''), arg_min(r.subgroup, r.ordinal), {q(RULES.uncategorized)}) AS Subgroup,
+       CAST(any_value(c.n_rows) AS BIGINT) AS n_rows
+FROM constructs c LEFT JOIN exact ex ON {norm_name('c.Construct_Description')} = ex.name_norm
+LEFT JOIN (SELECT p_partkey AS ordinal, {part_pattern} AS pattern, p_brand AS subgroup FROM part) r
+  ON regexp_matches({strip('c.Construct_Description')}, '(?i)' || r.pattern)
+GROUP BY c.Construct_Description"""
     out["q10_view_single_dose"] = W(view_pct("(SELECT tidy.*, dd.dose FROM tidy, dd)", "s.dose", "v")) + \
         "\n" + view_select("v")
     out["q11_view_all_doses"] = W(view_all("tidy", "v")) + "\n" + view_select("v")
@@ -427,6 +467,7 @@ SELECT Bucket_Type, Construct_Description, PSV, round(value, 6) AS value,
         f"v AS ({classify_join('v0', 'Construct_Description')})") + \
         "\nSELECT Bucket_Type, Construct_Description, PSV, round(value, 6) AS value, CAST(n_tested AS BIGINT) AS n_tested, " \
         "all_nn, Subgroup FROM v WHERE Subgroup = '2. Widgets'"
+    out["q14b_many_requests"] = many_requests()
     g15 = [view_pct("tidy", "90.0", "v15"), grid_ctes("v15", "pct_neut", "threshold", 50.0, True, prefix="g")]
     out["q15_grid"] = W(*g15) + "\n" + grid_select("g_grid")
     out["q16_grid_rows_ranked"] = W(

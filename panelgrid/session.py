@@ -147,11 +147,3 @@ def rule_dim(spark: SparkSession, rows, schema: str, max_rows: int) -> DataFrame
         return bounded_broadcast(rows, max_rows)
     rows = list(rows)
     return bounded_broadcast(rows_df(spark, rows, schema), max_rows, known_rows=len(rows))
-
-
-def collect_small(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a configuration-sized table, refusing anything larger."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; refusing to collect")
-    return rows

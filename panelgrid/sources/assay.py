@@ -206,3 +206,19 @@ def demo_rules() -> Rules:
         target_groups=dict(DEMO_GENOTYPES),
         program="ASSAY",
     )
+
+
+#: SQL of a part's pattern: most match no construct, some do, and some spell out no letters.
+PART_PATTERN = r"""CASE
+  WHEN p_partkey % 97 = 5 THEN concat('^.{', CAST(20 + p_size AS STRING), '}$')
+  WHEN p_partkey % 4 = 0 THEN concat('^', p_name, ' ', p_brand)
+  WHEN p_partkey % 4 = 1 THEN concat(split_part(p_name, ' ', 1), '.+(', split_part(p_name, ' ', 2), '|', lower(p_type), ')x')
+  WHEN p_partkey % 40 = 2 THEN concat('(^|[+] )', p_name)
+  WHEN p_partkey % 4 = 2 THEN concat(p_name, '.{', CAST(p_size AS STRING), ',}')
+  ELSE concat('^(hot|new|red) ?nation_', CAST(p_partkey % 25 AS STRING), '$') END"""
+
+
+def part_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule table of one ordered pattern for each part."""
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("ordinal"), F.expr(PART_PATTERN).alias("pattern"), F.col("p_brand").alias("subgroup"))
