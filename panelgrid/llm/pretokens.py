@@ -11,6 +11,7 @@ occurs; the ids of all texts are then gathered from the store of known pieces.
 from __future__ import annotations
 
 import functools
+import itertools
 import unicodedata
 from collections.abc import Callable, Iterator, Sequence
 
@@ -79,6 +80,13 @@ def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint32), np.fromiter(map(len, texts), np.int64, len(texts))
 
 
+def _sliced(cp: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The strings between ``ends`` in the code points ``cp``, decoded at once."""
+    joined = cp.tobytes().decode("utf-32-le", "surrogatepass")
+    upto = ends.tolist()
+    return [joined[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+
 def _starts_of(lengths: np.ndarray, n: int) -> np.ndarray:
     first = np.zeros(n + 1, bool)
     ends = np.cumsum(lengths)
@@ -165,15 +173,15 @@ class PieceEncoder:
         if len(self.slot) + len(known) > REMEMBERED:
             self._forget()
         get = self.slot.get
-        slots = np.fromiter((get(h, -1) for h in known.tolist()), np.int64, len(known))
+        slots = np.fromiter(map(get, known.tolist(), itertools.repeat(-1)), np.int64, len(known))
         new = np.flatnonzero(slots < 0)
         if len(new):
             where = np.empty(len(known), np.int64)
             where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = where[new]
-            pieces = [cp[s:s + n].tobytes().decode("utf-32-le", "surrogatepass")
-                      for s, n in zip(starts[at].tolist(), lengths[at].tolist(), strict=True)]
-            ids, n = self.encode_many(pieces)
+            ends = np.cumsum(lengths[at])
+            whole = cp[np.repeat(starts[at] - (ends - lengths[at]), lengths[at]) + np.arange(ends[-1])]
+            ids, n = self.encode_many(_sliced(whole, ends))
             slots[new] = len(self.n) + np.arange(len(new))
             self.slot.update(zip(known[new].tolist(), slots[new].tolist(), strict=True))
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
@@ -229,12 +237,22 @@ class PieceEncoder:
             yield np.concatenate(got.pop(j))
 
 
-def _byte_alphabet() -> dict[int, str]:
-    """The printable sign that byte-level vocabulary files write for each byte:
-    itself if it is printable in Latin-1, else the next one from 256 on."""
+def _byte_alphabet() -> np.ndarray:
+    """The code point of the printable sign that byte-level vocabulary files write
+    for each byte: itself if it is printable in Latin-1, else the next one from 256 on."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = [b for b in range(256) if b not in printable]
-    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    signs = np.arange(256, dtype=np.uint32)
+    signs[rest] = 256 + np.arange(len(rest))
+    return signs
+
+
+def _byte_forms(pieces: list[str], alphabet: np.ndarray) -> list[str]:
+    """Each piece's UTF-8 bytes as signs of ``alphabet``."""
+    cp, sizes = code_points(pieces)
+    n_bytes = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    upto = np.concatenate([[0], np.cumsum(n_bytes)])[np.cumsum(sizes)]
+    return _sliced(alphabet[np.frombuffer("".join(pieces).encode(), np.uint8)], upto)
 
 
 def _word_form(text: str) -> str:
@@ -260,9 +278,9 @@ def library_encoder(path: str, style: str) -> PieceEncoder:
 
     def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A piece is what the file's own pattern leaves whole, so only its model is needed.
-        ids = [[t.id for t in model.tokenize(p.encode().decode("latin-1").translate(alphabet))] for p in pieces]
+        ids = [[t.id for t in model.tokenize(form)] for form in _byte_forms(pieces, alphabet)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for one in ids for i in one), np.uint32, int(n.sum())), n
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(n.sum())), n
 
     if style == "bytelevel":
         return PieceEncoder(split_bytelevel, encode_many)
