@@ -25,7 +25,7 @@ WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0              
 
 #: Code points taken at once, and pieces remembered by a worker.
 CHUNK = 500_000
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xBF58476D1CE4E5B9)
@@ -165,15 +165,18 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their places in the store
         self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _slots(self, cp, starts, lengths, hashes) -> np.ndarray:
         codes, known = pd.factorize(hashes)
-        if len(self.slot) + len(known) > REMEMBERED:
+        if len(self.keys) + len(known) > REMEMBERED:
             self._forget()
-        get = self.slot.get
-        slots = np.fromiter(map(get, known.tolist(), itertools.repeat(-1)), np.int64, len(known))
+        place = np.searchsorted(self.keys, known)
+        slots = np.full(len(known), -1, np.int64)
+        held = np.flatnonzero(place < len(self.keys))
+        held = held[self.keys[place[held]] == known[held]]
+        slots[held] = self.slot[place[held]]
         new = np.flatnonzero(slots < 0)
         if len(new):
             where = np.empty(len(known), np.int64)
@@ -183,7 +186,8 @@ class PieceEncoder:
             whole = cp[np.repeat(starts[at] - (ends - lengths[at]), lengths[at]) + np.arange(ends[-1])]
             ids, n = self.encode_many(_sliced(whole, ends))
             slots[new] = len(self.n) + np.arange(len(new))
-            self.slot.update(zip(known[new].tolist(), slots[new].tolist(), strict=True))
+            new = new[np.argsort(known[new])]
+            self.keys, self.slot = (np.insert(kept, place[new], more[new]) for kept, more in ((self.keys, known), (self.slot, slots)))
             self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
             self.ids, self.n = np.concatenate([self.ids, ids.astype(np.uint32)]), np.concatenate([self.n, n])
         return slots[codes]
