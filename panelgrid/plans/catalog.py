@@ -32,7 +32,7 @@ from ..operators.topn import match_panel, top_constructs
 from ..session import release_kept, passing_path
 from ..sources.assay import ASSAY_TABLES, DEMO_PANEL, constructs_sheet, demo_rules, measurement_sheet, part_rules
 from ..sources.store import TableStore, listing_hash, rules_hash
-from ..sources.sheets import read_sheet, resolve_columns, select_resolved, write_sheet
+from ..sources.sheets import read_sheet, resolve_columns, scan_sheets, select_resolved, write_sheet
 from . import views
 from .requests import many_heatmaps, request_table
 
@@ -125,6 +125,28 @@ def q01_scan_resolve(spark, sf_dir):
     return out.withColumn("row_id", F.col("row_id").cast("bigint"))
 
 
+def q01b_ragged_sheets(spark, sf_dir):
+    """Two folders of ragged sheets, the second named by a prefix of the
+    first; rows by first and last mention, and the rejected rows."""
+    raw = measurement_sheet(spark, sf_dir)
+    base = passing_path(spark, "ragged sheets")
+    rest = F.when(F.col("row_id") % 7 == 3, "").when(F.col("row_id") % 11 == 5, F.lit(",beyond,further"))
+    line = lambda version: F.concat(F.col("row_id"), F.lit(","), "Group", F.when(F.col("row_id") % 7 == 3, "").otherwise(F.lit(f",{version}")),
+                                    F.coalesce(rest, F.lit("")))
+    for folder, version, rows in (("part2", "first", raw), ("part", "second", raw.where("row_id % 2 = 0"))):
+        # one column whose separator never occurs: lines are written as they are
+        (rows.select(line(version).alias("id , Group,version")).repartition(3).write.mode("overwrite")
+         .option("header", "true").option("sep", "\u0001").option("ignoreTrailingWhiteSpace", "false").csv(f"{base}/{folder}"))
+    scan = scan_sheets(spark, [f"{base}/part2", f"{base}/part"], row_id="place")
+    got = scan.rows.groupBy("id", "Group").agg(F.min_by("version", "place").alias("first"), F.max_by("version", "place").alias("last"),
+                                               F.count(F.lit(1)).alias("n"))
+    cell = lambda k: F.get("cells", F.lit(k))
+    rejected = scan.rejects.groupBy(cell(0).alias("id"), cell(1).alias("Group")).agg(
+        F.min(cell(2)).alias("first"), F.max(cell(3)).alias("last"), F.count(F.lit(1)).alias("n"))
+    return got.select(F.lit("row").alias("kind"), "*").unionByName(rejected.select(F.lit("reject").alias("kind"), "*")).select(
+        "kind", F.col("id").cast("bigint").alias("id"), F.col("Group").alias("grp"), "first", "last", "n")
+
+
 def q02_base_filters(spark, sf_dir):
     """F1-F3 + S6: cohort filters, raw (uncorrected) measurement columns."""
     raw = measurement_sheet(spark, sf_dir)

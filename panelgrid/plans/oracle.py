@@ -415,6 +415,11 @@ def oracle_sql() -> dict[str, str]:
 SELECT row_id, Sample_Type AS sample, grp AS "group", PSVX_No AS psvx, PSV AS psv, Day AS day,
        Experiment AS experiment, Construct_Description AS "desc", Dilution AS dilution, Neut_corr AS neut,
        IC50_corr AS ic50 FROM raw"""
+    out["q01b_ragged_sheets"] = W() + """
+SELECT CASE WHEN long THEN 'reject' ELSE 'row' END AS kind, row_id AS id, grp, CASE WHEN short THEN '' ELSE 'first' END AS "first",
+       CASE WHEN long THEN 'beyond' WHEN short THEN '' WHEN row_id % 2 = 0 THEN 'second' ELSE 'first' END AS "last",
+       CASE WHEN row_id % 2 = 0 THEN 2 ELSE 1 END AS n
+FROM (SELECT row_id, coalesce(grp, '') AS grp, row_id % 7 = 3 AS short, row_id % 11 = 5 AND row_id % 7 <> 3 AS long FROM raw)"""
     out["q02_base_filters"] = W() + """
 SELECT row_id, Sample_Type AS sample, grp AS "group", PSVX_No AS psvx, PSV AS psv, Day AS day,
        Experiment AS experiment, Construct_Description AS "desc", Dilution AS dilution, Neut_raw AS neut,

@@ -9,7 +9,7 @@ from panelgrid.functions.arrays import parse_array
 from panelgrid.operators import grid as G
 from panelgrid.operators.fit import fit_hill, fit_hill_many
 from panelgrid.operators.ranking import ordered_rank
-from panelgrid.sources.sheets import read_sheet
+from panelgrid.sources.sheets import list_sheets, read_sheet, scan_sheets
 
 C, T = "Construct_Description", "PSV"
 
@@ -87,6 +87,26 @@ def test_ragged_rows(spark, tmp_path):
         read_sheet(spark, str(tmp_path / "long.csv")).collect()
 
 
+def test_rejects_leave_the_rest(spark, tmp_path):
+    (tmp_path / "x.csv").write_text("a,b\n1,2\n3,4,5,6\n7\n")
+    scan = scan_sheets(spark, str(tmp_path / "x.csv"))
+    assert [tuple(r) for r in scan.rows.orderBy("row_id").select("a", "b").collect()] == [("1", "2"), ("7", "")]
+    assert scan.rows.select("a").count() == 2
+    (bad,) = scan.rejects.collect()
+    assert bad.file.endswith("x.csv") and (bad.split_start, bad.row_in_split, bad.cells) == (0, 2, ["3", "4", "5"])
+
+
+@pytest.mark.parametrize("names", [("part2", "part"), ("part", "part2"), ("a b", "a"), ("x/part", "part"), ("part/z", "part/a.d")])
+def test_order_over_folders(spark, tmp_path, names):
+    for name in names:
+        (tmp_path / name / "in").mkdir(parents=True, exist_ok=True)
+        (tmp_path / name / "in" / "x%20.csv").write_text(f"a\n{name}\n")
+    rows = read_sheet(spark, [str(tmp_path / n) for n in names]).orderBy("row_id").collect()
+    assert tuple(r.a for r in rows) == names
+    listed = list_sheets(spark, [str(tmp_path / n) for n in names]).orderBy("nth").collect()
+    assert [r.nth for r in listed] == [0, 1] and [r.n_bytes for r in listed] == [len(n) + 3 for n in names]
+
+
 def test_fits_use_the_whole_effort():
     rng = np.random.default_rng(3)
     x = np.array([10, 30, 90, 270, 810, 2430.0])
