@@ -1,17 +1,18 @@
 """Four-parameter logistic fit per (construct, target) (C3) and the fitted
 line / IC50 marker (C4, X12, X13).
 
-The fit is the one place where Python runs in the executors: the curve table
-(already aggregated to one row per dose) is grouped by pair and each group —
-a handful of points — is fitted with a small bounded Levenberg-Marquardt in
-numpy via ``applyInPandas``.  The line is then generated JVM-side.
+The fit is the one place where Python runs in the executors: each pair of the
+curve table (already aggregated to one row per dose) becomes two arrays, and the
+pairs of an Arrow batch are fitted together by a bounded Levenberg-Marquardt in
+numpy.  The line is then generated JVM-side.  ``grid_errors`` bounds the error of
+a fit by plain expressions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import (FIT_BOTTOM_BOUNDS, FIT_IC50_FACTORS, FIT_LINE_POINTS, FIT_LINE_SPAN,
@@ -31,6 +32,10 @@ try:
 except Exception:  # pragma: no cover - older cloudpickle
     pass
 
+#: Nodes of :func:`grid_errors`: ic50 values over a pair's doses, slopes.
+GRID_IC50 = 16
+GRID_SLOPES = (0.1, 0.5, 1.0, 2.0, 4.0, 10.0)
+
 #: Pairs fitted together.
 FIT_BATCH = 512
 FTOL = 1e-8
@@ -45,10 +50,11 @@ def fit_hill(x, y, max_evals: int = FIT_MAX_EVALS):
     return fit_hill_many([x], [y], max_evals)[0]
 
 
-def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS):
+def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS, starts: list | None = None):
     """Bounded least squares for the 4PL model, many pairs at once.
 
-    Start (max y, min y, median x, 1); bounds top / bottom / ic50 (multiples of
+    Start (max y, min y, median x, 1) or that of ``starts`` (top, bottom, ic50,
+    slope); bounds top / bottom / ic50 (multiples of
     min and max dose) / slope.  A start value outside the bounds is a failed
     fit (as a bounded solver refuses it), and so is one that needs more than
     ``max_evals`` model values (the Jacobian is analytic and not counted).
@@ -68,7 +74,8 @@ def fit_hill_many(xs: list, ys: list, max_evals: int = FIT_MAX_EVALS):
                        FIT_SLOPE_BOUNDS[0]])
         hi = np.array([FIT_TOP_BOUNDS[1], FIT_BOTTOM_BOUNDS[1], np.log(x.max() * FIT_IC50_FACTORS[1]),
                        FIT_SLOPE_BOUNDS[1]])
-        p0 = np.array([y.max(), y.min(), np.log(np.median(x)), 1.0])
+        top, bottom, ic50, slope = starts[i] if starts else (y.max(), y.min(), np.median(x), 1.0)
+        p0 = np.array([top, bottom, np.log(ic50), slope])
         if np.any(p0 < lo) or np.any(p0 > hi) or not np.all(np.isfinite(p0)):
             out[i] = (None, None, None, None, None, "failed")
         else:
@@ -147,6 +154,11 @@ def _fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     xs, ys = (([np.asarray(v, float) for v in pdf[c]]) for c in ("xs", "ys"))
     todo = [i for i, x in enumerate(xs) if len(x) >= FIT_MIN_POINTS and np.all(x > 0)]
     res = dict(zip(todo, fit_hill_many([xs[i] for i in todo], [ys[i] for i in todo])))
+    if "_start" in pdf:
+        inside = lambda v, bounds: bounds[0] <= v <= bounds[1]
+        again = [i for i in todo if inside(ys[i].max(), FIT_TOP_BOUNDS) and inside(ys[i].min(), FIT_BOTTOM_BOUNDS)]
+        more = fit_hill_many([xs[i] for i in again], [ys[i] for i in again], starts=[tuple(pdf["_start"].iloc[i]) for i in again])
+        res.update({i: fit for i, fit in zip(again, more) if fit[-1] == "ok" and (res[i][-1] != "ok" or fit[4] < res[i][4])})
     none = (None,) * 5
     fits = [res.get(i) or (*none, "too_few_points" if len(x) < FIT_MIN_POINTS else "failed") for i, x in enumerate(xs)]
     out = pdf[[C, T]].assign(n_points=[len(x) for x in xs], x_min=[x.min() for x in xs], x_max=[x.max() for x in xs])
@@ -162,14 +174,26 @@ def _fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
                                    "ys": [pdf["pct_neut"].to_numpy()]}))
 
 
-def fit_curves(curve: DataFrame, buckets: int | None = None) -> DataFrame:
+def _pairs(curve: DataFrame) -> DataFrame:
+    """The curve of a pair as two arrays by dose (one element a dose)."""
+    point = F.struct("dilution", "pct_neut")
+    return curve.groupBy(C, T).agg(F.sort_array(F.collect_list(point)).alias("_points")).select(
+        C, T, F.col("_points.dilution").alias("xs"), F.col("_points.pct_neut").alias("ys"))
+
+
+def fit_curves(curve: DataFrame, buckets: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
     """One fit row per (construct, target) of a curve table.
 
+    With ``nodes`` (:func:`grid_errors`) a pair whose usual start lies in the bounds is
+    fitted from its best node too, and the lower error wins: on shapeless points the
+    usual start often ends in a worse optimum than the grid's, or in none.
+
     A pair's points (one per dose) become two arrays; the pairs of an Arrow
     batch are fitted together, so what a worker holds is bounded by the batch."""
-    point = F.struct("dilution", "pct_neut")
-    pairs = curve.groupBy(C, T).agg(F.sort_array(F.collect_list(point)).alias("_points")).select(
-        C, T, F.col("_points.dilution").alias("xs"), F.col("_points.pct_neut").alias("ys"))
+    pairs = _pairs(curve)
+    if nodes is not None:
+        start = F.array("grid_top", "grid_bottom", "grid_ic50", "grid_slope").alias("_start")
+        pairs = pairs.join(nodes.select(C, T, start), [C, T], "left")
     if buckets:
         pairs = pairs.repartition(buckets, C, T)
 
@@ -181,6 +205,44 @@ def fit_curves(curve: DataFrame, buckets: int | None = None) -> DataFrame:
     return pairs.mapInPandas(run, FIT_SCHEMA)
 
 
+def grid_errors(curve: DataFrame, n_ic50: int = GRID_IC50, slopes: tuple = GRID_SLOPES) -> DataFrame:
+    """The least squared error of each fittable pair over a fixed grid of (ic50,
+    slope), and where it lies: (construct, target, grid_sse, grid_top, grid_bottom,
+    grid_ic50, grid_slope).
+
+    With these two fixed the model is linear in top and bottom, so their best
+    values follow from sums over the points; where they leave their bounds the
+    best point of the four edges is taken.  ic50 runs over ``n_ic50`` log-spaced
+    doses of the pair's own span.  Plain expressions: nodes are exploded and
+    reduced to their minimum before anything is shuffled."""
+    pairs = _pairs(curve).where((F.size("xs") >= FIT_MIN_POINTS) & (F.array_min("xs") > 0))
+    ic50s = logspace_points(F.array_min("xs"), F.array_max("xs"), n_ic50)
+    nodes = pairs.withColumn("_ic50", F.explode(ic50s)).withColumn("_slope", F.explode(F.array(*[F.lit(float(v)) for v in slopes])))
+    share = F.transform("xs", lambda x: 1.0 / (1.0 + F.pow(x / F.col("_ic50"), F.col("_slope"))))
+    points = nodes.select(C, T, "_ic50", "_slope", F.arrays_zip(share.alias("u"), F.col("ys").alias("y")).alias("_p"))
+
+    def total(of) -> Column:
+        return F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + of(p["u"], p["y"]))
+
+    sums = points.select(C, T, "_ic50", "_slope", "_p", total(lambda u, y: (1.0 - u) * (1.0 - u)).alias("bb"), total(lambda u, y: u * (1.0 - u)).alias("bt"),
+                         total(lambda u, y: u * u).alias("tt"), total(lambda u, y: (1.0 - u) * y).alias("by"), total(lambda u, y: u * y).alias("ty"))
+    bb, bt, tt, by, ty = (F.col(k) for k in ("bb", "bt", "tt", "by", "ty"))
+    det = F.nullif(bb * tt - bt * bt, F.lit(0.0))
+    low, high = FIT_BOTTOM_BOUNDS, FIT_TOP_BOUNDS
+    within = lambda v, bounds: F.least(F.greatest(v, F.lit(bounds[0])), F.lit(bounds[1]))
+    bottom, top = (by * tt - ty * bt) / det, (bb * ty - bt * by) / det
+    both = F.when(bottom.between(*low) & top.between(*high), F.struct(bottom.alias("b"), top.alias("t")))
+    # ic50 lies among the doses, so bb and tt are at least a quarter
+    edges = [F.struct(within((by - t * bt) / bb, low).alias("b"), F.lit(t).alias("t")) for t in high]
+    edges += [F.struct(F.lit(b).alias("b"), within((ty - b * bt) / tt, high).alias("t")) for b in low]
+    tried = sums.select(C, T, "_ic50", "_slope", "_p", F.explode(F.array_compact(F.array(both, *edges))).alias("_at"))
+    miss = lambda p: F.col("_at.b") + (F.col("_at.t") - F.col("_at.b")) * p["u"] - p["y"]
+    error = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + miss(p) * miss(p))
+    node = F.struct(error.alias("grid_sse"), F.col("_at.t").alias("grid_top"), F.col("_at.b").alias("grid_bottom"),
+                    F.col("_ic50").alias("grid_ic50"), F.col("_slope").alias("grid_slope"))
+    return tried.select(C, T, node.alias("_node")).groupBy(C, T).agg(F.min("_node").alias("_node")).select(C, T, "_node.*")
+
+
 def fit_lines(fits: DataFrame, n: int = FIT_LINE_POINTS) -> DataFrame:
     """C4: ``n`` log-spaced points from 0.5·min to 2·max dose on each fitted
     curve, plus the IC50 marker point (kind = 'line' / 'ic50')."""

@@ -14,7 +14,7 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import ALL_CONSTRUCTS, ViewSpec
+from ..config import ALL_CONSTRUCTS, FIT_BOTTOM_BOUNDS, FIT_IC50_FACTORS, FIT_SLOPE_BOUNDS, FIT_TOP_BOUNDS, ViewSpec
 from ..functions.arrays import array_text, parse_array_text, value_at_dose
 from ..functions.hill import hill4pl, logspace_points
 from ..functions.numeric import day_int, parse_potency_variant
@@ -23,7 +23,7 @@ from ..operators.classify import classified_constructs, with_subgroup
 from ..operators.cube import build_cube, cube_curves, cube_view, default_dose
 from ..operators.diagnostics import counters, domains, grid_sizes
 from ..operators.export import export_long, write_export
-from ..operators.fit import fit_curves, fit_lines
+from ..operators.fit import fit_curves, fit_lines, grid_errors
 from ..operators.grid import build_grid, cell_statuses, pivot_wide, unpivot_long
 from ..operators.prepare import (Prepared, build_lookup, cohort_filters, prepare,
                                  resolve_descriptions, tidy_projection)
@@ -404,6 +404,20 @@ def q27_fit_4pl(spark, sf_dir):
     return fit_curves(cube_curves(p.cube))
 
 
+def q27b_fit_bounded(spark, sf_dir):
+    """The better of the fits from the usual start and from the best node of a
+    fixed grid; status, doses, the grid's least error, and whether the fit keeps to
+    its bounds and to that error."""
+    c = cube_curves(prepared(spark, sf_dir).cube)
+    nodes = grid_errors(c)
+    f = fit_curves(c, nodes=nodes).join(nodes.select(C, T, "grid_sse"), [C, T], "left")
+    ok, near = F.col("fit_status") == "ok", 1 + 1e-9
+    inside = (F.col("top").between(*FIT_TOP_BOUNDS) & F.col("bottom").between(*FIT_BOTTOM_BOUNDS) & F.col("slope").between(*FIT_SLOPE_BOUNDS)
+              & F.col("ic50").between(F.col("x_min") * FIT_IC50_FACTORS[0] / near, F.col("x_max") * FIT_IC50_FACTORS[1] * near))
+    return f.select(C, T, "n_points", r6("x_min").alias("x_min"), r6("x_max").alias("x_max"), "fit_status", F.round("grid_sse", 2).alias("grid_sse"),
+                    F.when(ok, inside).alias("in_bounds"), F.when(ok, F.col("sse") <= F.col("grid_sse") * near + 1e-9).alias("not_above_grid"))
+
+
 def q28_fit_line(spark, sf_dir):
     """Fitted lines and IC50 markers."""
     p = prepared(spark, sf_dir)

@@ -9,9 +9,10 @@ configuration the Spark side uses.
 
 from __future__ import annotations
 
-from ..config import NN_TOKENS, NN_TOKENS_VARIANT
+from ..config import FIT_BOTTOM_BOUNDS, FIT_MIN_POINTS, FIT_TOP_BOUNDS, NN_TOKENS, NN_TOKENS_VARIANT
 from ..functions.arrays import NP_WRAP_RE
 from ..functions.numeric import NUMBER_RE
+from ..operators.fit import GRID_IC50, GRID_SLOPES
 from ..sources.assay import (DEMO_EXACT, DEMO_GENOTYPES, DEMO_OVERRIDES, DEMO_PANEL, DEMO_PATTERNS, PART_PATTERN,
                              PRIORITIES, demo_bucket_map, demo_rules)
 
@@ -549,6 +550,30 @@ SELECT Construct_Description, export_rank, """ + ", ".join(
 FROM gw GROUP BY Construct_Description, export_rank"""
     out["q26_unpivot"] = W(*g15) + """
 SELECT Construct_Description, CAST(export_rank AS BIGINT) AS export_rank, PSV, round(value, 6) AS value FROM g_grid"""
+    (t0, t1), (b0, b1) = FIT_TOP_BOUNDS, FIT_BOTTOM_BOUNDS
+    slopes = ", ".join(f"{float(v)!r}::DOUBLE" for v in GRID_SLOPES)
+    in_b, in_t = (lambda v: f"least(greatest({v}, {b0}), {b1})"), (lambda v: f"least(greatest({v}, {t0}), {t1})")
+    out["q27b_fit_bounded"] = W(f"""pt AS (
+  SELECT Construct_Description AS c, PSV AS t, pv[1] AS x, {xavg('pv[2]')} AS y
+  FROM (SELECT Construct_Description, PSV, unnest(list_zip(DilutionArray, NeutArray)) AS pv FROM tidy
+        WHERE len(DilutionArray) > 0 AND len(DilutionArray) = len(NeutArray)) GROUP BY ALL),
+pr AS (SELECT c, t, count(*) AS n, min(x) AS lo, max(x) AS hi, min(y) AS y0, max(y) AS y1 FROM pt GROUP BY c, t),
+nd AS (SELECT c, t, s, k, pow(10.0, log10(lo) + k * ((log10(hi) - log10(lo)) / {GRID_IC50 - 1}.0)) AS ic
+       FROM pr, range({GRID_IC50}) r(k), unnest([{slopes}]) q(s) WHERE n >= {FIT_MIN_POINTS} AND lo > 0),
+us AS (SELECT c, t, s, k, 1.0 / (1.0 + pow(x / ic, s)) AS u, y FROM nd JOIN pt USING (c, t)),
+sm AS (SELECT c, t, s, k, sum((1 - u) * (1 - u)) AS bb, sum(u * (1 - u)) AS bt, sum(u * u) AS tt, sum((1 - u) * y) AS gy, sum(u * y) AS ty
+       FROM us GROUP BY c, t, s, k),
+sol AS (SELECT *, (gy * tt - ty * bt) / nullif(bb * tt - bt * bt, 0) AS b, (bb * ty - bt * gy) / nullif(bb * tt - bt * bt, 0) AS tp FROM sm),
+cand AS (SELECT c, t, s, k, b, tp FROM sol WHERE b BETWEEN {b0} AND {b1} AND tp BETWEEN {t0} AND {t1}
+  UNION SELECT c, t, s, k, {in_b(f'(gy - v * bt) / bb')}, v FROM sol, (VALUES ({t0}::DOUBLE), ({t1}::DOUBLE)) z(v)
+  UNION SELECT c, t, s, k, v, {in_t(f'(ty - v * bt) / tt')} FROM sol, (VALUES ({b0}::DOUBLE), ({b1}::DOUBLE)) z(v)),
+er AS (SELECT c, t, min(sse) AS grid_sse FROM (
+  SELECT c, t, s, k, b, tp, sum(pow(b + (tp - b) * u - y, 2)) AS sse FROM cand JOIN us USING (c, t, s, k) GROUP BY ALL) GROUP BY c, t),
+st AS (SELECT *, CASE WHEN n < {FIT_MIN_POINTS} THEN 'too_few_points' WHEN lo <= 0 OR y1 NOT BETWEEN {t0} AND {t1}
+         OR y0 NOT BETWEEN {b0} AND {b1} THEN 'failed' ELSE 'ok' END AS fit_status FROM pr)""") + """
+SELECT c AS Construct_Description, t AS PSV, n AS n_points, round(lo, 6) AS x_min, round(hi, 6) AS x_max, fit_status, round(grid_sse, 2) AS grid_sse,
+       CASE WHEN fit_status = 'ok' THEN true END AS in_bounds, CASE WHEN fit_status = 'ok' THEN true END AS not_above_grid
+FROM st LEFT JOIN er USING (c, t)"""
     out["q29_hill_fixed"] = W("""cv AS (
   SELECT Construct_Description, PSV, min(pv[1]) AS lo, max(pv[1]) AS hi
   FROM (SELECT Construct_Description, PSV, unnest(list_zip(DilutionArray, NeutArray)) AS pv FROM tidy

@@ -3,7 +3,7 @@
 import numpy as np
 import pandas as pd
 
-from panelgrid.operators.fit import _fit_group, fit_curves, fit_hill, fit_lines
+from panelgrid.operators.fit import _fit_group, fit_curves, fit_hill, fit_lines, grid_errors
 
 
 def hill(x, top, bottom, ic50, slope):
@@ -59,3 +59,24 @@ def test_fit_on_spark(spark):
     assert lines.filter("kind = 'line'").count() == 300
     marker = lines.filter("kind = 'ic50'").collect()[0]
     assert abs(marker["y"] - 50.0) < 0.5
+
+
+def test_grid_finds_planted_nodes_and_bounds_the_fit(spark):
+    rng = np.random.default_rng(5)
+    x = np.array([10, 30, 90, 270, 810, 2430.0])
+    node = 10.0 ** (1 + 7 * np.log10(243) / 15)  # the eighth of 16 log-spaced doses
+    rows = [("planted", "t", d, v) for d, v in zip(x.tolist(), hill(x, 95, 5, node, 2.0).tolist())]
+    rows += [(f"noise{k}", "t", d, v) for k in range(40) for d, v in zip(x.tolist(), rng.uniform(0, 100, 6).tolist())]
+    rows += [("few", "t", d, 50.0) for d in x[:3].tolist()] + [("zero", "t", d, 50.0) for d in [0.0, *x[:4].tolist()]]
+    curve = spark.createDataFrame(rows, "Construct_Description string, PSV string, dilution double, pct_neut double")
+    nodes = grid_errors(curve)
+    got = {r[0]: r for r in nodes.collect()}
+    assert "few" not in got and "zero" not in got and len(got) == 41
+    p = got["planted"]
+    assert p.grid_sse < 1e-12 and abs(p.grid_top - 95) < 1e-6 and abs(p.grid_bottom - 5) < 1e-6 and abs(p.grid_ic50 - node) < 1e-6
+    fits = {r.Construct_Description: r for r in fit_curves(curve, nodes=nodes).collect()}
+    alone = {r.Construct_Description: r for r in fit_curves(curve).collect()}
+    assert fits["few"].fit_status == "too_few_points" and fits["zero"].fit_status == "failed"
+    for k in got:
+        assert fits[k].fit_status == "ok" and fits[k].sse <= got[k].grid_sse * (1 + 1e-9) + 1e-9
+        assert alone[k].fit_status == "failed" or fits[k].sse <= alone[k].sse
