@@ -18,7 +18,10 @@ never pairs.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors without a label, link with nothing; vectors of unlike
-lengths don't link; a row with a null id has a null component and is kept.
+lengths don't link; a row with a null id has a null component and is kept.  Ids are taken
+as names of rows: unlike vectors under one id count as one node, whose rows share
+links and component.  Only directions count, from the smallest to the largest
+finite components.
 """
 
 from __future__ import annotations
@@ -84,6 +87,8 @@ def project(unit: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
 
 def _units(raw: list[bytes], dim: int) -> np.ndarray:
     x = np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), dim)
+    # by a power of two, which is exact: squares of very large or small entries leave the double range
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

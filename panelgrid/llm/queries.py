@@ -170,7 +170,8 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id) c
 
 _OP7_SQL = """
 WITH RECURSIVE vectors AS (
-  SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / greatest(list_max(embedding), -list_min(embedding))::DOUBLE) AS v
+  FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (

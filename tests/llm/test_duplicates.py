@@ -179,6 +179,23 @@ def test_embeddings(spark, monkeypatch, block):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_embeddings_of_any_length(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal((6, 16))
+    plain = [(k, centre[k % 6] + rng.standard_normal(16) * 0.1, k % 2) for k in range(60)]
+    schema = "vec_id long, embedding array<double>, label int"
+
+    def found(scale):
+        frame = spark.createDataFrame([(k, [float(v) for v in x * scale(k)], label) for k, x, label in plain], schema)
+        return sorted(map(tuple, embedding_dedup.near_duplicates(frame).collect()))
+
+    want = found(lambda k: 1.0)
+    assert found(lambda k: 2.0 ** (900 * (k % 3 - 1))) == want and sum(r[1] for r in want) > 0
+    ends = [(1, [1e200, 1e200, 0.0], 0), (2, [2e200, 2e200, 0.0], 0), (3, [1e-200, 1e-200, 0.0], 0), (4, [1e308, -1e308, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(ends, schema)).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4)}
+
+
 def test_calibration():
     import math
 
