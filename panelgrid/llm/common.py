@@ -3,6 +3,9 @@ the cluster's shared folder, table reading, learning folds."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,10 +28,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with shuffles_removed(spark):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Spark's own setting: a query's shuffle files go when it ends, not when the driver
+#: next collects its garbage.  A plan that is run again makes them anew.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside leave no shuffle files behind; what they read and write stays."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table written by :func:`stored_at` that nothing reads any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,8 +3,9 @@
 Nodes (distinct sets) that share a band key are candidates.  Emitting all pairs
 of a bucket would grow with its square; instead
 
-1. each key's nodes are tied to the smallest of them, and the components of
-   these ties give every node one cluster: candidates never lie in two;
+1. each key's nodes are tied to the smallest of them, found as neighbours in one
+   sorting of all (key, node), and the components of these ties give every node
+   one cluster: candidates never lie in two;
 2. a cluster is dealt into blocks by a hash of the node, as many as its sets'
    bytes ask for, and each pair of blocks is one task's work: bitmaps are
    compared in numpy, pairs that share a key and may be similar enough are
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelgrid.llm.common import stored
+from panelgrid.llm.common import discard, stored_at
 from panelgrid.llm.components import components
 
 #: Most bytes of sets, and most nodes, that a block is made for.
@@ -35,16 +36,52 @@ BLOCK_NODES = 1024
 STRIPE = 128
 
 
+def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (key, node) rows: ties of each node with the first one of its key here, and as (hub, null, key)
+    the first and last key of the task, which may go on in a neighbouring one."""
+    key = hub = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k, node = (batch.column(c).to_numpy() for c in (0, 1))
+        new = np.append(True, k[1:] != k[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+        hubs = node[first]
+        if key is None:
+            yield _tie_batch(hubs[:1], None, k[:1])
+        elif key == k[0]:
+            hubs[first == 0] = hub
+        tied = hubs != node
+        yield _tie_batch(hubs[tied], node[tied], None)
+        key, hub = k[-1], hubs[-1]
+    if key is not None:
+        yield _tie_batch(np.array([hub]), None, np.array([key]))
+
+
+def _tie_batch(a: np.ndarray, b: Optional[np.ndarray], key: Optional[np.ndarray]) -> pa.RecordBatch:
+    columns = [pa.nulls(len(a), pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (a, b, key)]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+
+
 def candidate_clusters(keys: DataFrame) -> DataFrame:
     """(node, cluster) of every node that shares a key with another.
 
-    ``keys`` has (node, key), each pair once.  The smallest node of a key is an
-    aggregate, so that a key of any number of nodes is no single task's group.
+    ``keys`` has (node, key), each pair once.  They are sorted over the cluster
+    by (key, node), so that a key of any number of nodes lies in as many tasks
+    as it needs; each task ties its nodes of a key to the first of them, and the
+    hubs of a key that goes on in other tasks (two rows of each task at most)
+    are tied to the smallest one.  No pair is moved twice.
     """
-    hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("_last")).where("hub < _last")
-    ties = keys.join(hubs.select("key", "hub"), "key").where("node > hub").select(
-        F.col("hub").alias("a"), F.col("node").alias("b"))
-    return components(ties).withColumnRenamed("component", "cluster")
+    spark = keys.sparkSession
+    ordered = keys.select(F.col("key").cast("long"), F.col("node").cast("long")).where("key IS NOT NULL").repartitionByRange(
+        "key", "node").sortWithinPartitions("key", "node")
+    tied, path = stored_at(ordered.mapInArrow(_ties, "a long, b long, key long"), "ties")
+    parts = tied.where("key IS NOT NULL").select("key", "a")
+    least = parts.groupBy("key").agg(F.min("a").alias("least"))
+    across = parts.join(least, "key").where("a > least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    clusters = components(tied.where("key IS NULL").select("a", "b").union(across))
+    discard(spark, path)
+    return clusters.withColumnRenamed("component", "cluster")
 
 
 class _Union:
@@ -151,14 +188,17 @@ def verified_links(rows: DataFrame, links_enough: Callable[[int, int, int], bool
     return together.mapInArrow(run, "a long, b long")
 
 
-def linked_components(nodes: DataFrame, with_members: Callable[[DataFrame], DataFrame],
+def linked_components(pairs: DataFrame, with_members: Callable[[DataFrame], DataFrame],
                       links_enough: Callable[[int, int, int], bool], most_bits: Optional[int]) -> DataFrame:
     """(node, component) of the nodes that link with another.
 
-    ``nodes``: node, keys, bitmap.  ``with_members`` adds ``members`` to those
-    of its rows (cluster, node, keys, bitmap) that are candidates at all.
+    ``pairs``: node, key.  ``with_members`` turns the candidates (node, cluster)
+    into the rows of :func:`verified_links`.
     """
-    pairs = nodes.select("node", F.explode(F.array_distinct("keys")).alias("key"))
-    clusters = candidate_clusters(pairs)
-    rows = stored(with_members(nodes.join(clusters, "node")), "candidates")
-    return components(stored(verified_links(rows, links_enough, most_bits), "links"))
+    spark = pairs.sparkSession
+    rows, rows_path = stored_at(with_members(candidate_clusters(pairs)), "candidates")
+    links, links_path = stored_at(verified_links(rows, links_enough, most_bits), "links")
+    discard(spark, rows_path)
+    found = components(links)
+    discard(spark, links_path)
+    return found

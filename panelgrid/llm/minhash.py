@@ -100,10 +100,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_c
     # One text for each id: that of the set the id stands for.
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
 
-    def with_members(rows: DataFrame) -> DataFrame:
+    def with_members(clusters: DataFrame) -> DataFrame:
+        rows = sets.select("node", "keys", "bitmap").join(clusters, "node").select("cluster", "node", "keys", "bitmap")
         return shingle_members(rows.join(texts, "node"), width)
 
-    linked = linked_components(sets.select("node", "keys", "bitmap"), with_members,
+    linked = linked_components(sets.select("node", F.explode(F.array_distinct("keys")).alias("key")), with_members,
                                lambda common, a, b: 100 * common >= percent * (a + b - common), most_bits)
     of_set = sets.select("set1", "set2", "node").join(linked, "node", "left").select(
         "set1", "set2", F.coalesce("component", "node").alias("component_id"))

@@ -28,9 +28,12 @@ are removed; what is shorter stays.  So of each passage the document with the
 smallest id keeps it.
 
 Plan: one pass makes rows of paragraphs and anchors (ids, places, fingerprints,
-no text); they are aggregated by fingerprint before anything is joined, so a
-passage that a third of all documents share is one row from each task.  Windows
-beside anchors are made only where a repeat may end.
+no text), a second one the band keys of different paragraphs; occurrences are
+aggregated by fingerprint before anything is joined, so that a passage that a
+third of all documents share is one row from each task.  Its occurrences (one
+short row each) then meet that row in a join that Spark splits where it is
+skewed.  Windows beside anchors are made only where a repeat may end.  Each
+intermediate table goes when its last reader is written.
 
 Defined results: null and empty texts have no repeats; rows with a null id are never cut and cut nothing; rows that repeat an
 id are one document, each cut by its own text; repeats inside one document stay.
@@ -47,7 +50,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.llm import shingles
 from panelgrid.llm.byte_bpe import slices
-from panelgrid.llm.common import stored
+from panelgrid.llm.common import discard, stored, stored_at
 from panelgrid.llm.linking import linked_components
 from panelgrid.llm.pretokens import mix64, powers
 
@@ -64,6 +67,9 @@ LEAST_RUN = 30
 WINDOW = 26
 AMONG = 25
 
+#: Bytes of text that a worker splits at a time.
+SLICE = 1 << 20
+
 _ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 _UPPER = np.isin(np.arange(256), np.arange(ord("A"), ord("Z") + 1))
 
@@ -190,7 +196,7 @@ def _placed(batch: pa.RecordBatch, found: dict[str, np.ndarray], more: list[pa.A
     rows = batch.select(["doc_id", "text_hash"]).take(pa.array(found["owner"]))
     places = [pa.array(found[c].astype(np.int32)) for c in ("idx", "at", "words", "start", "end")]
     return pa.RecordBatch.from_arrays([*rows.columns, *places, *more], names=[
-        *(c.split()[0] for c in PLACES.split(", ")), *("h1", "h2", "keys")[:len(more)]])
+        *(c.split()[0] for c in PLACES.split(", ")), *("h1", "h2", "large")[:len(more)]])
 
 
 def least_near(percent: int) -> int:
@@ -199,31 +205,64 @@ def least_near(percent: int) -> int:
     return -(-percent // (100 - percent))
 
 
-def paragraph_rows(docs: DataFrame, bands: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, idx, at, words, start, end, h1, h2, keys (empty for short paragraphs); anchors have no h2 and no keys."""
+def paragraph_rows(docs: DataFrame, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, idx, at, words, start, end, h1, h2 and large (has ``least`` shingles); anchors have no h2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
-                text = _words(raw)
+            for batch in slices(whole, "text", SLICE):
+                text = _words(_raw(batch.column(2)))
                 found = _paragraphs(text)
                 words, size = _spans(found)
                 h1, h2 = _fingerprints(words, size)
-                h, of = shingles.shingle_hashes(words, size, WIDTH)
-                near = np.bincount(of, minlength=len(size)) >= least
-                samples = shingles.minhash(h[near[of]], (np.cumsum(near) - 1)[of[near[of]]], int(near.sum()), bands * ROWS)
-                keys = shingles.band_keys(samples, bands, ROWS)
-                offsets = np.concatenate([[0], np.cumsum(near * bands)]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))
-                yield _placed(batch, found, [pa.array(h1), pa.array(h2), keys])
+                yield _placed(batch, found, [pa.array(h1), pa.array(h2), pa.array(_large(words, size, least)[2])])
                 at, h = anchors(text)
                 yield _placed(batch, text.spans(at, np.full(len(at), WINDOW)), [
-                    pa.array(h), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.list_(pa.int64()))])
+                    pa.array(h), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_())])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"{PLACES}, h1 long, h2 long, large boolean")
+
+
+def _raw(texts: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts.to_pylist()]
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text")).where(
+        "doc_id IS NOT NULL")
+
+
+def _large(words: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shingles of all paragraphs, their paragraphs, and which paragraphs have ``least`` of them."""
+    h, of = shingles.shingle_hashes(words, size, WIDTH)
+    return h, of, np.bincount(of, minlength=len(size)) >= least
+
+
+def _sketched(h: np.ndarray, of: np.ndarray, n: int, bands: int) -> np.ndarray:
+    """The band keys of ``n`` sets: the same for a set wherever it is sketched."""
+    return shingles.band_keys(shingles.minhash(h, of, n, bands * ROWS), bands, ROWS)
+
+
+def paragraph_keys(docs: DataFrame, bands: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, key): the band keys of each different paragraph of ``least`` shingles, made anew from the texts,
+    so that no table holds keys for each occurrence."""
+    names = [f"k{j}" for j in range(bands)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                words, size = _spans(_paragraphs(_words(_raw(batch.column(2)))))
+                h1, _ = _fingerprints(words, size)
+                h, of, near = _large(words, size, least)
+                once = np.zeros(len(h1), bool)
+                once[np.unique(h1, return_index=True)[1]] = True
+                near &= once  # a paragraph that the slice holds more than once is sketched once
+                keys = _sketched(h[near[of]], (np.cumsum(near) - 1)[of[near[of]]], int(near.sum()), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[near]), *[pa.array(keys[:, j]) for j in range(bands)]], names=["node", *names])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-                       F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    return rows.mapInArrow(run, f"{PLACES}, h1 long, h2 long, keys array<long>")
+    rows = _texts(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in ("node", *names)))
+    return rows.dropDuplicates(["node"]).select("node", F.explode(F.array(*names)).alias("key"))
 
 
 def _windows_beside(rows: DataFrame) -> DataFrame:
@@ -232,8 +271,8 @@ def _windows_beside(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
-                text = _words([t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()])
+            for batch in slices(whole, "text", SLICE):
+                text = _words(_raw(batch.column(2)))
                 wanted = np.zeros(len(text.hashes) + 1, bool)
                 for column, steps in ((3, np.arange(1 - AMONG, 0)), (4, np.arange(1, AMONG))):
                     for k, places in enumerate(batch.column(column).to_pylist()):
@@ -245,21 +284,23 @@ def _windows_beside(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text_hash", "text", "lefts", "rights").mapInArrow(run, f"{PLACES}, h1 long")
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """``rows`` with the distinct shingles of their paragraph [start, end) of ``text`` in place of these."""
+def _members(rows: DataFrame, bands: int) -> DataFrame:
+    """``rows`` with the distinct shingles of their paragraph [start, end) of ``text``, and their keys, in place of these."""
     kept = [c for c in rows.columns if c not in ("start", "end", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 column = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "end", "text")}
                 parts = [t.encode("utf-8", "surrogatepass")[a:b] for a, b, t in zip(column["start"], column["end"], column["text"], strict=True)]
                 h, owner = shingles.text_sets(parts, WIDTH)
+                keys = _sketched(h, owner, len(parts), bands)
                 sets = np.split(h, np.cumsum(np.bincount(owner, minlength=len(parts)))[:-1])
-                yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array([s.tobytes() for s in sets], pa.binary())],
-                                                 names=[*kept, "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.select(kept).columns, pa.array(list(keys), pa.list_(pa.int64())), pa.nulls(len(parts), pa.binary()),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=[*kept, "keys", "bitmap", "members"])
 
-    return rows.mapInArrow(run, rows.select(*kept).withColumn("members", F.lit(b"")).schema)
+    return rows.mapInArrow(run, "cluster long, node long, keys array<long>, bitmap binary, members binary")
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
@@ -268,11 +309,9 @@ def _repeated(windows: DataFrame) -> DataFrame:
     return windows.join(first.drop("last_doc"), "h1").where("doc_id > first_doc")
 
 
-def verbatim_repeats(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """The repeated windows that cover each run of words that a document shares
-    with one of a smaller id: anchors, and the windows between the outermost
-    ones and the run's ends."""
-    inner = stored(_repeated(marks), "anchors")
+def run_ends(inner: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
+    """The texts in which a run of repeated anchors (``inner``) may end, with the words ``lefts`` and ``rights``
+    before and behind which the windows up to its true ends lie."""
     one_text = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
 
     def apart(other) -> F.Column:
@@ -284,50 +323,52 @@ def verbatim_repeats(marks: DataFrame, texts: DataFrame) -> DataFrame:
     # The document that keeps the run shows its windows there too.
     beside = marks.join(ends, "h1").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.when(F.col("left"), F.col("at"))).alias("lefts"), F.collect_set(F.when(F.col("right"), F.col("at"))).alias("rights"))
-    located = beside.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
-    outer = _repeated(stored(_windows_beside(located), "windows"))
-    return inner.drop("h1").unionByName(outer.drop("h1"))
+    return beside.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
 
 def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each text with repeats: doc_id, text_hash, spans (array of
     start and end byte, words, and first_doc, the document that keeps the
     class of the span's first paragraph or window), in order of place."""
-    bands = shingles.bands_for(percent / 100, ROWS, MISS)
-    everything = stored(paragraph_rows(docs, bands, least_near(percent), id_col, text_col), "paragraphs")
-    rows, marks = everything.where("h2 IS NOT NULL"), everything.where("h2 IS NULL").drop("h2", "keys")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
-                        F.col(text_col).cast("string").alias("text")).where("doc_id IS NOT NULL")
-    large = rows.where("size(keys) > 0")
-    nodes = large.select(F.col("h1").alias("node"), "keys", F.lit(None).cast("binary").alias("bitmap"))
-
-    def with_members(candidates: DataFrame) -> DataFrame:
-        one = candidates.groupBy("cluster", "node").agg(F.first("keys").alias("keys"))
-        place = large.join(one.select(F.col("node").alias("h1")), "h1", "left_semi").groupBy(F.col("h1").alias("node")).agg(
+    spark = docs.sparkSession
+    bands, least = shingles.bands_for(percent / 100, ROWS, MISS), least_near(percent)
+    everything, everything_path = stored_at(paragraph_rows(docs, least, id_col, text_col), "paragraphs")
+    rows, marks = everything.where("h2 IS NOT NULL"), everything.where("h2 IS NULL").drop("h2", "large")
+    texts = _texts(docs, id_col, text_col)
+
+    def with_members(clusters: DataFrame) -> DataFrame:
+        place = rows.where("large").join(clusters.select(F.col("node").alias("h1")), "h1", "left_semi").groupBy(F.col("h1").alias("node")).agg(
             F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("p")).select("node", "p.*")
-        located = one.withColumn("bitmap", F.lit(None).cast("binary")).join(place, "node")
+        located = clusters.join(place, "node")
         # One text stands for all rows with its id and hash.
         return _members(located.join(texts, ["doc_id", "text_hash"]).select(
-            "cluster", "node", "keys", "bitmap", "start", "end", "text")).dropDuplicates(["node"])
+            "cluster", "node", "start", "end", "text"), bands).dropDuplicates(["node"])
 
-    linked = linked_components(nodes.dropDuplicates(["node"]), with_members,
+    linked = linked_components(paragraph_keys(docs, bands, least, id_col, text_col), with_members,
                                lambda common, a, b: 100 * common >= percent * (a + b - common), None)
     equal = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     classes = equal.join(linked.withColumnRenamed("node", "h1"), "h1", "left")
     near = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("near_first"), F.max("last").alias("near_last"))
-    repeated = classes.join(near, "component", "left").select(
+    repeated, repeated_path = stored_at(classes.join(near, "component", "left").select(
         "h1", "h2", F.coalesce("near_first", "first").alias("first_doc"), F.coalesce("near_last", "last").alias("last_doc")
-    ).where("first_doc < last_doc").drop("last_doc")
-    found = rows.drop("keys").join(repeated, ["h1", "h2"]).where("doc_id > first_doc").select(
+    ).where("first_doc < last_doc").drop("last_doc"), "repeated")
+    found = rows.join(repeated, ["h1", "h2"]).where("doc_id > first_doc").select(
         "doc_id", "text_hash", "at", "words", "start", "end", "first_doc")
-    found = found.unionByName(verbatim_repeats(marks, texts).select(*found.columns)).withColumn("upto", F.col("at") + F.col("words"))
+    inner, inner_path = stored_at(_repeated(marks), "anchors")
+    outer, outer_path = stored_at(_windows_beside(run_ends(inner, marks, texts)), "windows")
+    verbatim = inner.drop("h1").unionByName(_repeated(outer).drop("h1"))
+    found = found.unionByName(verbatim.select(*found.columns)).withColumn("upto", F.col("at") + F.col("words"))
     one_text = Window.partitionBy("doc_id", "text_hash").orderBy("at", "upto", "first_doc")
     before = F.max("upto").over(one_text.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.coalesce(F.col("at") > before, F.lit(True)).cast("int")).withColumn(
         "run", F.sum("new").over(one_text.rowsBetween(Window.unboundedPreceding, 0))).groupBy("doc_id", "text_hash", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), (F.max("upto") - F.min("at")).cast("int").alias("words"),
         F.min_by("first_doc", F.struct("at", "upto", "first_doc")).alias("first_doc")).where(F.col("words") >= LEAST_RUN)
-    return runs.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc"))).alias("spans"))
+    spans = stored(runs.groupBy("doc_id", "text_hash").agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc"))).alias("spans")), "spans")
+    for path in (everything_path, repeated_path, inner_path, outer_path):
+        discard(spark, path)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
