@@ -28,28 +28,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    with shuffles_removed(spark):
+    with writing(spark):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-#: Spark's own setting: a query's shuffle files go when it ends, not when the driver
-#: next collects its garbage.  A plan that is run again makes them anew.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own settings for the writing of intermediate tables: a query's shuffle files
+#: go when it ends, not when the driver next collects its garbage (a plan that is run
+#: again makes them anew), and a join whose smaller side turns out to have no partition
+#: over this size is hashed instead of sorted.
+_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+}
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession) -> Iterator[None]:
     """Queries run inside leave no shuffle files behind; what they read and write stays."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def discard(spark: SparkSession, path: str) -> None:

@@ -4,7 +4,7 @@ Nodes (distinct sets) that share a band key are candidates.  Emitting all pairs
 of a bucket would grow with its square; instead
 
 1. each key's nodes are tied to the smallest of them, found as neighbours in one
-   sorting of all (key, node), and the components of these ties give every node
+   sorting of all keys, and the components of these ties give every node
    one cluster: candidates never lie in two;
 2. a cluster is dealt into blocks by a hash of the node, as many as its sets'
    bytes ask for, and each pair of blocks is one task's work: bitmaps are
@@ -34,10 +34,12 @@ BLOCK_BYTES = 8 << 20
 BLOCK_NODES = 1024
 #: Rows of a block compared with the other block at a time.
 STRIPE = 128
+#: Rows of small groups that are compared in one go.
+TOGETHER = 512
 
 
 def _ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted (key, node) rows: ties of each node with the first one of its key here, and as (hub, null, key)
+    """Of (key, node) rows sorted by key: ties of each node with the first one of its key here, and as (hub, null, key)
     the first and last key of the task, which may go on in a neighbouring one."""
     key = hub = None
     for batch in batches:
@@ -66,15 +68,15 @@ def _tie_batch(a: np.ndarray, b: Optional[np.ndarray], key: Optional[np.ndarray]
 def candidate_clusters(keys: DataFrame) -> DataFrame:
     """(node, cluster) of every node that shares a key with another.
 
-    ``keys`` has (node, key), each pair once.  They are sorted over the cluster
-    by (key, node), so that a key of any number of nodes lies in as many tasks
+    ``keys`` has (node, key), each pair once.  They are dealt over the cluster
+    by ranges of (key, node), so that a key of any number of nodes lies in as many tasks
     as it needs; each task ties its nodes of a key to the first of them, and the
     hubs of a key that goes on in other tasks (two rows of each task at most)
     are tied to the smallest one.  No pair is moved twice.
     """
     spark = keys.sparkSession
     ordered = keys.select(F.col("key").cast("long"), F.col("node").cast("long")).where("key IS NOT NULL").repartitionByRange(
-        "key", "node").sortWithinPartitions("key", "node")
+        "key", "node").sortWithinPartitions("key")
     tied, path = stored_at(ordered.mapInArrow(_ties, "a long, b long, key long"), "ties")
     parts = tied.where("key IS NOT NULL").select("key", "a")
     least = parts.groupBy("key").agg(F.min("a").alias("least"))
@@ -101,16 +103,14 @@ class _Union:
 
 
 def _candidates(keys: np.ndarray, bitmaps: Optional[np.ndarray], most_bits: int, row: int, upto: int,
-                across: np.ndarray) -> np.ndarray:
-    """Places (i, j) with i in [row, upto) that share a key and whose bitmaps are close enough."""
-    if bitmaps is not None:
+                across: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Places (i, j) with i in [row, upto) of one group that share a key and whose bitmaps are close enough."""
+    close = (across[None, :] > np.arange(row, upto)[:, None]) & (group[row:upto, None] == group[across][None, :])
+    if bitmaps is not None and close.any():
         differ = np.zeros((upto - row, len(across)), np.uint16)
         for w in range(bitmaps.shape[1]):
             differ += np.bitwise_count(bitmaps[row:upto, None, w] ^ bitmaps[across, w][None, :]).astype(np.uint16)
-        close = differ <= most_bits
-    else:
-        close = np.ones((upto - row, len(across)), bool)
-    close &= across[None, :] > np.arange(row, upto)[:, None]
+        close &= differ <= most_bits
     i, j = np.nonzero(close)
     i, j = i + row, across[j]
     share = (keys[i] == keys[j]).any(axis=1)
@@ -135,36 +135,43 @@ def verified_links(rows: DataFrame, links_enough: Callable[[int, int, int], bool
              .select("cluster", F.col("_pair.i").alias("i"), F.col("_pair.j").alias("j"),
                      (F.col("_own") == F.col("_pair.i")).alias("first"), "node", "keys", "bitmap", "members"))
 
-    def link(table: pa.Table) -> Iterator[tuple[int, int]]:
+    def link(table: pa.Table, group: np.ndarray) -> Iterator[tuple[int, int]]:
         node = table["node"].to_numpy()
-        order = np.argsort(node, kind="stable")
-        table, node = table.take(pa.array(order)), node[order]
+        order = np.lexsort((node, group))
+        table, node, group = table.take(pa.array(order)), node[order], group[order]
         keys = table["keys"].combine_chunks()
         keys = keys.values.to_numpy(zero_copy_only=False).reshape(len(node), -1)
         bitmaps = None
         if most_bits is not None:
             bitmaps = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(node), -1)
         members = [np.frombuffer(m, np.uint64) for m in table["members"].to_pylist()]
+        size = np.array([len(m) for m in members], np.int64)
         first = table["first"].to_numpy(zero_copy_only=False).astype(bool)
-        within = table["i"][0].as_py() == table["j"][0].as_py()
+        within = table["i"].to_numpy() == table["j"].to_numpy()
         everything = np.arange(len(node))
         union = _Union(len(node))
         for row in range(0, len(node), STRIPE):
             upto = min(row + STRIPE, len(node))
-            for i, j in _candidates(keys, bitmaps, most_bits or 0, row, upto, everything[row:]).tolist():
-                if (within or first[i] != first[j]) and union.root(i) != union.root(j):
+            last = int(np.searchsorted(group, group[upto - 1], "right"))
+            pairs = _candidates(keys, bitmaps, most_bits or 0, row, upto, everything[row:last], group)
+            i, j = pairs[:, 0], pairs[:, 1]
+            # Even if the smaller set lay in the other one, they would have to be enough alike.
+            may = (within[i] | (first[i] != first[j])) & links_enough(np.minimum(size[i], size[j]), size[i], size[j])
+            for i, j in pairs[may].tolist():
+                if union.root(i) != union.root(j):
                     common = len(np.intersect1d(members[i], members[j], assume_unique=True))
                     if links_enough(common, len(members[i]), len(members[j])):
                         union.join(i, j)
                         yield int(node[i]), int(node[j])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Groups lie side by side in the sorted rows; one is held at a time."""
+        """Groups lie side by side in the sorted rows; small ones are held together, a large one alone."""
         held: list[pa.Table] = []
-        group = None
+        numbers: list[np.ndarray] = []
+        group, number, rows_held = None, 0, 0
 
         def emit() -> pa.RecordBatch:
-            found = list(link(pa.concat_tables(held).combine_chunks()))
+            found = list(link(pa.concat_tables(held).combine_chunks(), np.concatenate(numbers)))
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -172,14 +179,29 @@ def verified_links(rows: DataFrame, links_enough: Callable[[int, int, int], bool
             if not batch.num_rows:
                 continue
             c, i, j = (batch.column(k).to_numpy() for k in range(3))
-            cut = np.flatnonzero((c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            for low, high in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows], strict=True):
-                now = (c[low], i[low], j[low])
-                if now != group and held:
+            new = np.append((c[0], i[0], j[0]) != group, (c[1:] != c[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+            of = number + np.cumsum(new)
+            group, number = (c[-1], i[-1], j[-1]), int(of[-1])
+            starts, at = np.flatnonzero(new), 0
+            while at < batch.num_rows:
+                # Up to the last start of a group within reach, or the next one.
+                reach = at + max(TOGETHER - rows_held, 0)
+                k = int(np.searchsorted(starts, reach, "right")) - 1
+                if k >= 0 and (starts[k] > at or (starts[k] == at and rows_held)):
+                    upto, done = int(starts[k]), True
+                else:
+                    later = starts[np.searchsorted(starts, at, "left" if rows_held else "right"):]
+                    upto, done = (int(later[0]), True) if len(later) else (batch.num_rows, False)
+                if reach >= batch.num_rows:
+                    upto, done = batch.num_rows, False
+                if upto > at:
+                    held.append(pa.Table.from_batches([batch.slice(at, upto - at)]))
+                    numbers.append(of[at:upto])
+                    rows_held += upto - at
+                    at = upto
+                if done and held:
                     yield emit()
-                    held = []
-                group = now
-                held.append(pa.Table.from_batches([batch.slice(low, high - low)]))
+                    held, numbers, rows_held = [], [], 0
         if held:
             yield emit()
 

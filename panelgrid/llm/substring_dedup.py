@@ -215,7 +215,7 @@ def paragraph_rows(docs: DataFrame, least: int, id_col: str = "doc_id", text_col
                 found = _paragraphs(text)
                 words, size = _spans(found)
                 h1, h2 = _fingerprints(words, size)
-                yield _placed(batch, found, [pa.array(h1), pa.array(h2), pa.array(_large(words, size, least)[2])])
+                yield _placed(batch, found, [pa.array(h1), pa.array(h2), pa.array(_large(size, least))])
                 at, h = anchors(text)
                 yield _placed(batch, text.spans(at, np.full(len(at), WINDOW)), [
                     pa.array(h), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.bool_())])
@@ -233,10 +233,9 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "doc_id IS NOT NULL")
 
 
-def _large(words: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shingles of all paragraphs, their paragraphs, and which paragraphs have ``least`` of them."""
-    h, of = shingles.shingle_hashes(words, size, WIDTH)
-    return h, of, np.bincount(of, minlength=len(size)) >= least
+def _large(size: np.ndarray, least: int) -> np.ndarray:
+    """Which paragraphs of ``size`` words have ``least`` shingles."""
+    return np.maximum(size - WIDTH + 1, 1) >= least
 
 
 def _sketched(h: np.ndarray, of: np.ndarray, n: int, bands: int) -> np.ndarray:
@@ -254,11 +253,11 @@ def paragraph_keys(docs: DataFrame, bands: int, least: int, id_col: str = "doc_i
             for batch in slices(whole, "text", SLICE):
                 words, size = _spans(_paragraphs(_words(_raw(batch.column(2)))))
                 h1, _ = _fingerprints(words, size)
-                h, of, near = _large(words, size, least)
-                once = np.zeros(len(h1), bool)
-                once[np.unique(h1, return_index=True)[1]] = True
-                near &= once  # a paragraph that the slice holds more than once is sketched once
-                keys = _sketched(h[near[of]], (np.cumsum(near) - 1)[of[near[of]]], int(near.sum()), bands)
+                near = np.zeros(len(h1), bool)
+                near[np.unique(h1, return_index=True)[1]] = True  # what the slice holds more than once is sketched once
+                near &= _large(size, least)
+                h, of = shingles.shingle_hashes(words[np.repeat(near, size)], size[near], WIDTH)
+                keys = _sketched(h, of, int(near.sum()), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(h1[near]), *[pa.array(keys[:, j]) for j in range(bands)]], names=["node", *names])
 
     rows = _texts(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in ("node", *names)))
@@ -347,7 +346,9 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     linked = linked_components(paragraph_keys(docs, bands, least, id_col, text_col), with_members,
                                lambda common, a, b: 100 * common >= percent * (a + b - common), None)
     equal = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    classes = equal.join(linked.withColumnRenamed("node", "h1"), "h1", "left")
+    # Only what occurs in two documents or is like another paragraph goes on.
+    classes, classes_path = stored_at(equal.join(linked.withColumnRenamed("node", "h1"), "h1", "left").where(
+        "first < last OR component IS NOT NULL"), "classes")
     near = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("near_first"), F.max("last").alias("near_last"))
     repeated, repeated_path = stored_at(classes.join(near, "component", "left").select(
         "h1", "h2", F.coalesce("near_first", "first").alias("first_doc"), F.coalesce("near_last", "last").alias("last_doc")
@@ -366,7 +367,7 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         F.min_by("first_doc", F.struct("at", "upto", "first_doc")).alias("first_doc")).where(F.col("words") >= LEAST_RUN)
     spans = stored(runs.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc"))).alias("spans")), "spans")
-    for path in (everything_path, repeated_path, inner_path, outer_path):
+    for path in (everything_path, classes_path, repeated_path, inner_path, outer_path):
         discard(spark, path)
     return spans
 

@@ -13,7 +13,8 @@ Features are words and beginnings of words, lower-cased, each on some levels:
 whether it occurs at all, often, or as a share of the text.  Their counts in all
 positives and in all documents are gathered over the cluster, and the ``FEATURES`` that raise the share
 among positives most are kept.  The fit takes at most
-MAX_POSITIVE and MAX_UNLABELLED documents, chosen by a hash of their ids, and
+MAX_POSITIVE and MAX_UNLABELLED documents, chosen by a hash of their ids (of rows
+that repeat an id the one whose text has the least hash), and
 sees only which features each one has.  Scoring is one pass over whole texts.
 
 Defined results: null and empty texts get the score of a text without any
@@ -56,6 +57,9 @@ STEPS = 400
 RATE = 0.05
 DECAY = 1e-4
 THRESHOLD = 0.7
+#: Bytes of text whose grams a worker holds at a time, and rows that it sends on at a time.
+SLICE = 1 << 20
+ROWS_OUT = 1 << 16
 
 
 #: Bytes inside words: ASCII letters and digits, and all of other scripts' signs.
@@ -169,16 +173,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = min(max(float(share), 1e-3), 0.5)
     positive = _bounded(seen.where("_label = 1"), MAX_POSITIVE).withColumn("_side", F.lit(1))
     unlabelled = _bounded(rows, MAX_UNLABELLED).withColumn("_side", F.lit(0))
-    # At most MAX_POSITIVE + MAX_UNLABELLED ids.
-    sample = stored(rows.join(F.broadcast(positive.unionAll(unlabelled)), "_id"), "toxicity-sample")
+    # At most MAX_POSITIVE + MAX_UNLABELLED ids, and one row of each on each side however often it is repeated.
+    text_hash = F.xxhash64("_text")
+    sample = stored(rows.join(F.broadcast(positive.unionAll(unlabelled)), "_id").groupBy("_id", "_side").agg(
+        F.min_by("_text", F.struct(text_hash, "_text")).alias("_text")).select("_id", "_text", "_side"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each feature's texts, added up over the task in one number for each slot and level."""
+        total = np.zeros(SLOTS * len(LEVELS), np.int32)
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                got = [(s * len(LEVELS) + level, o) for level, s, o in _levels(*gram_slots(_raw(batch.column(1).to_pylist())))]
-                feature = np.concatenate([f for f, _ in got])
-                some, at = np.unique(feature, return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.bincount(at, minlength=len(some)))], names=["feature", "n"])
+            for batch in slices(whole, "_text", SLICE):
+                for level, s, _ in _levels(*gram_slots(_raw(batch.column(1).to_pylist()))):
+                    some, n = np.unique(s, return_counts=True)
+                    total[some * len(LEVELS) + level] += n.astype(np.int32)
+        found = np.flatnonzero(total)
+        for at in range(0, len(found), ROWS_OUT):
+            some = found[at:at + ROWS_OUT]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], names=["feature", "n"])
 
     def counted(texts: DataFrame, name: str) -> DataFrame:
         return texts.select("_id", "_text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias(name))
@@ -202,7 +213,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 owner, feature = _present(_raw(batch.column(1).to_pylist()), *_columns(slots))
                 has = [x.tolist() for x in np.split(feature, np.cumsum(np.bincount(owner, minlength=batch.num_rows))[:-1])]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(has, pa.list_(pa.int32()))],
@@ -223,7 +234,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequence[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns, weights = _columns(model.features), np.array(model.weights)
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 total = np.full(batch.num_rows, model.bias)
                 if len(weights):
                     owner, feature = _present(_raw(batch.column(batch.num_columns - 1).to_pylist()), *columns)
