@@ -19,6 +19,12 @@ from panelgrid.llm.common import read_table, stored
 from panelgrid.llm.pretokens import library_encoder
 
 
+#: Rows that go to a Python worker at a time.  The stages follow one another in the same
+#: executors, whose workers keep what their largest batch took.
+BATCH_ROWS = "2000"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
     return quality.filter_quality(docs)
@@ -64,6 +70,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    before = spark.conf.get(_BATCH)
+    try:
+        for name, stage in STAGES:
+            spark.conf.set(_BATCH, BATCH_ROWS)
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    finally:
+        spark.conf.set(_BATCH, before)
     return docs
