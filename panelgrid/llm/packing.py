@@ -7,8 +7,14 @@ fullest bin that still takes it.  Nearly full bins are done.  The others travel
 up a tree as single items: some partitions' underfull bins meet in one task and
 are packed best-fit again, until one task holds the rest.  A task packs a
 bounded number of items at a time, and hands on a bounded number of bins, the
-emptiest ones; a fuller bin beyond that number is done as it is, so that no
-round sees more than its share however many pieces there are.
+emptiest ones, so that no round sees more than its share however many pieces there
+are.  The fuller bins beyond that number wait.
+
+Where any bin waits, best fit is made good over the pieces of all bins that are
+not nearly full, whatever task they came from: it depends only on how many pieces
+there are of each length, so it is planned on those counts (at most one for each
+length up to a sequence), and every piece finds its place by its rank among the
+pieces of its length.
 
 Only (document, piece, length, checksum) rows move, never ids or texts.
 
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +37,12 @@ from pyspark.sql import functions as F
 
 from panelgrid.llm.byte_bpe import slices
 from panelgrid.llm.common import stored
+from panelgrid.operators.ranking import ordered_rank
+from panelgrid.session import rows_df
 
 #: Share of a sequence from which a bin is done.
 NEARLY_FULL = 0.995
-#: Items packed at a time, bins that a task hands on, and partitions that meet in a task of the next round.
+#: Items packed at a time, bins that a task hands on (fuller ones wait), and partitions that meet in a task of the next round.
 WINDOW_ITEMS = 200_000
 HANDED_ON = 20_000
 FAN_IN = 8
@@ -89,8 +98,40 @@ def best_fit(loads: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
+def best_fit_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, ...]], int]:
+    """:func:`best_fit` of ``counts[length]`` items of each length, and the number of its bins.
+
+    Of the items of a length, those of rank (from 1) ``first`` to ``last`` go into the bins from
+    ``bin`` on, ``each`` of them side by side into every bin from ``place`` on: rows (length,
+    first, last, bin, each, place)."""
+    room: dict[int, list[tuple[int, int]]] = {}  # runs (first bin, bins) of the bins with some room
+    runs, bins = [], 0
+    for load in sorted(counts, reverse=True):
+        placed, n = 0, counts[load]
+        while placed < n:
+            r = min((r for r in room if r >= load), default=None)
+            if r is None:
+                r, bin_, most = capacity, bins, n - placed
+            else:
+                bin_, most = room[r].pop()
+                if not room[r]:
+                    del room[r]
+            each = min(r // load, n - placed)
+            used = min(most, (n - placed) // each)
+            runs.append((load, placed + 1, placed + used * each, bin_, each, capacity - r))
+            placed += used * each
+            if bin_ == bins:
+                bins += used
+            elif used < most:
+                room.setdefault(r, []).append((bin_ + used, most - used))
+            if r - each * load:
+                room.setdefault(r - each * load, []).append((bin_, used))
+    return runs, bins
+
+
 def _packer(round_no: int, capacity: int, last: bool) -> Callable:
-    """A task of one round: packs its bins (rows side by side with one sequence_id) into new ones."""
+    """A task of one round: packs its bins (rows side by side with one sequence_id) into new ones.
+    Of those, ``done`` is true for nearly full ones, false for ones handed on, null for ones that wait."""
     full = int(np.ceil(NEARLY_FULL * capacity))
 
     def pack(table: pa.Table, first_id: int) -> tuple[pa.Table, pa.Table, int]:
@@ -127,8 +168,8 @@ def _packer(round_no: int, capacity: int, last: bool) -> Callable:
         flag = np.repeat(on, np.diff(first, append=len(ids)))
         return rest.filter(pa.array(flag)), rest.filter(pa.array(~flag))
 
-    def finished(table: pa.Table, done: bool) -> list[pa.RecordBatch]:
-        flags = pa.array(np.full(table.num_rows, done))
+    def finished(table: pa.Table, done: bool | None) -> list[pa.RecordBatch]:
+        flags = pa.array([done] * table.num_rows, pa.bool_())
         return table.set_column(_NAMES.index("done"), "done", flags).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +193,7 @@ def _packer(round_no: int, capacity: int, last: bool) -> Callable:
                 held = [table.slice(cut)]
                 if rest.num_rows:
                     rest, fuller = hand_on(rest, HANDED_ON)
-                    yield from finished(fuller, True)
+                    yield from finished(fuller, None)
                     held.insert(0, rest)
                 rows = sum(t.num_rows for t in held)
             limit = rows + WINDOW_ITEMS
@@ -160,9 +201,9 @@ def _packer(round_no: int, capacity: int, last: bool) -> Callable:
             done, rest, next_id = pack(pa.concat_tables(held).combine_chunks(), next_id)
             yield from finished(done, True)
             if rest.num_rows:
-                on, fuller = hand_on(rest, 0 if last else HANDED_ON)
+                on, fuller = hand_on(rest, rest.num_rows if last else HANDED_ON)
                 yield from finished(on, False)
-                yield from finished(fuller, True)
+                yield from finished(fuller, None)
 
     return run
 
@@ -176,7 +217,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     tasks = max(1, as_bins.rdd.getNumPartitions())
     round_no = 1
     current = stored(as_bins.mapInArrow(_packer(round_no, capacity, tasks == 1), BINS), "packing")
-    finished = [current.where("done")]
+    finished, waiting = [current.where("done")], [current.where("done IS NULL")]
     while tasks > 1:
         tasks, round_no = -(-tasks // FAN_IN), round_no + 1
         # Bits 26 to 47 of a bin's number are the task that made it: neighbours meet.
@@ -185,10 +226,29 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
                .repartition(tasks, "_group").sortWithinPartitions("_group", "sequence_id", "offset").drop("_group"))
         current = stored(met.mapInArrow(_packer(round_no, capacity, tasks == 1), BINS), "packing")
         finished.append(current.where("done"))
-    out = finished[0]
-    for more in finished[1:]:
-        out = out.unionAll(more)
-    return out.drop("load", "done")
+        waiting.append(current.where("done IS NULL"))
+    rest = reduce(DataFrame.unionAll, waiting, current.where("NOT done"))
+    finished.append(_pack_together(rest, capacity, round_no + 1))
+    return reduce(DataFrame.unionAll, finished).drop("load", "done")
+
+
+def _pack_together(bins: DataFrame, capacity: int, round_no: int) -> DataFrame:
+    """Where one of ``bins`` waits, best fit of all their pieces; ``bins`` as they are where none does or none is saved."""
+    # One row for each length, at most ``capacity`` of them.
+    counts = bins.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("offset") == 0).alias("bins"),
+                                        F.count_if(F.col("done").isNull()).alias("waiting")).collect()
+    if not any(c.waiting for c in counts):
+        return bins
+    runs, needed = best_fit_counts({c.length: c.n for c in counts}, capacity)
+    if needed >= sum(c.bins for c in counts):
+        return bins
+    plan = F.broadcast(rows_df(bins.sparkSession, runs, "_length long, _first long, _last long, _bin long, _each long, _place long"))
+    ranked = ordered_rank(bins, ["length"], [F.col("sequence_id"), F.col("offset")], "_rank")
+    placed = ranked.join(plan, (F.col("length") == F.col("_length")) & F.col("_rank").between(F.col("_first"), F.col("_last")))
+    nth = F.col("_rank") - F.col("_first")
+    return placed.withColumns({
+        "sequence_id": F.lit(round_no << 48) + F.col("_bin") + F.floor(nth / F.col("_each")),
+        "offset": F.col("_place") + nth % F.col("_each") * F.col("length")}).select(bins.columns)
 
 
 def pack_documents(docs: DataFrame, encoder: Callable, capacity: int = 2048, end_id: int = 0,

@@ -132,6 +132,39 @@ def test_packing_of_items_that_never_fill_a_bin(spark, monkeypatch):
     assert bins == 300
 
 
+@pytest.mark.parametrize("parts", [1, 3])
+def test_packing_of_more_bins_than_a_task_hands_on(spark, monkeypatch, parts):
+    monkeypatch.setattr(packing, "WINDOW_ITEMS", 50)
+    monkeypatch.setattr(packing, "HANDED_ON", 10)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        rows = [(k, "word " * (39 if k < 150 else 22)) for k in range(300)]  # 40 and 23 ids
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1) if parts == 1 else spark.createDataFrame(
+            rows, "doc_id long, text string").repartitionByRange(parts, "doc_id")
+        bins, _ = check_packing(packing.pack_documents(docs, lambda: library_encoder(WORDS, "words"), capacity=64).collect(), rows, 64)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert bins == 150
+
+
+def test_best_fit_of_counts():
+    rng = np.random.default_rng(2)
+    for capacity in (1, 7, 64, 100):
+        for n in (1, 40, 400):
+            loads = rng.integers(1, capacity + 1, n)
+            lengths, counts = np.unique(loads, return_counts=True)
+            runs, bins = packing.best_fit_counts(dict(zip(lengths.tolist(), counts.tolist(), strict=True)), capacity)
+            places = sorted((b + (k - first) // each, place + (k - first) % each * load, load)
+                            for load, first, last, b, each, place in runs for k in range(first, last + 1))
+            sums = [0] * bins
+            for b, place, load in places:
+                assert place == sums[b]
+                sums[b] += load
+            assert sorted(p[2] for p in places) == sorted(loads.tolist())
+            assert sorted(sums) == sorted(np.bincount(packing.best_fit(loads, capacity), weights=loads).astype(int).tolist())
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins = packing.best_fit(np.array([6, 5, 4, 3, 2]), 10)
     assert bins[0] == bins[2] and bins[1] == bins[3] == bins[4]
