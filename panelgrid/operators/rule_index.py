@@ -14,7 +14,12 @@ required letters may miss some (the rule is then tried on more texts), it never
 claims too many.
 
 Nothing is collected: rules and texts stay DataFrames, texts are distinct before
-they are cut, and a text that a third of all rows bear is one text here.
+they are cut, and a text that a third of all rows bear is one text here.  Rules are
+dealt over the shuffle partitions before their grams are found, so that a task has
+its share of them however few files hold the table.  A rule's gram is the least of
+whole numbers (rules that share it, then its letters), which needs no sorting; the
+counts they are taken from have at most one row for each gram of ASCII letters
+(69 cubed) and are broadcast.
 """
 
 from __future__ import annotations
@@ -28,8 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ustrip
+from ..session import kept
 
 GRAM = 3
+#: Bits of a letter of a gram; grams are whole numbers, rules without letters have this one.
+LETTER_BITS = 7
+GRAM_BITS = GRAM * LETTER_BITS
+NO_GRAM = -1
 #: Alternatives of a pattern that are told apart; with more its letters count as unknown.
 ALTERNATIVES = 64
 #: Rules of a block, and parts of the texts, of the rules without letters.
@@ -93,20 +103,43 @@ def required_letters(pattern: str) -> list[list[str]] | None:
     return found if all(found) else None
 
 
+def gram_number(gram: str) -> int:
+    """Grams of ASCII letters as numbers in the same order."""
+    n = 0
+    for letter in gram:
+        n = n << LETTER_BITS | ord(letter)
+    return n
+
+
+def gram_letters(number: Column) -> Column:
+    """The gram of a :func:`gram_number`."""
+    return F.concat(*[F.char(F.shiftright(number, LETTER_BITS * k).bitwiseAND(F.lit((1 << LETTER_BITS) - 1))) for k in reversed(range(GRAM))])
+
+
 def _filed(rules: DataFrame) -> DataFrame:
     """(ordinal, alternative, gram) of every gram a rule's alternatives need; gram
-    is null for rules without letters."""
+    is NO_GRAM for rules without letters."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for ordinal, pattern in zip(batch["ordinal"], batch["pattern"], strict=True):
                 for k, runs in enumerate(required_letters(pattern) or [[]]):
-                    grams = {r[i:i + GRAM] for r in runs for i in range(len(r) - GRAM + 1)}
-                    out += [(ordinal, k, g) for g in grams or [None]]
+                    grams = {gram_number(r[i:i + GRAM]) for r in runs for i in range(len(r) - GRAM + 1)}
+                    out += [(ordinal, k, g) for g in grams or [NO_GRAM]]
             yield pd.DataFrame(out, columns=["ordinal", "alternative", "gram"])
 
-    return rules.select("ordinal", "pattern").mapInPandas(run, "ordinal bigint, alternative int, gram string")
+    tasks = int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rules.select("ordinal", "pattern").repartition(tasks, "ordinal").mapInPandas(run, "ordinal bigint, alternative int, gram bigint")
+
+
+def _rarest(filed: DataFrame) -> DataFrame:
+    """(ordinal, gram): for each alternative of a rule with letters, the gram that fewest share, of those the first."""
+    lettered = filed.where(F.col("gram") != NO_GRAM)
+    sharing = F.broadcast(lettered.groupBy("gram").count())
+    rarity = F.shiftleft("count", GRAM_BITS).bitwiseOR(F.col("gram"))
+    least = lettered.join(sharing, "gram").groupBy("ordinal", "alternative").agg(F.min(rarity).alias("least"))
+    return least.select("ordinal", gram_letters(F.col("least").bitwiseAND(F.lit((1 << GRAM_BITS) - 1))).alias("gram")).distinct()
 
 
 def _matches(text: Column, pattern: Column) -> Column:
@@ -117,11 +150,10 @@ def first_rule(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """(text, subgroup): for every distinct non-null ``text`` that some rule of
     (ordinal, pattern, subgroup) matches, the subgroup of the first of them.
     Ordinals must be unique."""
-    rules = rules.select(F.col("ordinal").cast("bigint").alias("ordinal"), "pattern", "subgroup").where("pattern IS NOT NULL")
-    filed = _filed(rules)
-    sharing = filed.where("gram IS NOT NULL").groupBy("gram").count()
-    index = filed.join(sharing, "gram").groupBy("ordinal", "alternative").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    index = index.select("ordinal", "gram").distinct().join(rules, "ordinal")
+    rules = rules.select(F.col("ordinal").cast("bigint").alias("ordinal"), "pattern", "subgroup").where(
+        "pattern IS NOT NULL AND ordinal IS NOT NULL")
+    filed = kept(_filed(rules))
+    index = _rarest(filed).join(rules, "ordinal")
 
     own = texts.select("text").where("text IS NOT NULL").distinct().withColumn("_stripped", ustrip("text"))
     letters = folded(F.col("_stripped"))
@@ -130,7 +162,7 @@ def first_rule(texts: DataFrame, rules: DataFrame) -> DataFrame:
     met = own.withColumn("gram", F.explode(grams)).join(index, "gram").where(_matches(F.col("_stripped"), F.col("pattern"))).select(
         "text", "ordinal", "subgroup")
 
-    open_rules = filed.where("gram IS NULL").select("ordinal").distinct().join(rules, "ordinal")
+    open_rules = filed.where(F.col("gram") == NO_GRAM).select("ordinal").distinct().join(rules, "ordinal")
     n_blocks = open_rules.select(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int")).scalar()
     blocks = open_rules.withColumn("_n", n_blocks).groupBy(F.pmod(F.xxhash64("ordinal"), F.col("_n")).cast("int").alias("_block")).agg(
         F.collect_list(F.struct("ordinal", "pattern", "subgroup")).alias("_rules"))

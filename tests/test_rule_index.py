@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelgrid.config import Rules
 from panelgrid.operators import classify as K
+from panelgrid.operators import rule_index as R
 from panelgrid.operators.rule_index import first_rule, folded, required_letters
 
 
@@ -85,3 +86,18 @@ def test_a_million_rules(spark):
 def test_fold_keeps_what_matching_holds_equal(spark):
     got = spark.createDataFrame([("KSſIİiı",)], "t string").select(folded(F.col("t")).alias("f"), F.col("t").rlike("(?iu)^kssiiii$").alias("m")).first()
     assert got["f"] == "kssiiii" and got["m"]
+
+
+def test_rules_of_one_file_are_dealt_over_tasks(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rules = rule_table(spark, [(f"widget{k}|gear{k % 3}", f"s{k}") for k in range(400)]).coalesce(1)
+    filed = R._filed(rules)
+    per_task = filed.groupBy(F.spark_partition_id()).agg(F.countDistinct("ordinal").alias("n")).collect()
+    assert len(per_task) == n and max(r["n"] for r in per_task) < 100
+
+
+def test_rarest_gram(spark):
+    rules = rule_table(spark, [("hot ring", "a"), ("hot gear", "b"), ("hot", "c"), ("ring|gear", "d"), ("^.{4}$", "e")])
+    got = sorted(tuple(r) for r in R._rarest(R._filed(rules)).collect())
+    # least shared, then first by letters: hot, ' ge' and ' ri' stand in 3, 1 and 1 of the alternatives
+    assert got == [(0, " ri"), (1, " ge"), (2, "hot"), (3, "ear"), (3, "ing")]
