@@ -133,3 +133,20 @@ def test_small_multiples_without_listed_subgroups(spark):
         one = views.heatmap(p, catalog.SPEC_MULTI)
         assert {r[0] for r in got.select("Subgroup").distinct().collect()} == {"All constructs"}
         assert got.count() == one.count() > 0
+
+
+@pytest.mark.parametrize("name", ["q01_scan_resolve", "q01b_ragged_sheets"])
+def test_sheets_are_written_by_as_many_tasks_as_a_shuffle_has(spark, name):
+    from panelgrid.plans import catalog
+    from tests.conftest import SF_SMALL
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        files = catalog.QUERIES[name](spark, SF_SMALL).inputFiles()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    by_folder = {}
+    for f in files:
+        by_folder.setdefault(f.rsplit("/", 1)[0], set()).add(f)
+    assert len(by_folder) == (2 if name == "q01b_ragged_sheets" else 1) and all(len(v) == 7 for v in by_folder.values())
