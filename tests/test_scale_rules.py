@@ -150,3 +150,27 @@ def test_sheets_are_written_by_as_many_tasks_as_a_shuffle_has(spark, name):
     for f in files:
         by_folder.setdefault(f.rsplit("/", 1)[0], set()).add(f)
     assert len(by_folder) == (2 if name == "q01b_ragged_sheets" else 1) and all(len(v) == 7 for v in by_folder.values())
+
+
+def test_plain_lists_parse_as_the_grammar_says(spark):
+    long = [float(k) + 0.5 for k in range(100_000)]
+    cases = [("[10.0, -30.25,90.0]", [10.0, -30.25, 90.0]), ("(10.0,)", [10.0]), ("(10.0, 30.0,)", [10.0, 30.0]), ("(10.0)", []), ("[10.0]", [10.0]),
+             ("(10.0, 30.0)", [10.0, 30.0]), ("[10.0,]", [10.0]), ("[10.0,,]", []), ("10.0, 30.0", [10.0, 30.0]), ("[]", []), ("", []), (None, []),
+             ("[1e1, 07.0, .5, 5.]", [10.0, 7.0, 0.5, 5.0]), ("[- 1.0,\t2.0　]", []), ("\xa0[- 1.0,\t2.0 ] ", [-1.0, 2.0]), ("[1.0, 2.0)", []),
+             ("[np.float64(1.0), np.float64(-2.5)]", [1.0, -2.5]), ("[1.0, x]", []), ("[1.0  2.0]", []), ("[" + ", ".join(map(str, long)) + "]", long)]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, s string")
+    got = {r.k: r.a for r in df.select("k", parse_array("s").alias("a")).collect()}
+    for k, (text, want) in enumerate(cases):
+        assert got[k] == want, (text or "")[:50]
+
+
+def test_orders_are_narrow_until_their_lines_come(spark):
+    from panelgrid.sources.assay import measurement_sheet
+    from tests.conftest import SF_SMALL
+
+    plan = measurement_sheet(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join LeftOuter" in line]  # the outermost first
+    lines = next(k for k, line in enumerate(joins) if "l_orderkey" in line)
+    assert lines < next(k for k, line in enumerate(joins) if "c_custkey" in line)
+    gathered = next(line for line in plan.splitlines() if "collect_list" in line)
+    assert "POWER" not in gathered and "round(" not in gathered and "pow" not in plan[plan.index(gathered) + len(gathered):].lower()
