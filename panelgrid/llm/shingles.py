@@ -4,6 +4,7 @@ batches of texts at once."""
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -142,3 +143,32 @@ def most_odd_bits(similarity: float, samples: int, bits: int, deviations: float
 def bands_for(similarity: float, rows: int, miss: float) -> int:
     """Bands of ``rows`` samples that miss a pair of this similarity with at most this chance."""
     return int(np.ceil(np.log(miss) / np.log(1 - similarity ** rows)))
+
+
+#: Bits of a digit sketch's digit, and digits that a long holds.
+DIGIT = 5
+DIGITS = 12
+_LOWEST = np.uint64(sum(1 << DIGIT * k for k in range(DIGITS)))
+
+
+def digit_sketch(samples: np.ndarray) -> np.ndarray:
+    """The lowest bits of the first DIGITS samples of each row, in one long."""
+    some = samples[:, :DIGITS].astype(np.uint64) & np.uint64((1 << DIGIT) - 1)
+    return np.bitwise_or.reduce(some << np.arange(0, DIGIT * some.shape[1], DIGIT, dtype=np.uint64), axis=1).view(np.int64)
+
+
+def digits_alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Equal digits of DIGITS, of pairs of sketches; digits that neither has are equal."""
+    x = a.view(np.uint64) ^ b.view(np.uint64)
+    for k in range(1, DIGIT):
+        x = x | ((a.view(np.uint64) ^ b.view(np.uint64)) >> np.uint64(k))
+    return DIGITS - np.bitwise_count(x & _LOWEST).astype(np.int64)
+
+
+def least_digits(similarity: float, rows: int, bands: int, miss: float) -> int:
+    """Equal digits that a pair of this similarity has at least, but for what chance the ``bands`` leave of ``miss``."""
+    n = min(bands * rows, DIGITS)
+    left, least = miss - (1 - similarity ** rows) ** bands, 0
+    while least < n and left >= (chance := math.comb(n, least) * similarity ** least * (1 - similarity) ** (n - least)):
+        left, least = left - chance, least + 1
+    return least + DIGITS - n

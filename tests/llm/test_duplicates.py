@@ -284,3 +284,44 @@ def test_short_near_paragraphs(spark):
         rows += [(n, "\n".join(lines)), (n + 100, "\n".join([f"before{n}", *changed, f"behind{n}"]))]
     left = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert left == {15: rows[0][1], 115: "before15\nbehind15", 9: rows[2][1], 109: "before9\nbehind9"}
+
+
+def test_chains_are_dealt_by_key(spark, monkeypatch):
+    monkeypatch.setattr(linking, "BLOCK_NODES", 4)
+    sets = [np.arange(k // 2 * 100, k // 2 * 100 + 20, dtype=np.uint64) for k in range(64)]  # two by two alike
+    rows = [(0, k, [k * 10, k * 10 + 10], None, s.tobytes()) for k, s in enumerate(sets)]
+    rows = [(c, n, [n // 2 * 10, 1000 + (n + 1) // 2 * 10], b, m) for c, n, _, b, m in rows]  # and each a chain's link
+    rows += [(100, 100 + k, [5, 5], None, sets[0].tobytes()) for k in range(9)]  # one key, one cluster
+    frame = spark.createDataFrame(rows, "cluster long, node long, keys array<long>, bitmap binary, members binary")
+    dealt, _ = linking._dealt(frame)
+    assert dealt.where("node < 100").count() <= 2 * 64 and dealt.where("node >= 100").count() == 9 * 3
+    links, _ = linking.verified_links(frame, lambda common, a, b: 100 * common >= 80 * (a + b - common), None)
+    found = [(r.a, r.b) for r in links.collect()]
+    assert groups(range(109), found) == {k: k // 2 * 2 if k < 64 else min(k, 100) for k in range(109)}
+
+
+def test_sketches_keep_chance_meetings_apart(spark):
+    rng = np.random.default_rng(4)
+    samples = rng.integers(0, 1 << 32, (400, 12)).astype(np.uint32)
+    samples[1::2] = samples[::2]
+    samples[1::2, :2] += np.uint32(1)
+    sketch = shingles.digit_sketch(samples).tolist()
+    least = shingles.least_digits(0.8, 2, 6, 0.003)
+    assert least == 5
+    # Keys 0 to 99 are of two alike, 100 to 198 of two unlike nodes.
+    rows = [(k, k // 2, sketch[k]) for k in range(200)] + [(k, 100 + (k - 200) // 2, sketch[k + 2 * (k % 2) - 1 if 200 < k < 399 else k]) for k in range(201, 399)]
+    pairs = {}
+    for node, key, sk in rows:
+        pairs.setdefault(key, []).append((node, sk))
+    alike = lambda a, b: int(shingles.digits_alike(np.array([a]), np.array([b]))[0]) >= least
+    want = {n for key, p in pairs.items() if len(p) == 2 and alike(p[0][1], p[1][1]) for n, _ in p}
+    ends = [(9000 + k, key, 0) for k, key in enumerate([-1, 10 ** 6])]
+    frame = spark.createDataFrame(rows + ends, "node long, key long, sketch long").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {r.node for r in linking.candidate_clusters(frame, least).collect()}
+        all_of = {r.node for r in linking.candidate_clusters(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and len(want) < len(all_of)
