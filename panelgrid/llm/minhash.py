@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelgrid.llm import shingles
-from panelgrid.llm.common import stored
+from panelgrid.llm.common import discard, stored, stored_at
 from panelgrid.llm.linking import linked_components
 
 WIDTH = 5
@@ -94,8 +94,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_c
     most_bits = shingles.most_odd_bits(percent / 100, SAMPLES, BITS)
     if bands * ROWS > SAMPLES:
         raise ValueError(f"{bands} bands of {ROWS} need more than {SAMPLES} samples")
-    found = stored(signatures(docs, bands, width, id_col, text_col), "signatures")
-    sets = stored(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set1", "set2").agg(
+    spark = docs.sparkSession
+    found, found_path = stored_at(signatures(docs, bands, width, id_col, text_col), "signatures")
+    sets, sets_path = stored_at(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("set1", "set2").agg(
         F.min("doc_id").alias("node"), F.first("keys").alias("keys"), F.first("bitmap").alias("bitmap")), "sets")
     # One text for each id: that of the set the id stands for.
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text"))
@@ -108,7 +109,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_c
                                lambda common, a, b: 100 * common >= percent * (a + b - common), most_bits)
     of_set = sets.select("set1", "set2", "node").join(linked, "node", "left").select(
         "set1", "set2", F.coalesce("component", "node").alias("component_id"))
-    return found.select("doc_id", "n_shingles", "set1", "set2").join(of_set, ["set1", "set2"], "left").select(
+    judged = found.select("doc_id", "n_shingles", "set1", "set2").join(of_set, ["set1", "set2"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    judged = stored(judged, "judged")
+    for path in (found_path, sets_path):
+        discard(spark, path)
+    return judged

@@ -58,7 +58,8 @@ WIDTH = 5
 LEAST_WORDS = 8
 SHORT_LINES = 4
 #: Two samples to a band: with one, any shared shingle would make a candidate,
-#: and candidates chain.  The bands miss a pair at the threshold with at most MISS.
+#: and candidates chain.  The bands and the sketches together miss a pair at the
+#: threshold with at most MISS.
 ROWS = 2
 MISS = 0.003
 LEAST_RUN = 30
@@ -192,11 +193,15 @@ def _fingerprints(words: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.n
 PLACES = "doc_id long, text_hash long, idx int, at int, words int, start int, end int"
 
 
-def _placed(batch: pa.RecordBatch, found: dict[str, np.ndarray], more: list[pa.Array]) -> pa.RecordBatch:
+#: A window's place; it has WINDOW words.
+WINDOW_PLACES = "doc_id long, text_hash long, at int, start int, end int"
+
+
+def _placed(batch: pa.RecordBatch, found: dict[str, np.ndarray], more: list[pa.Array], columns: str = PLACES) -> pa.RecordBatch:
     rows = batch.select(["doc_id", "text_hash"]).take(pa.array(found["owner"]))
-    places = [pa.array(found[c].astype(np.int32)) for c in ("idx", "at", "words", "start", "end")]
-    return pa.RecordBatch.from_arrays([*rows.columns, *places, *more], names=[
-        *(c.split()[0] for c in PLACES.split(", ")), *("h1", "h2", "large")[:len(more)]])
+    names = [c.split()[0] for c in columns.split(", ")]
+    places = [pa.array(found[c].astype(np.int32)) for c in names[2:]]
+    return pa.RecordBatch.from_arrays([*rows.columns, *places, *more], names=[*names, *("h1", "h2", "large")[:len(more)]])
 
 
 def least_near(percent: int) -> int:
@@ -238,15 +243,16 @@ def _large(size: np.ndarray, least: int) -> np.ndarray:
     return np.maximum(size - WIDTH + 1, 1) >= least
 
 
-def _sketched(h: np.ndarray, of: np.ndarray, n: int, bands: int) -> np.ndarray:
-    """The band keys of ``n`` sets: the same for a set wherever it is sketched."""
-    return shingles.band_keys(shingles.minhash(h, of, n, bands * ROWS), bands, ROWS)
+def _sketched(h: np.ndarray, of: np.ndarray, n: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """The band keys and the digit sketches of ``n`` sets: the same for a set wherever it is sketched."""
+    samples = shingles.minhash(h, of, n, bands * ROWS)
+    return shingles.band_keys(samples, bands, ROWS), shingles.digit_sketch(samples)
 
 
 def paragraph_keys(docs: DataFrame, bands: int, least: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, key): the band keys of each different paragraph of ``least`` shingles, made anew from the texts,
-    so that no table holds keys for each occurrence."""
-    names = [f"k{j}" for j in range(bands)]
+    """(node, key, sketch): the band keys of each different paragraph of ``least`` shingles, with a sketch of its samples,
+    made anew from the texts, so that no table holds keys for each occurrence."""
+    names = ["sketch", *(f"k{j}" for j in range(bands))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -257,11 +263,12 @@ def paragraph_keys(docs: DataFrame, bands: int, least: int, id_col: str = "doc_i
                 near[np.unique(h1, return_index=True)[1]] = True  # what the slice holds more than once is sketched once
                 near &= _large(size, least)
                 h, of = shingles.shingle_hashes(words[np.repeat(near, size)], size[near], WIDTH)
-                keys = _sketched(h, of, int(near.sum()), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(h1[near]), *[pa.array(keys[:, j]) for j in range(bands)]], names=["node", *names])
+                keys, sketch = _sketched(h, of, int(near.sum()), bands)
+                yield pa.RecordBatch.from_arrays([pa.array(h1[near]), pa.array(sketch), *[pa.array(keys[:, j]) for j in range(bands)]],
+                                                 names=["node", *names])
 
     rows = _texts(docs, id_col, text_col).mapInArrow(run, ", ".join(f"{c} long" for c in ("node", *names)))
-    return rows.dropDuplicates(["node"]).select("node", F.explode(F.array(*names)).alias("key"))
+    return rows.dropDuplicates(["node"]).select("node", "sketch", F.explode(F.array(*names[1:])).alias("key"))
 
 
 def _windows_beside(rows: DataFrame) -> DataFrame:
@@ -278,22 +285,22 @@ def _windows_beside(rows: DataFrame) -> DataFrame:
                         at = (text.first[k] + np.array(places, np.int64)[:, None] + steps).ravel()
                         wanted[at[(at >= text.first[k]) & (at + WINDOW <= text.first[k + 1])]] = True
                 at = np.flatnonzero(wanted)
-                yield _placed(batch, text.spans(at, np.full(len(at), WINDOW)), [pa.array(_window_hashes(text)[at].view(np.int64))])
+                yield _placed(batch, text.spans(at, np.full(len(at), WINDOW)), [pa.array(_window_hashes(text)[at].view(np.int64))],
+                              WINDOW_PLACES)
 
-    return rows.select("doc_id", "text_hash", "text", "lefts", "rights").mapInArrow(run, f"{PLACES}, h1 long")
+    return rows.select("doc_id", "text_hash", "text", "lefts", "rights").mapInArrow(run, f"{WINDOW_PLACES}, h1 long")
 
 
 def _members(rows: DataFrame, bands: int) -> DataFrame:
-    """``rows`` with the distinct shingles of their paragraph [start, end) of ``text``, and their keys, in place of these."""
-    kept = [c for c in rows.columns if c not in ("start", "end", "text")]
+    """``rows`` with the distinct shingles of their paragraph (the bytes ``part``), and their keys, in place of it."""
+    kept = [c for c in rows.columns if c != "part"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", SLICE):
-                column = {c: batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("start", "end", "text")}
-                parts = [t.encode("utf-8", "surrogatepass")[a:b] for a, b, t in zip(column["start"], column["end"], column["text"], strict=True)]
+            for batch in slices(whole, "part", SLICE):
+                parts = batch.column(batch.schema.get_field_index("part")).to_pylist()
                 h, owner = shingles.text_sets(parts, WIDTH)
-                keys = _sketched(h, owner, len(parts), bands)
+                keys, _ = _sketched(h, owner, len(parts), bands)
                 sets = np.split(h, np.cumsum(np.bincount(owner, minlength=len(parts)))[:-1])
                 yield pa.RecordBatch.from_arrays(
                     [*batch.select(kept).columns, pa.array(list(keys), pa.list_(pa.int64())), pa.nulls(len(parts), pa.binary()),
@@ -302,15 +309,16 @@ def _members(rows: DataFrame, bands: int) -> DataFrame:
     return rows.mapInArrow(run, "cluster long, node long, keys array<long>, bitmap binary, members binary")
 
 
-def _repeated(windows: DataFrame) -> DataFrame:
-    """Those of ``windows`` that a document with a smaller id has too, with its id as first_doc."""
+def _shared(windows: DataFrame) -> DataFrame:
+    """Those of ``windows`` that occur in two documents, with the smallest id as first_doc."""
     first = windows.groupBy("h1").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc")
-    return windows.join(first.drop("last_doc"), "h1").where("doc_id > first_doc")
+    return windows.join(first.drop("last_doc"), "h1")
 
 
-def run_ends(inner: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """The texts in which a run of repeated anchors (``inner``) may end, with the words ``lefts`` and ``rights``
-    before and behind which the windows up to its true ends lie."""
+def run_ends(inner: DataFrame, shared: DataFrame) -> DataFrame:
+    """doc_id and text_hash of the texts in which a run of repeated anchors (``inner``; ``shared`` with those of the
+    documents that keep them) may end, with the words ``lefts`` and ``rights`` before and behind which the windows up
+    to its true ends lie."""
     one_text = Window.partitionBy("doc_id", "text_hash").orderBy("idx")
 
     def apart(other) -> F.Column:
@@ -320,9 +328,8 @@ def run_ends(inner: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     ends = inner.select("h1", apart(lambda c: F.lag(c).over(one_text)).alias("left"), apart(lambda c: F.lead(c).over(one_text)).alias("right"))
     ends = ends.where("left OR right").groupBy("h1").agg(F.max("left").alias("left"), F.max("right").alias("right"))
     # The document that keeps the run shows its windows there too.
-    beside = marks.join(ends, "h1").groupBy("doc_id", "text_hash").agg(
+    return shared.join(ends, "h1").groupBy("doc_id", "text_hash").agg(
         F.collect_set(F.when(F.col("left"), F.col("at"))).alias("lefts"), F.collect_set(F.when(F.col("right"), F.col("at"))).alias("rights"))
-    return beside.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])
 
 
 def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,34 +338,56 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
     class of the span's first paragraph or window), in order of place."""
     spark = docs.sparkSession
     bands, least = shingles.bands_for(percent / 100, ROWS, MISS), least_near(percent)
-    everything, everything_path = stored_at(paragraph_rows(docs, least, id_col, text_col), "paragraphs")
-    rows, marks = everything.where("h2 IS NOT NULL"), everything.where("h2 IS NULL").drop("h2", "large")
     texts = _texts(docs, id_col, text_col)
+    tables: dict[str, str] = {}
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        table, tables[name] = stored_at(df, name)
+        return table
+
+    def drop(*names: str) -> None:
+        for name in names:
+            discard(spark, tables.pop(name))
 
     def with_members(clusters: DataFrame) -> DataFrame:
-        place = rows.where("large").join(clusters.select(F.col("node").alias("h1")), "h1", "left_semi").groupBy(F.col("h1").alias("node")).agg(
+        # Made here, when the band keys are gone.
+        large = put(paragraph_rows(docs, least, id_col, text_col), "paragraphs").where("large")
+        place = large.join(clusters.select(F.col("node").alias("h1")), "h1", "left_semi").groupBy(F.col("h1").alias("node")).agg(
             F.min(F.struct("doc_id", "text_hash", "start", "end")).alias("p")).select("node", "p.*")
-        located = clusters.join(place, "node")
-        # One text stands for all rows with its id and hash.
-        return _members(located.join(texts, ["doc_id", "text_hash"]).select(
-            "cluster", "node", "start", "end", "text"), bands).dropDuplicates(["node"])
+        located = put(clusters.join(place, "node"), "located")
+        # One text stands for all rows with its id and hash; only the paragraph's bytes leave the join.
+        part = F.substring(F.col("text").cast("binary"), F.col("start") + 1, F.col("end") - F.col("start"))
+        parts = located.join(texts, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "cluster", "node", part.alias("part")).distinct()
+        return _members(parts.select("cluster", "node", "part"), bands)
 
     linked = linked_components(paragraph_keys(docs, bands, least, id_col, text_col), with_members,
-                               lambda common, a, b: 100 * common >= percent * (a + b - common), None)
+                               lambda common, a, b: 100 * common >= percent * (a + b - common), None,
+                               shingles.least_digits(percent / 100, ROWS, bands, MISS))
+    drop("located")
+    everything = spark.read.schema(f"{PLACES}, h1 long, h2 long, large boolean").parquet(tables["paragraphs"])
+    rows, marks = everything.where("h2 IS NOT NULL"), everything.where("h2 IS NULL").drop("h2", "large")
     equal = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     # Only what occurs in two documents or is like another paragraph goes on.
-    classes, classes_path = stored_at(equal.join(linked.withColumnRenamed("node", "h1"), "h1", "left").where(
+    classes = put(equal.join(linked.withColumnRenamed("node", "h1"), "h1", "left").where(
         "first < last OR component IS NOT NULL"), "classes")
     near = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("near_first"), F.max("last").alias("near_last"))
-    repeated, repeated_path = stored_at(classes.join(near, "component", "left").select(
+    repeated = put(classes.join(near, "component", "left").select(
         "h1", "h2", F.coalesce("near_first", "first").alias("first_doc"), F.coalesce("near_last", "last").alias("last_doc")
     ).where("first_doc < last_doc").drop("last_doc"), "repeated")
-    found = rows.join(repeated, ["h1", "h2"]).where("doc_id > first_doc").select(
-        "doc_id", "text_hash", "at", "words", "start", "end", "first_doc")
-    inner, inner_path = stored_at(_repeated(marks), "anchors")
-    outer, outer_path = stored_at(_windows_beside(run_ends(inner, marks, texts)), "windows")
-    verbatim = inner.drop("h1").unionByName(_repeated(outer).drop("h1"))
-    found = found.unionByName(verbatim.select(*found.columns)).withColumn("upto", F.col("at") + F.col("words"))
+    drop("classes")
+    columns = ["doc_id", "text_hash", "at", "words", "start", "end", "first_doc"]
+    # Each step is written before the next one begins, and with it go its shuffles and the tables that it read last.
+    found = put(rows.join(repeated, ["h1", "h2"]).where("doc_id > first_doc").select(*columns), "equal")
+    drop("repeated")
+    shared = put(_shared(marks), "anchors")
+    drop("paragraphs")
+    inner = shared.where("doc_id > first_doc")
+    ends = put(run_ends(inner, shared), "ends")
+    outer = put(_windows_beside(ends.join(texts, ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash"])), "windows")
+    drop("ends")
+    beside = put(_shared(outer).where("doc_id > first_doc").withColumn("words", F.lit(WINDOW)).select(*columns), "beside")
+    drop("windows")
+    found = found.unionByName(inner.select(*columns)).unionByName(beside).withColumn("upto", F.col("at") + F.col("words"))
     one_text = Window.partitionBy("doc_id", "text_hash").orderBy("at", "upto", "first_doc")
     before = F.max("upto").over(one_text.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.coalesce(F.col("at") > before, F.lit(True)).cast("int")).withColumn(
@@ -367,8 +396,7 @@ def find_repeats(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", tex
         F.min_by("first_doc", F.struct("at", "upto", "first_doc")).alias("first_doc")).where(F.col("words") >= LEAST_RUN)
     spans = stored(runs.groupBy("doc_id", "text_hash").agg(
         F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc"))).alias("spans")), "spans")
-    for path in (everything_path, classes_path, repeated_path, inner_path, outer_path):
-        discard(spark, path)
+    drop(*list(tables))
     return spans
 
 

@@ -286,6 +286,40 @@ def test_short_near_paragraphs(spark):
     assert left == {15: rows[0][1], 115: "before15\nbehind15", 9: rows[2][1], 109: "before9\nbehind9"}
 
 
+def test_tables_of_repeats_go_with_their_last_reader(spark, monkeypatch):
+    docs, *_ = passage_docs()
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    alive, seen = {}, {}
+    put, drop = substring_dedup.stored_at, substring_dedup.discard
+
+    def stored_at(df, name):
+        table, path = put(df, name)
+        seen[name] = set(alive.values())
+        alive[path] = name
+        return table, path
+
+    monkeypatch.setattr(substring_dedup, "stored_at", stored_at)
+    monkeypatch.setattr(substring_dedup, "discard", lambda s, path: (alive.pop(path, None), drop(s, path)))
+    assert substring_dedup.find_repeats(frame).count() > 0
+    assert "paragraphs" not in seen["windows"] and not alive
+
+
+def test_signatures_go(spark, monkeypatch):
+    names, gone = {}, []
+    put, drop = minhash.stored_at, minhash.discard
+
+    def stored_at(df, name):
+        table, path = put(df, name)
+        names[path] = name
+        return table, path
+
+    monkeypatch.setattr(minhash, "stored_at", stored_at)
+    monkeypatch.setattr(minhash, "discard", lambda s, path: (gone.append(names[path]), drop(s, path)))
+    frame = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.kept) for r in minhash.near_duplicates(frame).collect()) == [(1, True), (2, False), (3, True)]
+    assert sorted(gone) == ["sets", "signatures"]
+
+
 def test_chains_are_dealt_by_key(spark, monkeypatch):
     monkeypatch.setattr(linking, "BLOCK_NODES", 4)
     sets = [np.arange(k // 2 * 100, k // 2 * 100 + 20, dtype=np.uint64) for k in range(64)]  # two by two alike
